@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii, quality, simhash
+from . import idstore, langid, pii, quality, simhash
 from .common import id_remainder, table
 
 
@@ -18,6 +18,18 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file on this machine; executors have the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = idstore.write(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    return idstore.verified(spark, path)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(id_remainder(F.col("doc_id"), 3) != 1)
@@ -35,7 +47,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op8_pii": op8_pii}
+    return {"op1_langid": op1_langid, "op3_idstore": op3_idstore, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op8_pii": op8_pii}
 
 
 def oracle_sql() -> dict[str, str]:
