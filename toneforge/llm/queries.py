@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idstore, langid, pii, quality, simhash
+from . import idstore, langid, pieces, pii, quality, simhash
 from .common import id_remainder, table
 
 
@@ -18,6 +18,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def vocabulary(name: str) -> str:
     """A public tokenizer's file on this machine; executors have the same package."""
     import public_tokenizers
@@ -47,7 +51,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op3_idstore": op3_idstore, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op8_pii": op8_pii}
+    return {"op1_langid": op1_langid, "op2_pieces": op2_pieces, "op3_idstore": op3_idstore, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op8_pii": op8_pii}
 
 
 def oracle_sql() -> dict[str, str]:
