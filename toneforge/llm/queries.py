@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, idstore, langid, pieces, pii, quality, simhash
+from . import ann, decontam, idstore, langid, licenses, pieces, pii, quality, simhash
 from .common import id_remainder, table
 
 
@@ -46,6 +46,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,7 +64,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op2_pieces": op2_pieces, "op3_idstore": op3_idstore, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op8_pii": op8_pii, "op10_ann": op10_ann}
+    return {"op1_langid": op1_langid, "op2_pieces": op2_pieces, "op3_idstore": op3_idstore, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op6_decontam": op6_decontam, "op7_licenses": op7_licenses, "op8_pii": op8_pii, "op10_ann": op10_ann}
 
 
 def oracle_sql() -> dict[str, str]:
