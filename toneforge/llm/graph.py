@@ -1,4 +1,4 @@
-"""Connected components over an edge table, by minimum labels and pointer jumping."""
+"""Connected components over an edge table, by contraction."""
 
 from __future__ import annotations
 
@@ -9,19 +9,36 @@ from .common import spool
 
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
-    """edges: (src, dst), longs, any order. Returns (node, label): label is the smallest node reachable. Nodes without an edge don't appear; self-loops do no harm; an empty table gives an empty one.
+    """edges: (src, dst), longs, any order. Returns (node, label): label is the smallest node reachable. Nodes without an edge to another one don't appear; repeated edges and self-loops do no harm; an empty table gives an empty one.
 
-    Each round takes the least label among neighbours and then that label's own label, so a path of n nodes ends after about log n rounds. Every round is written to the shared folder, which cuts lineage.
+    A round points every node to its least neighbour, if smaller, follows the pointers to their ends by doubling,
+    and replaces each edge's ends by these; what is left are the edges between different ends, fewer than half as
+    many nodes. So every edge is joined twice, and the rest of the work is on shrinking graphs. What a round
+    yields is written to the shared folder, which cuts lineage.
     """
-    both = spool(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).where("src <> dst").distinct(), f"{tag}-edges")
-    labels = spool(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), f"{tag}-0")
-    for k in range(1, 200):
-        heard = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("heard"))
-        least = labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old"))
-        own = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        jumped = least.join(own, "label").select("node", F.least("label", "above").alias("label"), "old")
-        after = spool(jumped, f"{tag}-{k}")
-        labels = after.select("node", "label")
-        if after.where("label <> old").isEmpty():
-            return labels
+    left = spool(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), f"{tag}-edges")
+    found: DataFrame | None = None
+    for k in range(200):
+        near = left.select(F.col("b").alias("node"), F.col("a").alias("to")).union(left.select("a", "a"))
+        ends = _followed(spool(near.groupBy("node").agg(F.min("to").alias("to")), f"{tag}-{k}-near"), f"{tag}-{k}")
+        if found is None:
+            found = ends.select("node", F.col("to").alias("label"))
+        else:
+            found = spool(found.join(ends, F.col("label") == ends["node"], "left").select(found["node"], F.coalesce("to", "label").alias("label")), f"{tag}-{k}-found")
+        one = left.join(ends.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
+        both = one.join(ends.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        left = spool(both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{tag}-{k}-edges")
+        if left.isEmpty():
+            return found
     raise RuntimeError("components did not settle")
+
+
+def _followed(to: DataFrame, tag: str) -> DataFrame:
+    """to: (node, to) with to <= node, every to a node too. Each node's last pointer."""
+    for k in range(200):
+        step = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        after = spool(to.join(step, "to").select("node", "to", "next"), f"{tag}-jump{k}")
+        to = after.select("node", F.col("next").alias("to"))
+        if after.where("to <> next").isEmpty():
+            return to
+    raise RuntimeError("pointers did not settle")
