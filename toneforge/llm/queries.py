@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, idstore, langid, licenses, pieces, pii, quality, simhash
+from . import ann, decontam, idstore, langid, licenses, mixlm, pieces, pii, quality, simhash
 from .common import id_remainder, table
 
 
@@ -58,13 +58,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_mixlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixlm.score(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 10) == 0)
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
     return found.select("query_id", "rank", "vec_id", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op2_pieces": op2_pieces, "op3_idstore": op3_idstore, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op6_decontam": op6_decontam, "op7_licenses": op7_licenses, "op8_pii": op8_pii, "op10_ann": op10_ann}
+    return {"op1_langid": op1_langid, "op2_pieces": op2_pieces, "op3_idstore": op3_idstore, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op6_decontam": op6_decontam, "op7_licenses": op7_licenses, "op8_pii": op8_pii, "op9_mixlm": op9_mixlm, "op10_ann": op10_ann}
 
 
 def oracle_sql() -> dict[str, str]:
