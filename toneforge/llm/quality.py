@@ -174,3 +174,14 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), na
             yield pa.RecordBatch.from_arrays([*(col(b, c) for c in keep), pa.array(s)], [*keep, name])
 
     return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs that score at least least, with all their columns."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            yield b.filter(pa.array(model.score(features(*text_bytes(col(b, "text")))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import LongType, StructType
+
 from .common import blocks, col, small_batches, spool, text_bytes
 from .graph import components
 
@@ -77,20 +79,35 @@ def fingerprints(texts: list[bytes], width: int) -> np.ndarray:
     return _majority(np.frombuffer(b"".join(parts), ">u8").astype(np.uint64), sizes)
 
 
-def with_fingerprint(docs: DataFrame, width: int, text: str = "text", name: str = "fp") -> DataFrame:
-    """docs without the text and with a long column, the fingerprint's 64 bits. A null text counts as empty."""
+def word_fingerprints(texts: list[bytes], seed: int) -> np.ndarray:
+    """SimHash of each text's set of words, by XXH64 with seed. Changed words cost fewer bits here than in shingles."""
+    digest = xxhash.xxh64_digest
+    sets = [set(t.lower().split()) for t in texts]
+    raw = b"".join([digest(w, seed) for s in sets for w in s])
+    return _majority(np.frombuffer(raw, ">u8").astype(np.uint64), np.array([len(s) for s in sets], np.int64))
+
+
+def _printed(docs: DataFrame, prints: dict, text: str = "text") -> DataFrame:
+    """docs without the text and with a long column for each of prints, functions from texts to fingerprints. A null text counts as empty."""
     small_batches(docs.sparkSession)
-    keep = [f for f in docs.schema.fields if f.name not in (text, name)]
-    schema = type(docs.schema)([*keep]).add(name, "long")
+    keep = [f for f in docs.schema.fields if f.name != text]
+    schema = StructType(list(keep))
+    for name in prints:
+        schema = schema.add(name, LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, text):
             data, off = text_bytes(col(b, text))
             raw = data.tobytes()
-            fp = fingerprints([raw[i:j] for i, j in zip(off[:-1], off[1:], strict=True)], width)
-            yield pa.RecordBatch.from_arrays([*(col(b, f.name) for f in keep), pa.array(fp.view(np.int64))], [*(f.name for f in keep), name])
+            texts = [raw[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(col(b, f.name) for f in keep), *(pa.array(f(texts).view(np.int64)) for f in prints.values())], schema.names)
+
+    return docs.select(*(f.name for f in keep), text).mapInArrow(run, schema)
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in keep), F.col(f"`{text}`")).mapInArrow(run, schema)
+
+def with_fingerprint(docs: DataFrame, width: int, text: str = "text", name: str = "fp") -> DataFrame:
+    """docs without the text and with a long column, the fingerprint's 64 bits. A null text counts as empty."""
+    return _printed(docs, {name: lambda texts: fingerprints(texts, width)}, text)
 
 
 # --- the Golay code -------------------------------------------------------------------------------------------
@@ -222,3 +239,78 @@ def linked(prints: DataFrame) -> DataFrame:
     small = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = spool(labelled.join(small, "label").select(F.col("fp").alias("print"), "component_id"), "simhash-classes")
     return prints.join(classes, F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")
+
+
+# --- one document of each group -------------------------------------------------------------------------------
+
+WORD_SEEDS = (42, 43)
+
+
+def shingle_hashes(text: str | None, width: int) -> list[int]:
+    """The distinct shingles of a text, as 64-bit hashes; a shorter text is one shingle."""
+    words = (text or "").encode().lower().split()
+    parts = {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
+    return [xxhash.xxh64_intdigest(p, 42) - (1 << 63) for p in parts]
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Of pairs (src, dst), keys of texts (key, text), those whose shingle sets have a Jaccard similarity of at least similarity."""
+    ends = pairs.select(F.col("src").alias("end")).union(pairs.select("dst")).distinct()
+    wanted = texts.join(ends, texts["key"] == ends["end"], "left_semi").select("key", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            sets = [shingle_hashes(t, width) for t in col(b, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([col(b, "key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
+
+    sets = spool(wanted.mapInArrow(run, "key long, set array<long>"), "simhash-sets")
+    a, b = sets.select(F.col("key").alias("src"), F.col("set").alias("x")), sets.select(F.col("key").alias("dst"), F.col("set").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(a, "src").join(b, "dst").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("src", "dst")
+
+
+def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near copies, the one of the smallest doc_id (a null id only if no other has one; then by a hash of the text). All columns, also of clashing names, stay as they are.
+
+    First, rows are one group if their fingerprints of width-word shingles are linked by at most 4 differing bits, directly or over others. Then the rows left are compared by fingerprints of their word sets, on which a changed word costs fewer bits: linked pairs whose width-word shingles have a Jaccard similarity of at least similarity are one group too. The second step runs on what the first has left, so a large group of copies does not bring its pairs along. Null and empty texts are one group; rows that are equal in id and text count as copies; an empty table gives an empty one.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    key = F.xxhash64("doc_id", "text", F.lit("near"))
+    prints = spool(_printed(docs.select(F.col("doc_id"), key.alias("key"), "text"), {"fp": lambda texts: fingerprints(texts, width)} | {f"w{s}": lambda texts, s=s: word_fingerprints(texts, s) for s in WORD_SEEDS}), "dedup-prints")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")
+    best = prints.groupBy("fp").agg(F.min(order).alias("best"), F.min_by(F.struct(*(f"w{s}" for s in WORD_SEEDS)), order).alias("w"))
+    distinct = spool(best.select("fp", "best", "w.*"), "dedup-distinct")
+    kept = _heads(distinct, components(links(distinct), "dedup-cc"), "fp", "dedup-kept")
+
+    # the survivors' word sets; equal ones hang on the first of them
+    found = None
+    for s in WORD_SEEDS:
+        w = f"w{s}"
+        first = spool(kept.groupBy(w).agg(F.min("best").alias("head")).select(F.col(w).alias("print"), F.col("head.key").alias("key")), f"dedup-{w}")
+        same = kept.join(first, kept[w] == first["print"]).where(F.col("best.key") != F.col("key")).select(F.col("best.key").alias("src"), F.col("key").alias("dst"))
+        near = links(first, "print")
+        named = near.join(first.select(F.col("print").alias("src"), F.col("key").alias("a")), "src").join(first.select(F.col("print").alias("dst"), F.col("key").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        found = same.union(named) if found is None else found.union(same).union(named)
+    pairs = spool(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "dedup-pairs")
+    true = spool(_similar(pairs, docs.select(key.alias("key"), "text"), width, similarity), "dedup-true")
+    heads = _heads(kept.select(F.col("best.key").alias("node_key"), "best"), components(true, "dedup-cc2"), "node_key", "dedup-heads")
+    chosen = heads.select(F.col("best.key").alias("chosen"))
+
+    # rows that are equal in id and text have one key: one of them stays
+    repeated = spool(prints.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("chosen")), "dedup-repeated")
+    names = docs.columns
+    numbered = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), key.alias("row_key"))
+    out = numbered.join(chosen.join(repeated, "chosen", "left_anti"), F.col("row_key") == F.col("chosen"), "left_semi")
+    if not repeated.isEmpty():
+        some = numbered.join(chosen.join(repeated, "chosen", "left_semi"), F.col("row_key") == F.col("chosen"), "left_semi")
+        one = some.groupBy("row_key").agg(F.first(F.struct(*(f"c{k}" for k in range(len(names))))).alias("row"))
+        out = out.select(*(f"c{k}" for k in range(len(names)))).union(one.select("row.*"))
+    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
+
+
+def _heads(rows: DataFrame, group: DataFrame, node: str, tag: str) -> DataFrame:
+    """Of rows (node, best, ...) those that are the best of their component; a row without a link is its own."""
+    labelled = rows.join(group, rows[node] == group["node"], "left").withColumn("label", F.coalesce("label", node)).drop("node")
+    least = labelled.groupBy("label").agg(F.min("best").alias("least"))
+    return spool(labelled.join(least, "label").where("best = least").drop("least", "label"), tag)
