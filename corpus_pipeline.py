@@ -1,12 +1,61 @@
-"""The corpus pipeline: STAGES of operators over documents, each written as Parquet and read again."""
+"""The corpus pipeline: STAGES over documents, each written as Parquet and read again as the next one's docs.
+
+A stage is (name, function); a function takes (spark, docs, sf_dir), docs being what its predecessor kept, and
+returns a DataFrame. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from toneforge.llm import decontam, pieces, pii, quality, simhash
+from toneforge.llm.common import spool, table
+from toneforge.llm.queries import vocabulary
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier rejects (a score under 0.5)."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.accepted(docs, model)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return simhash.deduplicated(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a test item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind; n_chars is that of the new text."""
+    out = pii.redacted(docs)
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the text's piece ids, their number, and whether they decode to the text again."""
+    return pieces.encode(docs, vocabulary("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("pii", redacted),
+    ("pieces", encoded),
+]
 
-STAGES = []
+#: No SQL expresses the classifier, fuzzy hashing and tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to documents, one after another."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = spool(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
