@@ -8,7 +8,6 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
-from dataclasses import dataclass
 from functools import lru_cache
 
 from .marks import LETTERS, MARKS, STROKED, TONES, UNDECIDED
@@ -20,75 +19,52 @@ def nfd(text: str) -> str:
     return unicodedata.normalize("NFD", text)
 
 
-@dataclass(frozen=True, slots=True)
 class Unit:
-    """head: the letter without marks. marks: all combining marks, in canonical order."""
-
-    head: str
-    marks: str
-
-    @property
-    def letter(self) -> bool:
-        return bool(self.head) and nfd(self.head)[0].isalpha()
-
-    @property
-    def tones(self) -> str:
-        return "".join(m for m in self.marks if m in TONES)
-
-    @property
-    def shapes(self) -> str:
-        return "".join(m for m in self.marks if m in LETTERS)
-
-    @property
-    def others(self) -> str:
-        return "".join(m for m in self.marks if m not in MARKS)
-
-    @property
-    def text(self) -> str:
-        return nfc(self.head + self.marks)
-
-    @property
-    def base(self) -> str:
-        return nfc(STROKED.get(self.head, self.head) + self.others)
-
-    @property
-    def state(self) -> str:
-        if not self.letter:
-            return "NA"
-        if self.head in STROKED:
-            return "STROKE"
-        return LETTERS[self.shapes[0]] if self.shapes else "NONE"
-
-    @property
-    def tone(self) -> str:
-        return TONES[self.tones[0]] if self.tones else "UNMARKED"
-
-    @property
-    def anomalies(self) -> list[str]:
-        found = []
-        if self.others or (self.shapes and not self.letter):
-            found.append("UNSUPPORTED_COMBINING_MARK")
-        if len(self.tones) > 1:
-            found.append("MULTIPLE_TONE_MARKS")
-        if len(self.shapes) > 1:
-            found.append("MULTIPLE_LETTER_DIACRITICS")
-        if self.tones and not self.letter:
-            found.append("TONE_MARK_ON_NON_LETTER")
-        return found
+    """head: the letter without marks. marks: all combining marks, in canonical order. What follows from the two is worked out once."""
+
+    __slots__ = ("anomalies", "base", "head", "letter", "marks", "others", "shapes", "state", "text", "tone", "tones")
+
+    def __init__(self, head: str, marks: str) -> None:
+        self.head, self.marks = head, marks
+        self.letter = bool(head) and nfd(head)[0].isalpha()
+        self.tones = "".join(m for m in marks if m in TONES)
+        self.shapes = "".join(m for m in marks if m in LETTERS)
+        self.others = "".join(m for m in marks if m not in MARKS)
+        self.text = unicodedata.normalize("NFC", head + marks)
+        self.base = unicodedata.normalize("NFC", STROKED.get(head, head) + self.others)
+        self.state = "NA" if not self.letter else "STROKE" if head in STROKED else LETTERS[self.shapes[0]] if self.shapes else "NONE"
+        self.tone = TONES[self.tones[0]] if self.tones else "UNMARKED"
+        flags = {
+            "UNSUPPORTED_COMBINING_MARK": self.others or (self.shapes and not self.letter),
+            "MULTIPLE_TONE_MARKS": len(self.tones) > 1,
+            "MULTIPLE_LETTER_DIACRITICS": len(self.shapes) > 1,
+            "TONE_MARK_ON_NON_LETTER": self.tones and not self.letter,
+        }
+        self.anomalies = [name for name, there in flags.items() if there]
+
+
+unit = lru_cache(1 << 14)(Unit)
+
+
+@lru_cache(1 << 14)
+def _parted(ch: str) -> tuple[str, str]:
+    """A composed character's head and marks."""
+    parts = nfd(ch)
+    split = next((k for k, c in enumerate(parts) if unicodedata.combining(c)), len(parts))
+    return unicodedata.normalize("NFC", parts[:split]), parts[split:]
 
 
 def units(text: str) -> list[Unit]:
     """The units of a text. A mark with nothing before it is a unit without a head."""
     out: list[Unit] = []
     for ch in unicodedata.normalize("NFC", text):
-        parts = nfd(ch)
-        split = next((k for k, c in enumerate(parts) if unicodedata.combining(c)), len(parts))
-        if split:
-            out.append(Unit(nfc(parts[:split]), parts[split:]))
+        head, marks = _parted(ch)
+        if head:
+            out.append(unit(head, marks))
         elif out and out[-1].head:
-            out[-1] = Unit(out[-1].head, out[-1].marks + parts)
+            out[-1] = unit(out[-1].head, out[-1].marks + marks)
         else:
-            out.append(Unit("", parts))
+            out.append(unit("", marks))
     return out
 
 
@@ -168,7 +144,7 @@ def decompose(text: str, clean: bool = False, placement: str = "MODERN", classif
         t, base = u.text, u.base
         rows.append({
             "unit_index": k, "canonical_text": t, "canonical_start": a, "canonical_end": a + len(t), "base_char": base, "base_start": b, "base_end": b + len(base),
-            "letter_diacritic": u.state, "observed_tone": u.tone, "nfd_marks": list(u.marks), "has_stroke": u.head in STROKED, "anomalies": list(dict.fromkeys(u.anomalies)),
+            "letter_diacritic": u.state, "observed_tone": u.tone, "nfd_marks": list(u.marks), "has_stroke": u.state == "STROKE", "anomalies": u.anomalies,
         })
         a, b = a + len(t), b + len(base)
     return {"original_text": text, "nfc_text": unicodedata.normalize("NFC", text), "canonical_text": whole, "base_text": "".join(r["base_char"] for r in rows), "units": rows, "syllables": _syllables(rows, clean, classify), "source_is_clean": clean, "metadata": {"placement": placement}}
@@ -247,19 +223,83 @@ def word_diff(a: str, b: str) -> list[dict]:
     return [{"op": op, "before": x[i:j], "after": y[k:m]} for op, i, j, k, m in ops if op != "equal"]
 
 
+def runs(own: list[Unit]) -> list[tuple[int, int]]:
+    """Where the syllables of units start and end."""
+    out, start = [], None
+    for k, u in enumerate(own):
+        if u.state == "NA":
+            if start is not None:
+                out.append((start, k))
+                start = None
+        elif start is None:
+            start = k
+    if start is not None:
+        out.append((start, len(own)))
+    return out
+
+
+def observed(own: list[Unit], a: int, b: int) -> str:
+    """A syllable's tone: that of its first toned unit."""
+    return next((u.tone for u in own[a:b] if u.tones), "UNMARKED")
+
+
 def observe(text: str, classify=None) -> dict:
-    d = decompose(canon(text), classify=classify)
-    whole, base, rows = d["canonical_text"], d["base_text"], d["units"]
-    eligible = [s for s in d["syllables"] if s["eligibility"] == "VIETNAMESE_CANDIDATE"]
+    whole = canon(text)
+    own = units(whole)
+    base = "".join(u.base for u in own)
+    spans = runs(own)
+    eligible = [observed(own, a, b) for a, b in spans if classify("".join(u.base for u in own[a:b])) == "VIETNAMESE_CANDIDATE"] if classify else []
+    letters = [u for u in own if u.state != "NA"]
+    shaped = sum(u.state != "NONE" for u in letters)
     return {
         "canon_changed": whole != text, "base_equivalent": whole == base, "changed_characters": sum(x != y for x, y in zip(whole, base, strict=False)) + abs(len(whole) - len(base)),
-        "changed_units": sum(r["canonical_text"] != r["base_char"] for r in rows), "units_with_observed_tone": sum(r["observed_tone"] != "UNMARKED" for r in rows),
-        "units_with_observed_letter": sum(r["letter_diacritic"] not in ("NONE", "NA") for r in rows), "total_units": len(rows), "syllables": len(d["syllables"]),
-        "tone_eligible_syllables": len(eligible), "tone_observed_syllables": sum(s["observed_tone"] != "UNMARKED" for s in eligible),
-        "letter_eligible_units": sum(r["letter_diacritic"] != "NA" for r in rows), "letter_observed_units": sum(r["letter_diacritic"] not in ("NONE", "NA") for r in rows), "eligibility_resolved": classify is not None,
+        "changed_units": sum(u.text != u.base for u in own), "units_with_observed_tone": sum(u.tone != "UNMARKED" for u in own), "units_with_observed_letter": shaped, "total_units": len(own), "syllables": len(spans),
+        "tone_eligible_syllables": len(eligible), "tone_observed_syllables": sum(t != "UNMARKED" for t in eligible), "letter_eligible_units": len(letters), "letter_observed_units": shaped, "eligibility_resolved": classify is not None,
     }
 
 
+def tones_of(text: str) -> list[str]:
+    """The observed tone of each syllable."""
+    own = units(canon(text))
+    return [observed(own, a, b) for a, b in runs(own)]
+
+
+def regions(text: str, classify=None) -> list[dict]:
+    """Syllables in base-text ranges, and the gaps between them: every character is in one region."""
+    own = units(canon(text))
+    place = [0]
+    for u in own:
+        place.append(place[-1] + len(u.base))
+    out, at = [], 0
+
+    def gap(end: int) -> None:
+        if at < end:
+            out.append({"start": at, "end": end, "eligibility": "NOT_APPLICABLE", "is_syllable": False, "observed_tone": None})
+
+    for a, b in runs(own):
+        gap(place[a])
+        out.append({"start": place[a], "end": place[b], "eligibility": classify("".join(u.base for u in own[a:b])) if classify else UNDECIDED, "is_syllable": True, "observed_tone": observed(own, a, b)})
+        at = place[b]
+    gap(place[-1])
+    return out
+
+
+def checked(text: str) -> dict:
+    """Canonical text, its recomposition from units, whether they agree, input form and anomalies."""
+    whole = canon(text)
+    own = units(whole)
+    back = unicodedata.normalize("NFC", "".join(u.head + u.marks for u in own))
+    return {"canonical": whole, "recomposed": back, "passed": back == whole, "input_form": form(text), "anomalies": sorted({a for u in set(own) for a in u.anomalies})}
+
+
+_CHUNK = re.compile(r"\S+")
+
+
+def chunks(text: str) -> list[dict]:
+    """Longest runs without white space, with their ranges."""
+    return [{"index": k, "text": m[0], "start": m.start(), "end": m.end()} for k, m in enumerate(_CHUNK.finditer(text))]
+
+
 def safe_cuts(text: str) -> list[int]:
     """Offsets at which a cut parts neither a unit nor a syllable; none if the text is not canonical."""
     if not text:

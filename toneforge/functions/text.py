@@ -79,6 +79,29 @@ def decompose(text: Column, clean: bool = False, placement: str = "MODERN") -> C
     return _udf(f"decompose-{clean}-{placement}", lambda t: K.decompose(t, clean, placement), DECOMPOSED)(text)
 
 
+def syllable_tones(text: Column) -> Column:
+    """Array of the syllables' observed tones."""
+    return _udf("tones", K.tones_of, "array<string>")(text)
+
+
+def round_trip(text: Column) -> Column:
+    """Struct: canonical, recomposed, passed, input_form, anomalies."""
+    return _udf("checked", K.checked, "canonical string, recomposed string, passed boolean, input_form string, anomalies array<string>")(text)
+
+
+REGIONS = "array<struct<start:int,end:int,eligibility:string,is_syllable:boolean,observed_tone:string>>"
+
+
+def regions(text: Column, inventory: frozenset[str] | None = None) -> Column:
+    """Array of the syllables and the gaps between them, in base-text ranges; eligibility by the inventory, else UNDECIDED."""
+    if inventory is None:
+        return _udf("regions", K.regions, REGIONS)(text)
+    from ..operators.inventory import classifier
+
+    own = classifier(inventory)
+    return mapped(lambda t: K.regions(t, own), REGIONS)(text)
+
+
 def recompose(decomposed: Column) -> Column:
     """The canonical text again, from the units."""
     return _udf("recompose", lambda rows: K.recompose(list(rows)), "string")(decomposed["units"])
@@ -165,15 +188,7 @@ SPACES = r"\t-\r\x1c-\x20\u0085   -     　"
 
 def whitespace_chunks(text: Column) -> Column:
     """Array of {index, text, start, end}: longest runs without white space, with code-point ranges."""
-    parts = F.regexp_extract_all(text, F.lit(rf"[{SPACES}]+|[^{SPACES}]+"), 0)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<index:int,text:string,start:int,end:int>>").alias("found"))
-
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        own = F.struct(F.size(acc["found"]).alias("index"), part.alias("text"), acc["at"].alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.rlike(part, F.lit(rf"^[^{SPACES}]")), F.concat(acc["found"], F.array(own))).otherwise(acc["found"]).alias("found"))
-
-    return F.aggregate(parts, zero, step)["found"]
+    return _udf("chunks", K.chunks, "array<struct<index:int,text:string,start:int,end:int>>")(text)
 
 
 _WORD = r"[\p{L}\p{N}_]"

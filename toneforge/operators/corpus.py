@@ -177,7 +177,7 @@ def pass_order(chunks: DataFrame, seed: int, visits: int, batch: int, key: str =
     item = F.concat_ws("|", "visit", "chunk_id")
     h = rank_key_sha2("stage1-order", seed, item) if native else rank_key("stage1-order", seed, item)
     total = chunks.count()
-    own = every.withColumn("h", h).withColumn("position", F.row_number().over(Window.partitionBy("visit").orderBy("h", "chunk_id")) - 1)
+    own = every.withColumn("h", h).withColumn("position", (F.row_number().over(Window.partitionBy("visit").orderBy("h", "chunk_id")) - 1).cast("long"))
     return own.select("visit", "position", F.floor((F.col("visit") * total + F.col("position")) / batch).cast("long").alias("batch"), "chunk_id")
 
 

@@ -17,7 +17,10 @@ def class_scores(df: DataFrame, prediction: str = "prediction", label: str = "la
     """label, support, true_positive, false_positive, false_negative, precision, recall, f1 of every class that occurs, or of 0 to classes - 1. One aggregation of (prediction, label) pairs; empty denominators give 0."""
     pairs = df.groupBy(F.col(prediction).alias("p"), F.col(label).alias("y")).agg(F.count("*").alias("n"))
     hit = F.col("p") == F.col("y")
-    sides = F.array(F.struct(F.col("y").alias("label"), F.col("n").alias("support"), F.when(hit, F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("fp")), F.struct(F.col("p"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.when(hit, 0).otherwise(F.col("n"))))
+    none = F.lit(0).cast("long")
+    as_label = F.struct(F.col("y").alias("label"), F.col("n").alias("support"), F.when(hit, F.col("n")).otherwise(none).alias("tp"), none.alias("fp"))
+    as_prediction = F.struct(F.col("p").alias("label"), none.alias("support"), none.alias("tp"), F.when(hit, none).otherwise(F.col("n")).alias("fp"))
+    sides = F.array(as_label, as_prediction)
     rows = pairs.select(F.inline(sides))
     if classes is not None:
         every = df.sparkSession.range(classes).select(F.col("id").cast("int").alias("label"), *(F.lit(0).cast("long").alias(c) for c in ("support", "tp", "fp")))

@@ -55,9 +55,7 @@ def engineering_status(recorded: DataFrame, least_success: float = 1.0, least_ba
 
 def round_trip(texts: DataFrame, text: str = "text") -> DataFrame:
     """texts with canonical text, its recomposition, whether they agree, input form and anomalies."""
-    own = texts.withColumn("d", T.decompose(F.col(text)))
-    anomalies = F.array_sort(F.array_distinct(F.flatten(F.transform(F.col("d")["units"], lambda u: u["anomalies"]))))
-    return own.withColumn("recomposed", T.recompose(F.col("d"))).withColumn("canonical", F.col("d")["canonical_text"]).withColumn("passed", F.col("recomposed") == F.col("canonical")).withColumn("input_form", T.unicode_form(F.col(text))).withColumn("anomalies", anomalies).drop("d")
+    return texts.withColumn("check", T.round_trip(F.col(text))).select("*", "check.*").drop("check")
 
 
 def round_trip_summary(checked: DataFrame) -> DataFrame:

@@ -1,20 +1,466 @@
-"""The catalogue of queries and their SQL."""
+"""The catalogue of queries and, where SQL can express them, their SQL for another engine."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hashing as H
+from ..functions import text as T
+from ..functions.marks import LETTERS, MARKS, TONES, composed, plain, several
+from ..operators import align, corpus, corruption, inventory, metrics, profile, smoke, split
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        _queries[fn.__name__] = fn
+        if sql is not None:
+            _sql[fn.__name__] = sql
+        return fn
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- pieces of SQL --------------------------------------------------------------------------------------------
+
+
+def _base_sql(text: str = "text") -> str:
+    own = composed()
+    out = f"translate({text}, '{''.join(own)}đĐ', '{''.join(map(plain, own))}dD')"
+    for ch, bare in several().items():
+        out = f"replace({out}, '{ch}', '{bare}')"
+    return f"regexp_replace({out}, '[{MARKS}]', '', 'g')"
+
+
+def _with_marks(marks: str) -> str:
+    """Composed letters that hold one of marks."""
+    return "".join(ch for ch in map(chr, range(0xC0, 0x2000)) if ch.isalpha() and unicodedata.normalize("NFC", ch) == ch and any(m in marks for m in unicodedata.normalize("NFD", ch)))
+
+
+def _toneless_sql(text: str = "text") -> str:
+    pairs = {ch: unicodedata.normalize("NFC", "".join(m for m in unicodedata.normalize("NFD", ch) if m not in TONES)) for ch in _with_marks("".join(TONES))}
+    pairs = {a: b for a, b in pairs.items() if len(b) == 1}
+    return f"translate({text}, '{''.join(pairs)}', '{''.join(pairs.values())}')"
+
+
+_WS = r"\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_W = r"\p{L}\p{N}_"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base_equivalent_by_lang(spark, sf_dir)
+
+
+# --- base text ------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {_base_sql()} AS base FROM documents")
+def strip_base_documents(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.strip_base(F.col("text")).alias("base"))
+
+
+@query(f"SELECT doc_id, trim(regexp_replace({_base_sql()}, '[{_WS}]+', ' ', 'g')) AS signature FROM documents")
+def base_signature_documents(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.base_signature(F.col("text")).alias("signature"))
+
+
+@query(f"SELECT lang, count(*) AS n, count(*) FILTER (text = {_base_sql()}) AS base_equivalent FROM documents GROUP BY lang")
+def base_equivalent_by_lang(spark, sf_dir):
+    same = F.col("text") == T.strip_base(F.col("text"))
+    return _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(same).alias("base_equivalent"))
+
+
+@query(f"SELECT doc_id, sha256({_base_sql()}) AS digest FROM documents")
+def strip_to_base_documents(spark, sf_dir):
+    """The kernel, on all documents; for composed text it agrees with the native expression."""
+    return _docs(spark, sf_dir).select("doc_id", T.text_digest(T.strip_to_base(F.col("text"))).alias("digest"))
+
+
+@query()
+def canonical_documents(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.canon(F.col("text")).alias("canonical"))
+
+
+@query()
+def canonical_differences(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.canonical_differences(F.col("text")).alias("d")).select("doc_id", "d.*")
+
+
+@query()
+def orthography_by_lang(spark, sf_dir):
+    seen = _docs(spark, sf_dir).select("lang", T.observe_orthography(F.col("text")).alias("o"))
+    return seen.groupBy("lang").agg(F.count_if("o.canon_changed").alias("canon_changed"), F.count_if("o.base_equivalent").alias("base_equivalent"), *(F.sum(f"o.{c}").alias(c) for c in ("changed_characters", "changed_units", "total_units", "syllables", "letter_eligible_units", "letter_observed_units")))
+
+
+@query(f"SELECT lang, sum(len(regexp_extract_all(text, '\\p{{L}}')))::BIGINT AS eligible, sum(len(regexp_extract_all(text, '[{_with_marks(''.join(LETTERS))}đĐ]')))::BIGINT AS observed FROM documents GROUP BY lang")
+def letter_density_by_lang(spark, sf_dir):
+    seen = _docs(spark, sf_dir).select("lang", T.observe_orthography(F.col("text")).alias("o"))
+    return seen.groupBy("lang").agg(F.sum(F.col("o.letter_eligible_units").cast("long")).alias("eligible"), F.sum(F.col("o.letter_observed_units").cast("long")).alias("observed"))
+
+
+@query(
+    "WITH s AS (SELECT lang, unnest(regexp_extract_all(text, '\\p{L}+')) AS run FROM documents), t AS (SELECT lang, regexp_extract(run, '[" + _with_marks("".join(TONES)) + "]') AS c FROM s) "
+    "SELECT lang, CASE " + " ".join(f"WHEN c <> '' AND contains('{_with_marks(m)}', c) THEN '{t}'" for m, t in TONES.items()) + " ELSE 'UNMARKED' END AS tone, count(*) AS syllables FROM t GROUP BY ALL"
+)
+def syllable_tone_counts(spark, sf_dir):
+    each = _docs(spark, sf_dir).select("lang", F.explode(T.syllable_tones(F.col("text"))).alias("tone"))
+    return each.groupBy("lang", "tone").agg(F.count("*").alias("syllables"))
+
+
+@query()
+def round_trip_summary(spark, sf_dir):
+    return smoke.round_trip_summary(smoke.round_trip(_docs(spark, sf_dir).select("doc_id", "text")))
+
+
+# --- duplicates, profiles -------------------------------------------------------------------------------------
+
+
+def _grouped(spark, sf_dir, label, part, digest=T.text_digest):
+    return profile.duplicates(_docs(spark, sf_dir), digest(F.col("text")), part, label, "doc_id")
+
+
+_DUP = "SELECT sha256(text) AS digest, count(*) AS size, string_agg(DISTINCT {s}, ',' ORDER BY {s}) AS splits, string_agg(DISTINCT {l}, ',' ORDER BY {l}) AS labels, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1{more}"
+
+
+def _flat(groups: DataFrame) -> DataFrame:
+    return groups.select("digest", "size", F.array_join("splits", ",").alias("splits"), F.array_join("labels", ",").alias("labels"), F.col("sample_ids")[0].alias("first_id"))
+
+
+@query(_DUP.format(s="source", l="lang", more=""))
+def exact_duplicates(spark, sf_dir):
+    return _flat(_grouped(spark, sf_dir, "lang", "source"))
+
+
+@query()
+def canonical_duplicates(spark, sf_dir):
+    return _flat(_grouped(spark, sf_dir, "lang", "source", T.canonical_digest))
+
+
+@query(_DUP.format(s="lang", l="source", more=" AND count(DISTINCT source) > 1"))
+def conflicting_label_groups(spark, sf_dir):
+    return _flat(profile.conflicting(_grouped(spark, sf_dir, "source", "lang")))
+
+
+@query(_DUP.format(s="source", l="lang", more=" AND count(DISTINCT source) > 1"))
+def cross_split_groups(spark, sf_dir):
+    return _flat(profile.cross_split(_grouped(spark, sf_dir, "lang", "source")))
+
+
+@query("WITH g AS (SELECT sha256(text) AS d FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1) SELECT doc_id, source FROM documents WHERE sha256(text) NOT IN (SELECT d FROM g)")
+def without_conflicting_groups(spark, sf_dir):
+    return profile.without_conflicts(_docs(spark, sf_dir), T.text_digest(F.col("text")), "source").select("doc_id", "source")
+
+
+@query("SELECT source, coalesce(sum(CASE WHEN n > 1 THEN n - 1 END), 0)::BIGINT AS duplicate_excess, count(*) FILTER (n > 1) AS duplicate_groups FROM (SELECT source, sha256(text) AS d, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY source")
+def duplicate_excess(spark, sf_dir):
+    return profile.excess(_docs(spark, sf_dir), T.text_digest(F.col("text")), ("source",))
+
+
+@query()
+def split_profile(spark, sf_dir):
+    return profile.profile(_docs(spark, sf_dir), "source", "text", "lang").withColumn("labels", F.to_json("labels"))
+
+
+_COUNT = "sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS {n}"
+_DIGIT = f"[{_W}]*\\p{{Nd}}[{_W}]*"
+
+
+@query(
+    "WITH runs AS (SELECT source, count(*) AS n FROM (SELECT source, doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS island FROM (SELECT source, doc_id, unnest(string_split(text, '')) AS c, unnest(range(len(text))) AS i FROM documents) WHERE c <> chr(10)) "
+    "GROUP BY source, doc_id, c, island HAVING count(*) >= 3) , r AS (SELECT source, count(*) AS repeated_char_runs FROM (SELECT source FROM runs) GROUP BY source) "
+    "SELECT d.source, " + ", ".join(_COUNT.format(p=p, n=n) for n, p in (("urls", f"(?i)https?://[^{_WS}]+|www\\.[^{_WS}]+"), ("mentions", f"@[{_W}]+"), ("hashtags", f"#[{_W}]+"), ("emoji_or_symbols", r"[\x{10000}-\x{10FFFF}]|\p{So}|\p{Sk}"), ("digit_bearing_tokens", _DIGIT)))
+    + ", coalesce(any_value(r.repeated_char_runs), 0) AS repeated_char_runs FROM documents d LEFT JOIN r ON d.source = r.source GROUP BY d.source"
+)
+def noise_by_source(spark, sf_dir):
+    n = T.noise(F.col("text"))
+    return _docs(spark, sf_dir).groupBy("source").agg(*(F.sum(n[k].cast("long")).alias(k) for k in T.NOISE))
+
+
+_PCT = ", ".join(f"quantile_disc(length({{c}}), {q / 100})::DOUBLE AS p{q}" for q in profile.PERCENTILES)
+
+
+@query(f"SELECT lang, count(*) AS count, min(length(text))::DOUBLE AS min, {_PCT.format(c='text')}, max(length(text))::DOUBLE AS max, avg(length(text)) AS mean FROM documents GROUP BY lang")
+def char_length_distribution(spark, sf_dir):
+    return profile.distribution(_docs(spark, sf_dir), F.length("text"), ("lang",))
+
+
+@query("SELECT t AS threshold, avg((length(text) <= t)::INT) AS vanilla, avg((length(trim(text)) - length(replace(trim(text), ' ', '')) <= t)::INT) AS base, least(avg((length(text) <= t)::INT), avg((length(trim(text)) - length(replace(trim(text), ' ', '')) <= t)::INT)) AS joint, 1 - least(avg((length(text) <= t)::INT), avg((length(trim(text)) - length(replace(trim(text), ' ', '')) <= t)::INT)) AS overflow FROM documents, (VALUES (64), (128), (256)) v(t) GROUP BY t")
+def length_coverage(spark, sf_dir):
+    blanks = F.length(F.trim("text")) - F.length(F.replace(F.trim("text"), F.lit(" "), F.lit("")))
+    return profile.length_coverage(_docs(spark, sf_dir), F.length("text"), blanks)
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[^" + _WS + "]+'))::BIGINT AS chunks, coalesce(list_sum([length(x) for x in regexp_extract_all(text, '[^" + _WS + "]+')]), 0)::BIGINT AS characters, length(regexp_extract(text, '^[" + _WS + "]*'))::BIGINT AS first_start FROM documents WHERE regexp_matches(text, '[^" + _WS + "]')")
+def whitespace_chunks(spark, sf_dir):
+    c = align.chunks(_docs(spark, sf_dir))
+    return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.col("end").cast("long") - F.col("start")).alias("characters"), F.min(F.col("start").cast("long")).alias("first_start"))
+
+
+# --- corruption -----------------------------------------------------------------------------------------------
+
+
+def _corrupted(spark, sf_dir, name):
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "text", F.col("doc_id").cast("string").alias("sample_id"))
+    return corruption.corrupt(docs, name, 42)
+
+
+@query(f"SELECT doc_id, sha256({_toneless_sql()}) AS digest FROM documents")
+def p100_corruption(spark, sf_dir):
+    return _corrupted(spark, sf_dir, "P100").select("doc_id", T.text_digest(F.col("corruption.corrupted_text")).alias("digest"))
+
+
+@query(f"SELECT doc_id, sha256({_toneless_sql()}) AS digest FROM documents")
+def p100_native(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.text_digest(corruption.strip_tones(F.col("text"))).alias("digest"))
+
+
+@query(f"SELECT doc_id, sha256({_base_sql()}) AS digest FROM documents")
+def strip_all_corruption(spark, sf_dir):
+    return _corrupted(spark, sf_dir, "STRIP_ALL").select("doc_id", T.text_digest(F.col("corruption.corrupted_text")).alias("digest"))
+
+
+@query()
+def p50_corruption(spark, sf_dir):
+    c = _corrupted(spark, sf_dir, "p50").select("doc_id", "corruption", corruption.rates(F.col("corruption")).alias("r"))
+    return c.select("doc_id", "corruption.text_identity", "corruption.candidate_units", "corruption.selected_units", "corruption.modified_units", "r.*")
+
+
+@query()
+def corruption_grid(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("sample_id"), "text")
+    return corruption.grid(docs, 42).groupBy("condition").agg(F.count("*").alias("texts"), F.sum("corruption.selected_units").alias("selected"), F.sum("corruption.modified_units").alias("modified"))
+
+
+@query()
+def rate_scope_draws(spark, sf_dir):
+    item = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("#0"))
+    return _docs(spark, sf_dir).select("doc_id", H.rate_column(35422, item, F.lit("0")).alias("rate"), H.scope_column(35422, item, F.lit("0")).alias("scope"))
+
+
+# --- corpus ---------------------------------------------------------------------------------------------------
+
+_SCREEN = "SELECT doc_id, source FROM documents WHERE source = 'src0' AND sha256(text) {} IN (SELECT sha256(text) FROM documents WHERE source <> 'src0')"
+
+
+def _screened(spark, sf_dir, digest=T.text_digest):
+    docs = _docs(spark, sf_dir)
+    return corpus.screen(docs.where("source = 'src0'"), docs.where("source <> 'src0'"), digest=digest)
+
+
+@query(_SCREEN.format("NOT"))
+def contamination_kept(spark, sf_dir):
+    return _screened(spark, sf_dir)[0].select("doc_id", "source")
+
+
+@query(_SCREEN.format(""))
+def contamination_excluded(spark, sf_dir):
+    return _screened(spark, sf_dir)[1].select("doc_id", "source")
+
+
+@query()
+def contamination_excluded_canonical(spark, sf_dir):
+    return _screened(spark, sf_dir, T.canonical_digest)[1].select("doc_id", "source")
+
+
+@query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY sha256('stage1-split|51733|' || doc_id), doc_id) <= 200 THEN 'dev' ELSE 'train' END AS partition FROM documents")
+def hash_partition_sha2(spark, sf_dir):
+    return corpus.split_documents(_docs(spark, sf_dir), 200, 51733, "doc_id", native=True).select("doc_id", "partition")
+
+
+@query()
+def hash_partition(spark, sf_dir):
+    return corpus.split_documents(_docs(spark, sf_dir), 200, 51733, "doc_id").select("doc_id", "partition")
+
+
+def _chunked(spark, sf_dir):
+    docs = corpus.split_documents(_docs(spark, sf_dir), 200, 51733, "doc_id", native=True)
+    own = docs.where("text <> ''").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"), "partition", F.col("source").alias("source_shard"))
+    return corpus.chunk(own, lambda t: len(t.split()) + 2, lambda t: len(t.split()) + 4, 256)
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    return _chunked(spark, sf_dir)
+
+
+@query()
+def chunk_manifest(spark, sf_dir):
+    return corpus.manifest(_chunked(spark, sf_dir))
+
+
+@query("SELECT source, count(*) AS n, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS digest FROM documents GROUP BY source")
+def membership_digest(spark, sf_dir):
+    return corpus.membership_digest(_docs(spark, sf_dir), "doc_id", ("source",))
+
+
+@query("WITH o AS (SELECT v AS visit, doc_id::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY v ORDER BY sha256('stage1-order|7|' || v || '|' || doc_id), doc_id::VARCHAR) - 1 AS position FROM documents, range(3) r(v)) SELECT visit::INT AS visit, position, ((visit * (SELECT count(*) FROM documents) + position) // 64)::BIGINT AS batch, chunk_id FROM o")
+def pass_order_sha2(spark, sf_dir):
+    own = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"))
+    return corpus.pass_order(own, 7, 3, 64, native=True)
+
+
+@query()
+def pass_order(spark, sf_dir):
+    own = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"))
+    return corpus.pass_order(own, 7, 3, 64)
+
+
+@query(
+    "WITH g AS (SELECT DISTINCT lang, sha256(text) AS d FROM documents), k AS (SELECT lang, d, row_number() OVER (PARTITION BY lang ORDER BY sha256('17486|' || d), d) AS k, count(*) OVER (PARTITION BY lang) AS n FROM g) "
+    "SELECT doc_id, documents.lang, CASE WHEN k.k <= round_even(k.n * 0.8, 0) THEN 'train' ELSE 'validation' END AS part FROM documents JOIN k ON documents.lang = k.lang AND sha256(text) = k.d"
+)
+def stratified_split_sha2(spark, sf_dir):
+    own = _docs(spark, sf_dir)
+    return split.stratified(own, {"train": 0.8, "validation": 0.2}, 17486, T.text_digest(F.col("text")), "lang", native=True).select("doc_id", "lang", "part")
+
+
+@query()
+def stratified_split(spark, sf_dir):
+    own = _docs(spark, sf_dir)
+    return split.stratified(own, {"train": 0.8, "validation": 0.2}, 17486, T.canonical_digest(F.col("text")), "lang").select("doc_id", "lang", "part")
+
+
+# --- inventory, regions ---------------------------------------------------------------------------------------
+
+# A sample of forms for the demonstration queries.
+FORMS = ("the", "of", "and", "de", "la", "der", "que", "un", "hoa", "toan")
+_FORMS_SQL = ", ".join(f"('{f}')" for f in FORMS)
+
+
+def _spans(spark, sf_dir):
+    runs = F.explode(F.regexp_extract_all(T.strip_base(F.col("text")), F.lit(r"(\p{L}+)"), 1))
+    return _docs(spark, sf_dir).select("lang", runs.alias("base_text"))
+
+
+@query(f"WITH s AS (SELECT lang, unnest(regexp_extract_all({_base_sql()}, '\\p{{L}}+')) AS w FROM documents), i(f) AS (VALUES {_FORMS_SQL}) SELECT lang, CASE WHEN f IS NULL THEN 'NOT_APPLICABLE' ELSE 'VIETNAMESE_CANDIDATE' END AS eligibility, count(*) AS spans FROM s LEFT JOIN i ON lower(w) = f GROUP BY ALL")
+def inventory_eligibility(spark, sf_dir):
+    forms = spark.createDataFrame([(f,) for f in FORMS], "form string")
+    return inventory.resolve(_spans(spark, sf_dir), forms).groupBy("lang", "eligibility").agg(F.count("*").alias("spans"))
+
+
+@query("SELECT 5 AS raw, 4 AS unique_canonical, 3 AS unique_stripped, 1 AS collisions")
+def inventory_statistics(spark, sf_dir):
+    rows = spark.createDataFrame([("hòa",), ("hoà",), ("hoa",), ("toán",), ("đi",), (" ",)], "form string")
+    t = inventory.statistics(rows)
+    return t.select(*(F.col(c).cast("int").alias(c) for c in t.columns))
+
+
+_PIECES = "(1, 0, 0, 3), (1, 1, 3, 6), (1, 2, 6, 9), (2, 0, 0, 2), (2, 1, 2, 5)"
+_REGIONS = "(1, 0, 0, 4, 'VIETNAMESE_CANDIDATE'), (1, 1, 4, 5, 'NOT_APPLICABLE'), (1, 2, 5, 7, 'VIETNAMESE_CANDIDATE'), (1, 3, 7, 9, 'VIETNAMESE_CANDIDATE'), (2, 0, 0, 2, 'NOT_APPLICABLE'), (2, 1, 2, 4, 'VIETNAMESE_CANDIDATE'), (2, 2, 4, 5, 'UNDECIDED')"
+
+
+@query(
+    f"WITH p(doc_id, piece_index, a, b) AS (VALUES {_PIECES}), r(doc_id, region_index, s, e, el) AS (VALUES {_REGIONS}), m AS (SELECT p.doc_id, piece_index, count(region_index) AS contributions, count(DISTINCT region_index) FILTER (el = 'VIETNAMESE_CANDIDATE') AS n, min(region_index) FILTER (el = 'VIETNAMESE_CANDIDATE') AS one, bool_or(el = 'UNDECIDED') AS u FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND s < b AND a < e GROUP BY ALL) "
+    "SELECT doc_id, piece_index, contributions, CASE WHEN u THEN 'UNRESOLVED' WHEN n = 0 THEN 'NOT_APPLICABLE' WHEN n = 1 THEN 'SINGLE_CANDIDATE' ELSE 'MULTI_CANDIDATE_AMBIGUOUS' END AS ownership, CASE WHEN n = 1 AND NOT u THEN one END AS tone_region_index FROM m"
+)
+def region_overlay(spark, sf_dir):
+    p = spark.sql(f"SELECT * FROM VALUES {_PIECES} AS t(doc_id, piece_index, global_start, global_end)")
+    r = spark.sql(f"SELECT * FROM VALUES {_REGIONS} AS t(doc_id, region_index, start, end, eligibility)")
+    return align.overlay(p, r).select("doc_id", "piece_index", "contributions", "ownership", "tone_region_index")
+
+
+@query()
+def document_regions(spark, sf_dir):
+    return align.regions(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("regions"), F.count_if("is_syllable").alias("syllables"), F.max("end").alias("characters"))
+
+
+_OFFSETS = "('a', 'xin chao', 0, 'xin', 0, 3, false), ('a', 'xin chao', 1, 'chao', 4, 8, false), ('b', 'xin', 0, 'x@@', 0, 1, false), ('b', 'xin', 1, 'ni', 1, 3, false), ('c', 'xin', 0, 'x', 0, 2, false), ('c', 'xin', 1, 'in', 1, 3, false), ('d', 'xin', 0, 'xin', NULL, NULL, false), ('e', 'xin', 0, '<s>', 0, 0, true)"
+
+
+@query("SELECT * FROM (VALUES ('a', 'NATIVE_EXACT', 7::BIGINT), ('b', 'NATIVE_INEXACT', 3), ('c', 'NATIVE_MALFORMED', 3), ('d', 'ABSENT', 0), ('e', 'NOT_PROBED', 0)) t(case_id, availability, covered_characters)")
+def offset_validation(spark, sf_dir):
+    t = spark.sql(f"SELECT * FROM VALUES {_OFFSETS} AS t(case_id, text, index, token, start, end, is_special)")
+    c = align.coverage(t).select(F.col("case_id").alias("c"), F.col("covered_characters").cast("long").alias("covered_characters"))
+    return align.validate_offsets(t).join(c, F.col("case_id") == F.col("c")).select("case_id", "availability", "covered_characters")
+
+
+# --- metrics, selection ---------------------------------------------------------------------------------------
+
+
+def _judged(spark, sf_dir):
+    return _table(spark, sf_dir, "labels").select(F.col("toxic").alias("prediction"), F.col("quality").alias("label"))
+
+
+_CLASS = "WITH c(label) AS (SELECT quality FROM labels UNION SELECT toxic FROM labels), t AS (SELECT label, count(*) FILTER (quality = label) AS support, count(*) FILTER (quality = label AND toxic = label) AS true_positive, count(*) FILTER (toxic = label AND quality <> label) AS false_positive, count(*) FILTER (quality = label AND toxic <> label) AS false_negative FROM labels, c GROUP BY label), m AS (SELECT *, coalesce(true_positive / nullif(true_positive + false_positive, 0), 0) AS precision, coalesce(true_positive / nullif(support, 0), 0) AS recall FROM t) "
+
+
+@query(_CLASS + "SELECT label, support, true_positive, false_positive, false_negative, round(precision, 9) AS precision, round(recall, 9) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 9) AS f1 FROM m")
+def classification_report(spark, sf_dir):
+    t = metrics.class_scores(_judged(spark, sf_dir))
+    return t.select("label", "support", "true_positive", "false_positive", "false_negative", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(_CLASS + "SELECT round(avg(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0)), 9) AS macro_f1 FROM m")
+def macro_f1(spark, sf_dir):
+    return metrics.macro_f1(_judged(spark, sf_dir)).select(F.round("macro_f1", 9).alias("macro_f1"))
+
+
+@query("SELECT round(avg((quality = toxic)::INT), 9) AS accuracy, count(*) AS n FROM labels")
+def accuracy(spark, sf_dir):
+    return metrics.accuracy(_judged(spark, sf_dir)).select(F.round("accuracy", 9).alias("accuracy"), "n")
+
+
+_GRR = "(72.0, 60.0, 84.0), (48.0, 60.0, 84.0), (70.0, 60.0, 60.0)"
+
+
+@query(f"SELECT s, f, u, (s - f) / nullif(u - f, 0) AS recovery FROM (VALUES {_GRR}) t(s, f, u)".replace("(72.0, 60.0, 84.0)", "(72.0::DOUBLE, 60.0::DOUBLE, 84.0::DOUBLE)"))
+def gap_recovery(spark, sf_dir):
+    t = spark.createDataFrame([(72.0, 60.0, 84.0), (48.0, 60.0, 84.0), (70.0, 60.0, 60.0)], "s double, f double, u double")
+    return t.withColumn("recovery", metrics.gap_recovery_column(F.col("s"), F.col("f"), F.col("u")))
+
+
+_POINTS = "(500, 0.4, 0.2), (1000, 0.3, 0.1), (1500, 0.3, 0.1), (2000, 0.3, 0.2)"
+
+
+@query(f"SELECT u AS update, s::DOUBLE AS score, d::DOUBLE AS d_clean FROM (VALUES {_POINTS}) t(u, s, d) ORDER BY s, d, u LIMIT 1")
+def select_checkpoint(spark, sf_dir):
+    t = spark.createDataFrame([(500, 0.4, 0.2), (1000, 0.3, 0.1), (1500, 0.3, 0.1), (2000, 0.3, 0.2)], "update int, score double, d_clean double")
+    return metrics.best_checkpoint(t)
+
+
+@query("SELECT e.vec_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
+def cosine_distances(spark, sf_dir):
+    """Distances to one stated vector, a single row."""
+    e = _table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(metrics.cosine_distance(F.col("embedding"), F.col("q")), 6).alias("distance"))  # q is one row
+
+
+@query("SELECT quality AS part, count(*) AS n, round(stddev_samp(toxic), 9) AS deviation FROM labels GROUP BY quality")
+def label_deviation(spark, sf_dir):
+    return _table(spark, sf_dir, "labels").groupBy(F.col("quality").alias("part")).agg(F.count("*").alias("n"), F.round(metrics.sample_deviation(F.col("toxic")), 9).alias("deviation"))
+
+
+@query("SELECT role, count(*) AS turns, sum(len(regexp_extract_all(text, '[^" + _WS + "]+')))::BIGINT AS chunks FROM conversations GROUP BY role")
+def conversation_chunks(spark, sf_dir):
+    t = _table(spark, sf_dir, "conversations").select("role", F.size(T.whitespace_chunks(F.col("text"))).alias("n"))
+    return t.groupBy("role").agg(F.count("*").alias("turns"), F.sum(F.col("n").cast("long")).alias("chunks"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '(?i)https?://[^" + _WS + "]+|www\\.[^" + _WS + "]+'))::INT AS urls, len(regexp_extract_all(html, '#[" + _W + "]+'))::INT AS hashtags FROM pages")
+def page_noise(spark, sf_dir):
+    n = T.noise(F.col("html"))
+    return _table(spark, sf_dir, "pages").select("page_id", n["urls"].alias("urls"), n["hashtags"].alias("hashtags"))
