@@ -184,6 +184,8 @@ class Index:
         pairs = align(template, words, shift, band)
         if not pairs:
             return None
+        if len(pairs) < COVERAGE * (pairs[-1][1] - pairs[0][1] + 1):  # words scattered over other text
+            return None
         lead = sum((data[a:x] & 0xC0) != 0x80)
         return len(pairs) / len(template), int(lead) + spots[pairs[0][1]][1], int(lead) + spots[pairs[-1][1]][2]
 
