@@ -138,9 +138,7 @@ def membership_form(text: Column) -> Column:
 
 def first_divergence(a: Column, b: Column) -> Column:
     """Index of the first character in which a and b differ, the shorter length if one starts the other, null if equal."""
-    n = F.least(F.length(a), F.length(b))
-    at = F.array_position(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substr(a, k, F.lit(1)) != F.substr(b, k, F.lit(1))), True)
-    return F.when(a == b, None).when((at > 0) & (n > 0), at.cast("int") - 1).otherwise(n)
+    return _udf("first_divergence", K.first_divergence, "int")(a, b)
 
 
 def word_diff(a: Column, b: Column) -> Column:
