@@ -374,12 +374,12 @@ _REGIONS = "(1, 0, 0, 4, 'VIETNAMESE_CANDIDATE'), (1, 1, 4, 5, 'NOT_APPLICABLE')
 
 @query(
     f"WITH p(doc_id, piece_index, a, b) AS (VALUES {_PIECES}), r(doc_id, region_index, s, e, el) AS (VALUES {_REGIONS}), m AS (SELECT p.doc_id, piece_index, count(region_index) AS contributions, count(DISTINCT region_index) FILTER (el = 'VIETNAMESE_CANDIDATE') AS n, min(region_index) FILTER (el = 'VIETNAMESE_CANDIDATE') AS one, bool_or(el = 'UNDECIDED') AS u FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND s < b AND a < e GROUP BY ALL) "
-    "SELECT doc_id, piece_index, contributions, CASE WHEN u THEN 'UNRESOLVED' WHEN n = 0 THEN 'NOT_APPLICABLE' WHEN n = 1 THEN 'SINGLE_CANDIDATE' ELSE 'MULTI_CANDIDATE_AMBIGUOUS' END AS ownership, CASE WHEN n = 1 AND NOT u THEN one END AS tone_region_index FROM m"
+    "SELECT doc_id, piece_index, contributions, CASE WHEN u THEN 'UNRESOLVED' WHEN n = 0 THEN 'NOT_APPLICABLE' WHEN n = 1 THEN 'SINGLE_CANDIDATE' ELSE 'MULTI_CANDIDATE_AMBIGUOUS' END AS ownership, CASE WHEN n = 1 AND NOT u THEN one ELSE -1 END AS tone_region_index FROM m"
 )
 def region_overlay(spark, sf_dir):
     p = spark.sql(f"SELECT * FROM VALUES {_PIECES} AS t(doc_id, piece_index, global_start, global_end)")
     r = spark.sql(f"SELECT * FROM VALUES {_REGIONS} AS t(doc_id, region_index, start, end, eligibility)")
-    return align.overlay(p, r).select("doc_id", "piece_index", "contributions", "ownership", "tone_region_index")
+    return align.overlay(p, r).select("doc_id", "piece_index", "contributions", "ownership", F.coalesce("tone_region_index", F.lit(-1)).alias("tone_region_index"))
 
 
 @query()
