@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, col, shared_path, small_batches, spool, text_bytes
+from .common import blocks, col, large_batches, shared_path, small_batches, spool, text_bytes
 from .tokens import encoder
 
 END = 2
 WINDOW, LEAST, MOST, MASK = 8, 64, 2048, np.uint64(0xFF)
 DIGEST = 16
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 #: How a row has a chunk: stores it alone, stores it for others too, finds it in another row.
 OWN, SHARED, FOREIGN = range(3)
 
@@ -160,9 +160,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = END) -> str:
     """Encodes docs (doc_id, text), each followed by end_id, and writes the store. Returns its path. A null text counts as empty; rows of one doc_id stay apart, null ids come first."""
     spark = docs.sparkSession
-    small_batches(spark)
     path = path or shared_path(spark, "idstore")
+    large_batches(spark, 2500)
     rows = spool(_encoded(docs, vocabulary, end_id), "idstore-encoded")
+    large_batches(spark, 1000)
     refs = _references(rows)
     owners = refs.groupBy("digest").agg(F.min("rid").alias("owner"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("name"), "owner")
     notes = refs.join(owners, F.col("digest") == F.col("name")).select("rid", "doc_id", F.col("digest").alias("digests"), (F.col("rid") == F.col("owner")).alias("mine"))

@@ -16,8 +16,8 @@ import pyarrow as pa
 
 from .common import coded, expand
 
-#: Entries of a process's table of pieces; it is emptied when full.
-TABLE_ROWS = 400_000
+#: Entries of each of a process's two tables of pieces: a full one becomes the old one, whose entries move over when met again.
+TABLE_ROWS = 600_000
 
 _UNSEEN, _SPACE, _LETTER, _NUMBER, _REST, _JOINT = range(6)
 _WHITE = frozenset([*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -30,6 +30,20 @@ def _look_up(points: np.ndarray) -> None:
         _kind[p] = _SPACE if p in _WHITE else _JOINT if p == 39 else _LETTER if major == "L" else _NUMBER if major == "N" else _REST
 
 
+def _edges() -> np.ndarray:
+    """Whether a piece starts between two kinds, at 8 * former + latter."""
+    table = np.zeros(64, bool)
+    solid = (_LETTER, _NUMBER, _REST, _JOINT)
+    for a in solid:
+        table[8 * a + _SPACE] = True
+        for b in solid:
+            table[8 * a + b] = a != b and _JOINT not in (a, b)
+    return table
+
+
+_EDGE = _edges()
+
+
 def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Byte offsets at which pieces start, and the end. Every row starts a piece."""
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
@@ -37,12 +51,15 @@ def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     if not kind.all():
         _look_up(np.unique(points[kind == _UNSEEN]))
         kind = _kind[points]
-    solid = kind != _SPACE
-    new = np.ones(len(points), bool)
-    now, before = kind[1:], kind[:-1]
-    new[1:] = (solid[:-1] & ~solid[1:]) | (solid[:-1] & solid[1:] & (now != before) & (now != _JOINT) & (before != _JOINT))
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    return np.unique(np.concatenate([lead[new], off[:-1][np.diff(off) > 0], [len(data)]]))
+    edge = _EDGE[kind[:-1] << 3 | kind[1:]]
+    start = np.zeros(len(data) + 1, bool)
+    if len(points) == len(data):
+        start[1:-1] = edge
+    else:
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        start[lead[1:][edge]] = True
+    start[off] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
@@ -56,17 +73,26 @@ class Encoder:
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.table: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _pieces(self, pieces: list[bytes]) -> list[bytes]:
-        table = self.table
-        if len(table) > TABLE_ROWS:
-            table.clear()
-        missing = [p for p in pieces if p not in table]
+        if len(self.table) > TABLE_ROWS:
+            self.table, self.old = {}, self.table
+        table, old = self.table, self.old
+        found = [table.get(p) for p in pieces]
+        missing = []
+        for k, f in enumerate(found):
+            if f is None:
+                p = pieces[k]
+                if (f := old.get(p)) is None:
+                    missing.append(k)
+                else:
+                    found[k] = table[p] = f
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                table[p] = np.array(e.ids, self.kind).tobytes()
-        return [table[p] for p in pieces]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([pieces[k].decode() for k in part], add_special_tokens=False), strict=True):
+                found[k] = table[pieces[k]] = np.array(e.ids, self.kind).tobytes()
+        return found
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids end to end, and the number of ids of each row."""
