@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not path:
         path = f"file://{tempfile.gettempdir()}/toneforge-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
