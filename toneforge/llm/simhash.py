@@ -256,7 +256,7 @@ def shingle_hashes(text: str | None, width: int) -> list[int]:
 def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Of pairs (src, dst), keys of texts (key, text), those whose shingle sets have a Jaccard similarity of at least similarity."""
     ends = pairs.select(F.col("src").alias("end")).union(pairs.select("dst")).distinct()
-    wanted = texts.join(ends, texts["key"] == ends["end"], "left_semi").select("key", "text")
+    wanted = texts.join(ends.hint("merge"), texts["key"] == ends["end"], "left_semi").select("key", "text")  # neither side has a bound: no broadcast at any size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
@@ -301,9 +301,9 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
     repeated = spool(prints.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("chosen")), "dedup-repeated")
     names = docs.columns
     numbered = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), key.alias("row_key"))
-    out = numbered.join(chosen.join(repeated, "chosen", "left_anti"), F.col("row_key") == F.col("chosen"), "left_semi")
+    out = numbered.join(chosen.join(repeated, "chosen", "left_anti").hint("merge"), F.col("row_key") == F.col("chosen"), "left_semi")
     if not repeated.isEmpty():
-        some = numbered.join(chosen.join(repeated, "chosen", "left_semi"), F.col("row_key") == F.col("chosen"), "left_semi")
+        some = numbered.join(chosen.join(repeated, "chosen", "left_semi").hint("merge"), F.col("row_key") == F.col("chosen"), "left_semi")
         one = some.groupBy("row_key").agg(F.first(F.struct(*(f"c{k}" for k in range(len(names))))).alias("row"))
         out = out.select(*(f"c{k}" for k in range(len(names)))).union(one.select("row.*"))
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
