@@ -102,3 +102,35 @@ def test_links_once_each(spark):
     found = [(r.src, r.dst) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()]
     assert sorted(found) == sorted((a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4)
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def brute_kept(texts, width=5, similarity=0.8):
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} for w in words]
+    prints = [brute_print(t, width) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (prints[i] ^ prints[j]).bit_count() <= 4 or both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((label[i], label[j]))
+                label = [x if k == y else k for k in label]
+    return sorted(set(label))
+
+
+def test_all_similar_sets_are_one_group(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(400)]
+    texts = [None, "", "a b", "A  b"]
+    for _ in range(25):
+        w = rng.choices(words, k=rng.randint(30, 120))
+        for _ in range(rng.randint(1, 4)):
+            texts.append(" ".join(w))
+            w = list(w)
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 2)] = rng.choices(words, k=rng.randint(1, 3))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.deduplicated(docs).collect())
+    assert kept == brute_kept(texts)
+    assert simhash.deduplicated(docs.limit(0)).count() == 0

@@ -16,13 +16,14 @@ only, so the join's output holds each link once or a few times and nothing else.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import LongType, StructType
@@ -79,14 +80,6 @@ def fingerprints(texts: list[bytes], width: int) -> np.ndarray:
     return _majority(np.frombuffer(b"".join(parts), ">u8").astype(np.uint64), sizes)
 
 
-def word_fingerprints(texts: list[bytes], seed: int) -> np.ndarray:
-    """SimHash of each text's set of words, by XXH64 with seed. Changed words cost fewer bits here than in shingles."""
-    digest = xxhash.xxh64_digest
-    sets = [set(t.lower().split()) for t in texts]
-    raw = b"".join([digest(w, seed) for s in sets for w in s])
-    return _majority(np.frombuffer(raw, ">u8").astype(np.uint64), np.array([len(s) for s in sets], np.int64))
-
-
 def _printed(docs: DataFrame, prints: dict, text: str = "text") -> DataFrame:
     """docs without the text and with a long column for each of prints, functions from texts to fingerprints. A null text counts as empty."""
     small_batches(docs.sparkSession)
@@ -243,58 +236,191 @@ def linked(prints: DataFrame) -> DataFrame:
 
 # --- one document of each group -------------------------------------------------------------------------------
 
-WORD_SEEDS = (42, 43)
+#: Buckets of the shingles' counts and bits of the map of shared shingles, as powers of two; cells or bits that make a row.
+COUNT_BITS, MAP_BITS, CELLS = 22, 26, 1 << 14
+
+
+def shingles(raw: bytes, width: int) -> np.ndarray:
+    """The distinct shingles of a text, as sorted 64-bit hashes; a shorter text is one shingle."""
+    words = raw.lower().split()
+    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+    size = min(width, len(h))
+    n = len(h) - size + 1 if size else 1
+    x = np.full(n, size, np.uint64)
+    for k in range(size):
+        x = x * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(x ^ (x >> np.uint64(29)))
+
+
+def set_ids(texts: list[bytes], width: int) -> np.ndarray:
+    """A 64-bit hash of each text's shingle set."""
+    return np.array([xxhash.xxh64_intdigest(shingles(t, width).tobytes(), 77) for t in texts], np.uint64)
+
+
+def prefix(found: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in order of (rank of the bucket, hash): so many that two sets of at least similarity have one of them in common, in whatever order all sets are."""
+    keep = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
+    return found[np.lexsort((found, rank[found >> np.uint64(64 - COUNT_BITS)]))[:keep]]
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for b in blocks(batches):
+        data, off = text_bytes(col(b, "text"))
+        raw = data.tobytes()
+        yield b, [raw[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]
 
 
-def shingle_hashes(text: str | None, width: int) -> list[int]:
-    """The distinct shingles of a text, as 64-bit hashes; a shorter text is one shingle."""
-    words = (text or "").encode().lower().split()
-    parts = {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
-    return [xxhash.xxh64_intdigest(p, 42) - (1 << 63) for p in parts]
+def _gathered(parts: DataFrame, add: Callable, finish: Callable, size: int) -> np.ndarray:
+    """One table of bytes from tasks' rows (at, cells); add puts a row's cells in a part of CELLS numbers."""
 
+    def run(t: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS, np.int64)
+        for c in t.column("cells"):
+            add(total, c.as_buffer())
+        return pa.table({"at": t.column("at").slice(0, 1).cast(pa.int32()), "cells": pa.array([finish(total).tobytes()], pa.binary())})
 
-def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Of pairs (src, dst), keys of texts (key, text), those whose shingle sets have a Jaccard similarity of at least similarity."""
-    ends = pairs.select(F.col("src").alias("end")).union(pairs.select("dst")).distinct()
-    wanted = texts.join(ends.hint("merge"), texts["key"] == ends["end"], "left_semi").select("key", "text")  # neither side has a bound: no broadcast at any size
+    out = np.zeros(size, np.uint8)
+    for r in parts.groupBy("at").applyInArrow(run, "at int, cells binary").collect():
+        own = np.frombuffer(bytes(r.cells), np.uint8)
+        out[r.at * len(own) : (r.at + 1) * len(own)] = own
+    return out
+
+
+def _ranks(docs: DataFrame, width: int) -> np.ndarray:
+    """For each bucket of shingle hashes eight times the binary logarithm of its count (of a task at most 255): common passages come last in a prefix. It decides on the number of candidates, not on what is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNT_BITS, np.int32)
+        for _, texts in _texts(batches):
+            np.add.at(counts, np.concatenate([shingles(t, width) for t in texts]) >> np.uint64(64 - COUNT_BITS), 1)
+        small = np.minimum(counts, 255).astype(np.uint8).reshape(-1, CELLS)
+        for at in np.flatnonzero(small.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([small[at].tobytes()], pa.binary())], ["at", "cells"])
+
+    def add(total: np.ndarray, own: pa.Buffer) -> None:
+        total += np.frombuffer(own, np.uint8)
+
+    return _gathered(docs.mapInArrow(run, "at int, cells binary"), add, lambda c: np.minimum(255, 8 * np.log2(1 + c)).astype(np.uint8), 1 << COUNT_BITS)
+
+
+def _shared(hashes: DataFrame) -> np.ndarray:
+    """A map of bits of the hashes' leading MAP_BITS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            sets = [shingle_hashes(t, width) for t in col(b, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([col(b, "key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
+        own = [b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS) for b in batches]
+        bits = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+        ats, first = np.unique(bits // np.uint64(CELLS), return_index=True)
+        for at, part in zip(ats.tolist(), np.split((bits % np.uint64(CELLS)).astype(np.uint16), first[1:]), strict=False):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["at", "cells"])
+
+    def add(total: np.ndarray, own: pa.Buffer) -> None:
+        total[np.frombuffer(own, np.uint16)] = 1
 
-    sets = spool(wanted.mapInArrow(run, "key long, set array<long>"), "simhash-sets")
-    a, b = sets.select(F.col("key").alias("src"), F.col("set").alias("x")), sets.select(F.col("key").alias("dst"), F.col("set").alias("y"))
+    return _gathered(hashes.mapInArrow(run, "at int, cells binary"), add, lambda c: np.packbits(c > 0), 1 << (MAP_BITS - 3))
+
+
+def _lists(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(h, sid, n, pos): for each shingle set its prefix, but for shingles that no other text's prefix has (up to chance in a map of bits); n is the set's size, pos the shingle's place in the set's order."""
+    spark = docs.sparkSession
+    rank = spark.sparkContext.broadcast(_ranks(docs, width))
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _texts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([prefix(shingles(t, width), rank.value, similarity) for t in texts]).view(np.int64))], ["h"])
+
+    shared = docs.mapInArrow(alone, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+
+    held = spark.sparkContext.broadcast(_shared(shared))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _texts(batches):
+            hs, ids, sizes, places = [], [], [], []
+            for t in texts:
+                found = shingles(t, width)
+                own = prefix(found, rank.value, similarity)
+                bit = own >> np.uint64(64 - MAP_BITS)
+                at = np.flatnonzero(held.value[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8) & 1)
+                own = own[at]
+                places.append(at.astype(np.int32))
+                hs.append(own)
+                ids.append(np.full(len(own), xxhash.xxh64_intdigest(found.tobytes(), 77), np.uint64))
+                sizes.append(np.full(len(own), len(found), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["h", "sid", "n", "pos"])
+
+    return spool(docs.mapInArrow(named, "h long, sid long, n int, pos int").distinct(), "dedup-lists")
+
+
+def _labelled(lists: DataFrame, group: DataFrame) -> DataFrame:
+    return lists.join(group, F.col("sid") == F.col("node"), "left").select("h", "sid", "n", "pos", F.coalesce("label", "sid").alias("label"))
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(sid, set) for rows (key, sid) of wanted; texts are (key, text)."""
+    ends = wanted.select(F.col("key").alias("end"), "sid")
+    own = texts.join(ends.hint("merge"), texts["key"] == ends["end"]).select("sid", "text")  # neither side has a bound: no broadcast at any size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, raw in _texts(batches):
+            yield pa.RecordBatch.from_arrays([col(b, "sid"), pa.array([shingles(t, width).view(np.int64) for t in raw], pa.list_(pa.int64()))], ["sid", "set"])
+
+    return spool(own.mapInArrow(run, "sid long, set array<long>").dropDuplicates(["sid"]), "dedup-sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (src, dst) those whose shingle sets have a Jaccard similarity of at least similarity."""
+    a, b = sets.select(F.col("sid").alias("src"), F.col("set").alias("x")), sets.select(F.col("sid").alias("dst"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "src").join(b, "dst").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("src", "dst")
+    return pairs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(both + 1e-9 >= similarity * (F.size("x") + F.size("y") - both)).select("src", "dst")
+
+
+def _ordered(src: str, dst: str) -> list:
+    return [F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst")]
 
 
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies, the one of the smallest doc_id (a null id only if no other has one; then by a hash of the text). All columns, also of clashing names, stay as they are.
 
-    First, rows are one group if their fingerprints of width-word shingles are linked by at most 4 differing bits, directly or over others. Then the rows left are compared by fingerprints of their word sets, on which a changed word costs fewer bits: linked pairs whose width-word shingles have a Jaccard similarity of at least similarity are one group too. The second step runs on what the first has left, so a large group of copies does not bring its pairs along. Null and empty texts are one group; rows that are equal in id and text count as copies; an empty table gives an empty one.
+    Two rows are linked if their fingerprints of width-word shingles differ in at most 4 bits, or if the sets of their width-word shingles have a Jaccard similarity of at least similarity; a group is what is linked directly or over others, and its row is chosen when all links are known. Sets are met by their prefixes, so every pair of that similarity is found. A pair that is in one group already is not compared: first each shingle's sets are compared with two of them, and then those outside the shingle's largest group with all others, so that a large group of near copies does not bring its pairs along. Null and empty texts are one group; rows that are equal in id and text count as copies; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)
     key = F.xxhash64("doc_id", "text", F.lit("near"))
-    prints = spool(_printed(docs.select(F.col("doc_id"), key.alias("key"), "text"), {"fp": lambda texts: fingerprints(texts, width)} | {f"w{s}": lambda texts, s=s: word_fingerprints(texts, s) for s in WORD_SEEDS}), "dedup-prints")
+    prints = spool(_printed(docs.select(F.col("doc_id"), key.alias("key"), "text"), {"fp": lambda texts: fingerprints(texts, width), "sid": lambda texts: set_ids(texts, width)}), "dedup-prints")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")
-    best = prints.groupBy("fp").agg(F.min(order).alias("best"), F.min_by(F.struct(*(f"w{s}" for s in WORD_SEEDS)), order).alias("w"))
-    distinct = spool(best.select("fp", "best", "w.*"), "dedup-distinct")
-    kept = _heads(distinct, components(links(distinct), "dedup-cc"), "fp", "dedup-kept")
-
-    # the survivors' word sets; equal ones hang on the first of them
-    found = None
-    for s in WORD_SEEDS:
-        w = f"w{s}"
-        first = spool(kept.groupBy(w).agg(F.min("best").alias("head")).select(F.col(w).alias("print"), F.col("head.key").alias("key")), f"dedup-{w}")
-        same = kept.join(first, kept[w] == first["print"]).where(F.col("best.key") != F.col("key")).select(F.col("best.key").alias("src"), F.col("key").alias("dst"))
-        near = links(first, "print")
-        named = near.join(first.select(F.col("print").alias("src"), F.col("key").alias("a")), "src").join(first.select(F.col("print").alias("dst"), F.col("key").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        found = same.union(named) if found is None else found.union(same).union(named)
-    pairs = spool(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "dedup-pairs")
-    true = spool(_similar(pairs, docs.select(key.alias("key"), "text"), width, similarity), "dedup-true")
-    heads = _heads(kept.select(F.col("best.key").alias("node_key"), "best"), components(true, "dedup-cc2"), "node_key", "dedup-heads")
+    nodes = spool(prints.groupBy("fp", "sid").agg(F.min(order).alias("best")), "dedup-nodes")
+    sids = spool(nodes.groupBy("sid").agg(F.min("best").alias("best")), "dedup-sids")
+
+    # sets of linked fingerprints hang on the least of them
+    group = components(links(spool(nodes.select("fp").distinct(), "dedup-distinct")), "dedup-cc")
+    of = spool(nodes.join(group, F.col("fp") == F.col("node"), "left").select("sid", F.coalesce("label", "fp").alias("group")), "dedup-groups")
+    hub = of.groupBy("group").agg(F.min("sid").alias("src"))
+    edges = spool(of.join(hub, "group").select("src", F.col("sid").alias("dst")).where("src <> dst"), "dedup-hubs")
+
+    lists = _labelled(_lists(docs.select("text"), width, similarity), components(edges, "dedup-cc1"))
+    mixed = lists.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("h").alias("at"))
+    opened = spool(lists.join(mixed, F.col("h") == F.col("at"), "left_semi"), "dedup-open")
+
+    def fit(n: str, pos: str, m: str, place: str) -> Column:
+        """At the first shingle in common, what is left of both sets must do; this bounds the sizes too."""
+        return F.least(F.col(n) - F.col(pos), F.col(m) - F.col(place)) + 1e-9 >= similarity / (1 + similarity) * (F.col(n) + F.col(m))
+
+    ends = opened.groupBy(F.col("h").alias("at")).agg(F.min(F.struct("pos", "sid", "n", "label")).alias("p"), F.min(F.struct("sid", "pos", "n", "label")).alias("q"))
+    ended = opened.join(ends, F.col("h") == F.col("at"))
+    met = [ended.where((F.col("label") != F.col(f"{e}.label")) & fit("n", "pos", f"{e}.n", f"{e}.pos")).select(*_ordered("sid", f"{e}.sid")) for e in "pq"]
+    wanted = opened.select(F.col("sid").alias("own")).distinct()
+    sets = _sets(docs.select(key.alias("key"), "text"), sids.join(wanted, F.col("sid") == F.col("own")).select("sid", F.col("best.key").alias("key")), width)
+    true = spool(_similar(met[0].union(met[1]).distinct(), sets, similarity), "dedup-true")
+    edges = edges.union(true)
+
+    left = spool(_labelled(opened.drop("label"), components(edges, "dedup-cc2")), "dedup-left")
+    main = left.groupBy("h", "label").agg(F.count("*").alias("many")).groupBy(F.col("h").alias("at")).agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("at", "main")
+    minor = left.join(main, F.col("h") == F.col("at")).where("label <> main").select(F.col("h").alias("at"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("place"), F.col("label").alias("tag"))
+    rest = spool(left.join(minor, (F.col("h") == F.col("at")) & (F.col("label") != F.col("tag")) & fit("n", "pos", "m", "place")).select(*_ordered("sid", "other")).distinct(), "dedup-pairs")
+    edges = edges.union(spool(_similar(rest, sets, similarity), "dedup-true2"))
+
+    heads = _heads(sids, components(edges, "dedup-cc3"), "sid", "dedup-heads")
     chosen = heads.select(F.col("best.key").alias("chosen"))
 
     # rows that are equal in id and text have one key: one of them stays
