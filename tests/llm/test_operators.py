@@ -247,6 +247,20 @@ def test_pii_query_and_redaction(spark):
     assert out[0] is None and out[2] == "é mail <email> now" and out[3] == "call <phone> or <phone>"
 
 
+def test_long_secrets_are_covered_whole():
+    rng = random.Random(9)
+    model = pii.train(1500)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for n in (60, 128, 129, 500, 20_000):
+        part = ["".join(rng.choices(alnum, k=n // 3)) for _ in range(3)]
+        for token in (".".join(part), part[0] + "-4111111111111111-" + part[1], part[0] + "/10.0.0.1/" + part[2]):
+            text = f"some token={token} end"
+            spans = pii.spans_of([text], model)[0][1]
+            inside = {i for _, a, b in spans for i in range(a, b)}
+            assert inside == set(range(11, 11 + len(token))), (n, spans)
+            assert token[-20:] not in pii.redact(text, spans)
+
+
 # 9
 
 def test_base_scores_agree_with_brute_force(spark):

@@ -94,7 +94,7 @@ _TRUNK = re.compile(r"(?<![0-9A-Za-z.+-])00?[1-9][0-9]?(?:[ .-]?[0-9]{2,4}){3,5}
 _LONG_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _RUN = re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ ._-]?[0-9]){11,18}(?![0-9A-Za-z])")
 _PLAIN = re.compile(r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])")
-_SECRET = re.compile(r"[=:][ \t]{0,3}[\"']?([A-Za-z0-9_+/.-]{8,128})")
+_SECRET = re.compile(r"[=:][ \t]{0,3}[\"']?([A-Za-z0-9_+/.-]{8,})")
 _CUES = {
     "secret": re.compile(r"(?:password|passwd|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth)[\"']?\s{0,3}$", re.I),
     "phone": re.compile(r"(?:phone|tel|call|mobile|cell|fax|telefon|t[eé]l[eé]fono|whatsapp)\W{0,4}$", re.I),
@@ -255,15 +255,26 @@ def train(rows: int = TRAIN_ROWS, seed: int = 11) -> Model:
     return model
 
 
+def _outside(span: Span, taken: list[tuple[int, int]]) -> list[Span]:
+    """The parts of span that overlap none of taken."""
+    kind, at, end = span
+    parts = []
+    for a, b in sorted(t for t in taken if t[0] < end and at < t[1]):
+        if at < a:
+            parts.append((kind, at, a))
+        at = max(at, b)
+    return [*parts, (kind, at, end)] if at < end else parts
+
+
 def spans_of(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
-    """For each text its base spans, and all spans: base spans and the added ones, which overlap none of a higher probability and no base span; by kind as in KINDS, then start."""
+    """For each text its base spans, and all spans: base spans and the added ones, which overlap none of a higher probability and no base span; by kind as in KINDS, then start. Of a secret that others overlap, the parts outside of them are added."""
     base, proposed, rows = [], [], []
     for k, text in enumerate(texts):
         own = base_spans(text)
         base.append(own)
         taken = [(a, b) for _, a, b in own]
         for c in dict.fromkeys(candidates(text)):
-            if not any(a < c[2] and c[1] < b for a, b in taken):
+            if _outside(c, taken) if c[0] == "secret" else not any(a < c[2] and c[1] < b for a, b in taken):
                 proposed.append((k, c))
                 rows.append(describe(text, c))
     added: dict[int, list[Span]] = {}
@@ -271,7 +282,11 @@ def spans_of(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span
         p = model.probability(np.array(rows))
         for i in sorted(range(len(rows)), key=lambda i: (proposed[i][0], -p[i], proposed[i][1][1], -proposed[i][1][2])):
             k, c = proposed[i]
-            if p[i] >= model.thresholds[c[0]] and not any(a < c[2] and c[1] < b for _, a, b in added.get(k, ())):
+            if p[i] < model.thresholds[c[0]]:
+                continue
+            if c[0] == "secret":
+                added.setdefault(k, []).extend(_outside(c, [(a, b) for _, a, b in (*base[k], *added.get(k, ()))]))
+            elif not any(a < c[2] and c[1] < b for _, a, b in added.get(k, ())):
                 added.setdefault(k, []).append(c)
     order = {kind: k for k, kind in enumerate(KINDS)}
     return [(own, sorted([*own, *added.get(k, ())], key=lambda s: (order[s[0]], s[1]))) for k, own in enumerate(base)]
