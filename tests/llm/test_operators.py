@@ -202,6 +202,12 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_words_before_a_notice_do_not_hide_it(spark):
+    texts = ["and all the other contributors. All rights reserved.", "licensed as follows: Licensed under the Apache License, Version 2.0", "this one. We say: " + licenses.TEMPLATES[10][1], "all of these rights are now reserved"]
+    got = {(r.doc_id, r.template): texts[r.doc_id][r.start : r.end] for r in licenses.scan(frame(spark, texts)).collect()}
+    assert got == {(0, 16): "All rights reserved", (1, 0): "Licensed under the Apache License, Version 2.0", (2, 10): licenses.TEMPLATES[10][1]}
+
+
 def test_winnowing_keeps_a_shared_fingerprint():
     rng = random.Random(1)
     for _ in range(200):

@@ -85,9 +85,9 @@ def winnowed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def align(template: list[str], words: list[str], shift: int, band: int = BAND) -> list[tuple[int, int]]:
-    """Index pairs of the most equal words in common order, with words near template's diagonal: word j may meet template word i if |j - i - shift| <= band."""
-    m, width = len(template), 2 * band + 1
-    best = np.zeros((m + 1, width), np.int32)  # column c of row i is word i + shift - band + c, up to and with it
+    """Index pairs of the most equal words in common order, with words near template's diagonal: word j may meet template word i if |j - i - shift| <= band. Of alignments with equally many words one of the least span, the first of these."""
+    m, width, one = len(template), 2 * band + 1, len(words) + 1
+    best = np.zeros((m + 1, width), np.int64)  # column c of row i is word i + shift - band + c, up to and with it; one for each equal word, and the latest first word, from 1 on
     code = {w: k for k, w in enumerate(dict.fromkeys(template))}
     numbers = np.array([code.get(w, -1) for w in words] or [-1])
     columns = np.arange(width)
@@ -96,8 +96,11 @@ def align(template: list[str], words: list[str], shift: int, band: int = BAND) -
         inside = (j >= 0) & (j < len(words))
         same = inside & (numbers[np.clip(j, 0, len(numbers) - 1)] == code[template[i]])
         up = np.append(best[i][1:], best[i][-1])  # the row above holds the same word one column on
-        best[i + 1] = np.maximum.accumulate(np.maximum(up, np.where(same, best[i] + 1, 0)))
-    pairs, i, c = [], m, width - 1
+        best[i + 1] = np.maximum.accumulate(np.maximum(up, np.where(same, best[i] + one + np.where(best[i] == 0, j + 1, 0), 0)))
+    # of the ends with most words the one nearest to its first word
+    count, first = np.divmod(best[m] - 1, one)
+    ends = np.flatnonzero(count == count.max())
+    pairs, i, c = [], m, int(ends[np.argmin(ends - first[ends])])
     while i > 0 and c >= 0 and best[i][c] > 0:
         if c > 0 and best[i][c - 1] == best[i][c]:
             c -= 1
@@ -111,6 +114,17 @@ def align(template: list[str], words: list[str], shift: int, band: int = BAND) -
     return pairs[::-1]
 
 
+def dense(pairs: list[tuple[int, int]], need: float) -> list[tuple[int, int]]:
+    """The pairs without words that stand far off at the ends, so that COVERAGE of the span is matched; none if fewer than need are left."""
+    a, b = 0, len(pairs)
+    while b - a >= max(need, 1) and b - a < COVERAGE * (pairs[b - 1][1] - pairs[a][1] + 1):
+        if b - a > 1 and pairs[a + 1][1] - pairs[a][1] >= pairs[b - 1][1] - pairs[b - 2][1]:
+            a += 1
+        else:
+            b -= 1
+    return pairs[a:b] if b - a >= max(need, 1) else []
+
+
 @dataclass
 class Index:
     """The templates' fingerprints, sorted, with the template and place of each."""
@@ -153,12 +167,12 @@ class Index:
             e = k
             while e < len(row) and row[e] == row[k] and kind[e] == t and begin[e] - begin[k] <= reach:
                 e += 1
-            found = self._region(data, off, int(row[k]), t, int((byte[k:e] - 2 * back[k:e]).min()), int(byte[k:e].max()), band)
-            if found and found[0] >= (coverage if len(self.words[t]) >= SHORT else 1):
+            found = self._region(data, off, int(row[k]), t, int((byte[k:e] - 2 * back[k:e]).min()), int(byte[k:e].max()), band, coverage if len(self.words[t]) >= SHORT else 1)
+            if found:
                 yield (int(row[k]), t, *found)
             k = e
 
-    def _region(self, data: np.ndarray, off: np.ndarray, row: int, t: int, low: int, high: int, band: int) -> tuple[float, int, int] | None:
+    def _region(self, data: np.ndarray, off: np.ndarray, row: int, t: int, low: int, high: int, band: int, need: float) -> tuple[float, int, int] | None:
         """The best alignment of template t around the bytes low to high of a row."""
         a, b = int(off[row]), int(off[row + 1])
         slack = 3 * self.chars[t] + 64
@@ -182,10 +196,9 @@ class Index:
             return None
         shift = max(votes, key=lambda d: (sum(votes.get(d + z, 0) for z in range(-band, band + 1)) if len(votes) < 2000 else votes[d], votes[d], -d))
         pairs = align(template, words, shift, band)
+        pairs = dense(pairs, need * len(template) - 1e-9)  # not words scattered over other text
         if not pairs:
             return None
-        if len(pairs) < COVERAGE * (pairs[-1][1] - pairs[0][1] + 1):  # words scattered over other text
-            return None
         lead = sum((data[a:x] & 0xC0) != 0x80)
         return len(pairs) / len(template), int(lead) + spots[pairs[0][1]][1], int(lead) + spots[pairs[-1][1]][2]
 
