@@ -208,6 +208,13 @@ def test_words_before_a_notice_do_not_hide_it(spark):
     assert got == {(0, 16): "All rights reserved", (1, 0): "Licensed under the Apache License, Version 2.0", (2, 10): licenses.TEMPLATES[10][1]}
 
 
+def test_repeated_notices_are_found_each(spark):
+    mit, every = licenses.TEMPLATES[3][1], licenses.TEMPLATES[16][1]
+    texts = [f"{mit}.\n{mit}.\n", f"é Copyright X. {every}.\n" * 7, f"{every} " * 2, "\n".join(f"file{k}.c: {mit}" for k in range(5))]
+    got = sorted((r.doc_id, r.start, r.end) for r in licenses.scan(frame(spark, texts)).where("template in (3, 16)").collect())
+    assert got == [(i, *m.span()) for i, t in enumerate(texts) for m in re.finditer(f"{mit}|{every}", t)]
+
+
 def test_winnowing_keeps_a_shared_fingerprint():
     rng = random.Random(1)
     for _ in range(200):

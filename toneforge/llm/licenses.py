@@ -4,7 +4,8 @@ A text's letters and digits, in lower case and without what stands between them,
 GRAM characters; of each WINDOW neighbouring ones the least is kept. So a text and a template that share
 GRAM + WINDOW - 1 such characters share a kept fingerprint. An inverted index of the templates' fingerprints gives
 candidates (place in the text, template, place in it). Candidates on nearby diagonals are one region; its words
-are aligned with the template's in a band around the diagonal, for the most words in common order. What reaches
+are aligned with the template's in a band around the diagonal, for the most words in common order, and what is left
+around the candidates not covered yet is aligned again, so that repeated notices are found each. What reaches
 COVERAGE of the template's words is reported with its span; of a template of under SHORT words all are wanted, for
 there each word decides what is granted.
 """
@@ -167,14 +168,14 @@ class Index:
             e = k
             while e < len(row) and row[e] == row[k] and kind[e] == t and begin[e] - begin[k] <= reach:
                 e += 1
-            found = self._region(data, off, int(row[k]), t, int((byte[k:e] - 2 * back[k:e]).min()), int(byte[k:e].max()), band, coverage if len(self.words[t]) >= SHORT else 1)
-            if found:
+            for found in self._region(data, off, int(row[k]), t, byte[k:e], back[k:e], band, coverage if len(self.words[t]) >= SHORT else 1):
                 yield (int(row[k]), t, *found)
             k = e
 
-    def _region(self, data: np.ndarray, off: np.ndarray, row: int, t: int, low: int, high: int, band: int, need: float) -> tuple[float, int, int] | None:
-        """The best alignment of template t around the bytes low to high of a row."""
+    def _region(self, data: np.ndarray, off: np.ndarray, row: int, t: int, byte: np.ndarray, back: np.ndarray, band: int, need: float) -> Iterator[tuple[float, int, int]]:
+        """The alignments of template t in a row around the seeds at byte, whose places in the template are back: first on the diagonal on which most words agree, then on those of the seeds that no earlier one covers. A word is matched once."""
         a, b = int(off[row]), int(off[row + 1])
+        low, high = int((byte - 2 * back).min()), int(byte.max())
         slack = 3 * self.chars[t] + 64
         x, y = max(a, low - 64), min(b, high + slack)
         while x > a and data[x] & 0xC0 == 0x80:
@@ -193,14 +194,26 @@ class Index:
             for i in where.get(w, ()):
                 votes[j - i] = votes.get(j - i, 0) + 1
         if not votes:
-            return None
+            return
         shift = max(votes, key=lambda d: (sum(votes.get(d + z, 0) for z in range(-band, band + 1)) if len(votes) < 2000 else votes[d], votes[d], -d))
-        pairs = align(template, words, shift, band)
-        pairs = dense(pairs, need * len(template) - 1e-9)  # not words scattered over other text
-        if not pairs:
-            return None
-        lead = sum((data[a:x] & 0xC0) != 0x80)
-        return len(pairs) / len(template), int(lead) + spots[pairs[0][1]][1], int(lead) + spots[pairs[-1][1]][2]
+        lead = int(np.count_nonzero((data[a:x] & 0xC0) != 0x80))
+        # the seeds' words, and the diagonals of these
+        chars = np.cumsum((data[x:y] & 0xC0) != 0x80) - 1
+        at = np.searchsorted([s[1] for s in spots], chars[byte - x], side="right") - 1
+        of = np.searchsorted(np.cumsum([len(w) for w in template]), back, side="right")
+        order = np.argsort(byte, kind="stable")
+        covered, failed = np.zeros(len(words), bool), set()
+        for j, d in [(None, shift), *zip(at[order].tolist(), (at - of)[order].tolist(), strict=True)]:
+            if d in failed or j is not None and covered[j]:
+                continue
+            pairs = dense(align(template, words, d, band), need * len(template) - 1e-9)  # not words scattered over other text
+            if not pairs:
+                failed.add(d)
+                continue
+            yield len(pairs) / len(template), lead + spots[pairs[0][1]][1], lead + spots[pairs[-1][1]][2]
+            covered[pairs[0][1] : pairs[-1][1] + 1] = True
+            for _, k in pairs:
+                words[k] = ""
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, coverage: float = COVERAGE, band: int = BAND) -> DataFrame:
