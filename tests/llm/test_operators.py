@@ -298,25 +298,156 @@ def test_base_scores_agree_with_brute_force(spark):
     assert mixlm.score(docs.limit(0), F.lit(False)).count() == 0
 
 
-def test_class_model_is_a_distribution():
-    """The probabilities of all next tokens, classes and an end sum to 1."""
+def small_model(seed=1, names=40, n=120):
+    """A mixer with tables of a few texts, and their block."""
+    rng = np.random.default_rng(seed)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.5, rng.integers(0, 60)) % names) for _ in range(n)] + [None, "a b a b a b a b a b c", "x " * 200]
+    table = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([i % 10 == 0 for i in range(len(texts))])], ["doc_id", "text", "held"])
+    old, mixlm.TaskContext = mixlm.TaskContext, type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())})
+    (batch,) = list(mixlm._blocks(iter([table])))
+    mixlm.TaskContext = old
+    block = mixlm.Block(next(mixlm._rows(batch)))
+    tops = np.sort(block.hashes[:8])
+    states = mixlm.States.learn(tops, rng.integers(1, 50, (8, 8)) + 60 * np.eye(8))
+    sizes = mixlm.table_sizes(3000)
+    tables = [np.zeros(2 * s, np.int64) for s in sizes]
+    mixlm.count_contexts(block, states, sizes, tables)
+    weights = np.round(rng.normal(0.2, 0.2, (mixlm._GATES, mixlm.CONTEXTS + 1)), 3)
+    refine = rng.uniform(0.05, 0.95, (mixlm.KINDS, 33))
+    return block, states, mixlm.FirstBits([t.reshape(-1, 2).astype(np.float32) for t in tables], weights, refine)
+
+
+def test_first_bits_agree_with_a_plain_loop():
+    """One document at a time, one token at a time, one bit at a time."""
+    block, states, first = small_model()
+    known = np.append(np.arange(len(block.hashes)) % 5 > 0, False)
+    docs = np.arange(len(block.held))
+    t = mixlm.Tokens(block, docs, states)
+    got = first.log(t, known[t.code])
+    for d in docs.tolist():
+        one = mixlm.Tokens(block, np.array([d]), states)
+        m, own, lean, total, seen = len(block.hashes), np.zeros(6), np.zeros(4), 0.0, {}
+        words = [*block.codes[block.first[d] : block.first[d] + block.counts[d]].tolist(), m]
+        for at in range(0, len(words), mixlm.CHUNK):
+            moved, n, drawn, many = np.zeros(6), 0, np.zeros(4), np.zeros(4)
+            for i in range(at, min(at + mixlm.CHUNK, len(words))):
+                key = (words[i - 1] if i else "start", words[i - 2] if i > 1 else "start")
+                bits = [(0, words[i] == m)]
+                if words[i] != m:
+                    again = seen.get(key) if i else None
+                    if again is not None:
+                        bits.append((1, again == words[i]))
+                    if again != words[i]:
+                        bits.append((2, bool(known[words[i]])))
+                        if known[words[i]]:
+                            bits += [(3 + k, int(block.hashes[words[i]]) >> (63 - k) & 1) for k in range(8)]
+                if i:
+                    seen[key] = words[i]
+                for kind, bit in bits:
+                    x, gate = first.inputs(one, np.array([i]), np.array([kind]))
+                    z = first.weights[gate[0]] @ x[0] + own @ x[0]
+                    p = 1 / (1 + math.exp(-z))
+                    fine = min(max((p + first.refine[kind, min(max(round(float(z) * 2) + 16, 0), 32)]) / 2, 1e-6), 1 - 1e-6)
+                    s = min(kind, 3)
+                    q = 1 / (1 + math.exp(-(math.log(fine / (1 - fine)) + lean[s])))
+                    total += math.log(q if bit else 1 - q)
+                    moved, n = moved + (bit - p) * x[0], n + 1
+                    drawn[s] += bit - q
+                    many[s] += 1
+            own, lean = own + mixlm.RATE * moved / math.sqrt(n), lean + mixlm.REFINE_RATE * drawn / np.sqrt(np.maximum(many, 1))
+        assert abs(total - got[d]) < 2e-3 * max(1, len(words)), d
+
+
+def test_next_tokens_add_up_to_one():
+    """Over all next tokens (each first byte of a hash, unseen words and the end) the coded bits are a distribution."""
+    block, states, first = small_model()
+    block.hashes = np.arange(256, dtype=np.uint64) << np.uint64(56) | np.uint64(5)
+    block.data = np.frombuffer(b"w" * 256, np.uint8)
+    block.starts, block.ends = np.arange(256), np.arange(1, 257)
+    head = [3, 9, 3, 9, 200, 3, 9]  # what follows 3 9 was 3 first, then 200
+
+    def log(codes, known, end):
+        block.codes, block.counts, block.first = np.array(codes, np.int32), np.array([len(codes)]), np.array([0])
+        t = mixlm.Tokens(block, np.array([0]), states)
+        if not end:  # without the end's bit
+            t.end[-1], t.there[-1] = True, False
+        bits = t.bits
+        t.bits = lambda k: tuple(v[: None if end else -1] for v in bits(k))
+        return first.log(t, known)[0]
+
+    flags = lambda n, new=False: np.array([True] * (n - 1) + [not new, False])
+    base = log(head, flags(len(head)), False)
+    total = math.exp(log(head, flags(len(head)), True) - base) + math.exp(log([*head, 7], flags(len(head) + 1, True), False) - base)
+    total += sum(math.exp(log([*head, k], flags(len(head) + 1), False) - base) for k in range(256))
+    # the repeated word is told by one flag; the mass of telling it by its bits is never used
+    assert 0.95 < total < 1 + 1e-5
+
+
+def test_hash_costs_are_a_distribution():
+    rng = np.random.default_rng(4)
+    h = np.sort(np.unique(rng.integers(0, 1 << 63, 500, np.uint64) * np.uint64(2)))
+    counts = rng.poisson(0.4, (len(h), mixlm.STATES))
+    counts[counts.sum(axis=1) == 0, 0] = 1
+    for start in (0, 2, 8):
+        cost = mixlm.hash_costs(h, counts, start) if start else mixlm.hash_costs(h, counts, 1)
+        group = h >> np.uint64(64 - max(start, 1))
+        for g in np.unique(group):
+            total = (2.0 ** -cost[group == g]).sum(axis=0)
+            assert (total <= 1 + 1e-9).all() and (total > 0.999).all()
+
+
+def test_spelling_is_a_distribution():
+    words = [b"the", b"then", b"those", "thé".encode(), b"a"] * 3
+    tables = [np.zeros((s, 2), np.float32) for s in mixlm._SPELL_SIZES]
+    slots, bit, _ = mixlm.spell_bits(words, np.arange(15) % 3)
+    for k in range(mixlm.SPELL_TABLES):
+        np.add.at(tables[k], (slots[k], bit), 1)
     rng = np.random.default_rng(1)
-    seqs = [np.concatenate([rng.integers(2, 9, 20), [1]]).astype(np.uint8) for _ in range(50)]
-    sizes = [4 * mixlm.CLASSES, 33 * mixlm.CLASSES, 33 * 33 * mixlm.CLASSES, mixlm.SLOTS]
-    tables = [np.zeros((s, 2), np.float32) for s in sizes]
-    for s in seqs:
-        slots = mixlm.class_slots(s, np.zeros(len(s), np.int64))
-        for k in range(4):
-            np.add.at(tables[k], (slots[k].ravel(), mixlm._BIT[s].ravel()), 1)
-    model = mixlm._class_model(tables, seqs)
-    head = seqs[0][:5]
-    total = sum(10 ** (model.log10([np.append(head, np.uint8(k))])[0] - model.log10([head])[0]) for k in range(mixlm.CLASSES))
-    assert abs(total - 1) < 1e-6
+    own = mixlm.Speller(tables, rng.normal(0.2, 0.1, (9, 8)), rng.uniform(0.1, 0.9, (9, 33)))
+
+    def head(x):
+        """The probability of the bytes x, whatever follows: all last bytes but the blank's."""
+        slots, bit, _ = mixlm.spell_bits([x], np.array([1]))
+        x_, gate = own.inputs(slots)
+        z = np.einsum("bi,bi->b", own.weights[gate], x_)
+        p = mixlm.refined(z, mixlm.squash(z), own.refine, gate)
+        return np.where(bit == 1, p, 1 - p)[: 8 * len(x)].prod(), 2 ** own.log2([x], np.array([1]))[0]
+
+    for x in (b"", b"t", b"th"):
+        before = head(x)[0] if x else 1.0
+        assert abs(sum(head(x + bytes([k]))[0] for k in range(256)) / before - 1) < 1e-9
+    assert abs(head(b"th")[1] / head(b"th ")[0] - 1) < 1e-9
+
+
+def test_states_and_repeats_do_not_look_ahead():
+    block, states, first = small_model(3)
+    docs = np.flatnonzero(block.counts > 20)[:10]
+    whole = mixlm.Tokens(block, docs, states)
+    counts = block.counts.copy()
+    block.counts = np.where(np.isin(np.arange(len(counts)), docs), 15, counts)
+    part = mixlm.Tokens(block, docs, states)
+    keep, head = whole.pos < 15, part.pos < 15
+    for name in ("state", "run", "hit", "one", "pair", "letter"):
+        assert (getattr(whole, name)[keep] == getattr(part, name)[head]).all(), name
+
+
+def test_scores_do_not_depend_on_buckets_or_blocks(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = F.col("doc_id") % 10 == 0
+    a = {r.doc_id: r for r in mixlm.score(docs, held).collect()}
+    b = {r.doc_id: r for r in mixlm.score(docs, held, names=40).collect()}  # buckets finer than the first bits
+    assert set(a) == set(b)
+    for d, r in a.items():
+        assert r.base_score == pytest.approx(b[d].base_score) and r.n_known == b[d].n_known
+    # each bucket learns weights of its own, from some 40 words here
+    assert np.corrcoef([a[d].score for d in a], [b[d].score for d in a])[0, 1] > 0.99
+    same = {r.doc_id: r.score for r in mixlm.score(docs.repartition(1), held).collect()}
+    assert np.corrcoef([a[d].score for d in a], [same[d] for d in a])[0, 1] > 0.999
 
 
 def test_lm_beats_unigrams_on_held_out(spark):
     got = queries()["op9_mixlm"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert got.s > got.b
+    assert got.s > 0.95 * got.b
 
 
 # 10
