@@ -313,7 +313,7 @@ def small_model(seed=1, names=40, n=120):
     tables = [np.zeros(2 * s, np.int64) for s in sizes]
     mixlm.count_contexts(block, states, sizes, tables)
     weights = np.round(rng.normal(0.2, 0.2, (mixlm._GATES, mixlm.CONTEXTS + 1)), 3)
-    refine = rng.uniform(0.05, 0.95, (mixlm.KINDS, 33))
+    refine = rng.normal(0, 2, (mixlm.KINDS, 33)).astype(np.float32)
     return block, states, mixlm.FirstBits([t.reshape(-1, 2).astype(np.float32) for t in tables], weights, refine)
 
 
@@ -340,18 +340,17 @@ def test_first_bits_agree_with_a_plain_loop():
                     if again != words[i]:
                         bits.append((2, bool(known[words[i]])))
                         if known[words[i]]:
-                            bits += [(3 + k, int(block.hashes[words[i]]) >> (63 - k) & 1) for k in range(8)]
+                            bits += [(3 + k, int(block.hashes[words[i]]) >> (63 - k) & 1) for k in range(mixlm.BITS)]
                 if i:
                     seen[key] = words[i]
                 for kind, bit in bits:
                     x, gate = first.inputs(one, np.array([i]), np.array([kind]))
                     z = first.weights[gate[0]] @ x[0] + own @ x[0]
-                    p = 1 / (1 + math.exp(-z))
-                    fine = min(max((p + first.refine[kind, min(max(round(float(z) * 2) + 16, 0), 32)]) / 2, 1e-6), 1 - 1e-6)
                     s = min(kind, 3)
-                    q = 1 / (1 + math.exp(-(math.log(fine / (1 - fine)) + lean[s])))
+                    fine = (z + first.refine[kind, min(max(round(float(z) * 2) + 16, 0), 32)]) / 2 + lean[s]
+                    q = 1 / (1 + math.exp(-min(max(fine, -mixlm.LIMIT), mixlm.LIMIT)))
                     total += math.log(q if bit else 1 - q)
-                    moved, n = moved + (bit - p) * x[0], n + 1
+                    moved, n = moved + (bit - q) * x[0], n + 1
                     drawn[s] += bit - q
                     many[s] += 1
             own, lean = own + mixlm.RATE * moved / math.sqrt(n), lean + mixlm.REFINE_RATE * drawn / np.sqrt(np.maximum(many, 1))
@@ -359,12 +358,13 @@ def test_first_bits_agree_with_a_plain_loop():
 
 
 def test_next_tokens_add_up_to_one():
-    """Over all next tokens (each first byte of a hash, unseen words and the end) the coded bits are a distribution."""
+    """Over all next tokens (first bits of a hash, unseen words and the end) the coded bits are a distribution."""
     block, states, first = small_model()
-    block.hashes = np.arange(256, dtype=np.uint64) << np.uint64(56) | np.uint64(5)
-    block.data = np.frombuffer(b"w" * 256, np.uint8)
-    block.starts, block.ends = np.arange(256), np.arange(1, 257)
-    head = [3, 9, 3, 9, 200, 3, 9]  # what follows 3 9 was 3 first, then 200
+    n = 1 << mixlm.BITS
+    block.hashes = np.arange(n, dtype=np.uint64) << np.uint64(64 - mixlm.BITS) | np.uint64(5)
+    block.data, block.top = np.frombuffer(b"w" * n, np.uint8), None
+    block.starts, block.ends = np.arange(n), np.arange(1, n + 1)
+    head = [3, 9, 3, 9, 12, 3, 9]  # what follows 3 9 was 3 first, then 12
 
     def log(codes, known, end):
         block.codes, block.counts, block.first = np.array(codes, np.int32), np.array([len(codes)]), np.array([0])
@@ -372,13 +372,13 @@ def test_next_tokens_add_up_to_one():
         if not end:  # without the end's bit
             t.end[-1], t.there[-1] = True, False
         bits = t.bits
-        t.bits = lambda k: tuple(v[: None if end else -1] for v in bits(k))
+        t.bits = lambda k, order: tuple(v[: None if end else -1] for v in bits(k, order))
         return first.log(t, known)[0]
 
-    flags = lambda n, new=False: np.array([True] * (n - 1) + [not new, False])
+    flags = lambda m, new=False: np.array([True] * (m - 1) + [not new, False])
     base = log(head, flags(len(head)), False)
     total = math.exp(log(head, flags(len(head)), True) - base) + math.exp(log([*head, 7], flags(len(head) + 1, True), False) - base)
-    total += sum(math.exp(log([*head, k], flags(len(head) + 1), False) - base) for k in range(256))
+    total += sum(math.exp(log([*head, k], flags(len(head) + 1), False) - base) for k in range(n))
     # the repeated word is told by one flag; the mass of telling it by its bits is never used
     assert 0.95 < total < 1 + 1e-5
 
@@ -403,14 +403,13 @@ def test_spelling_is_a_distribution():
     for k in range(mixlm.SPELL_TABLES):
         np.add.at(tables[k], (slots[k], bit), 1)
     rng = np.random.default_rng(1)
-    own = mixlm.Speller(tables, rng.normal(0.2, 0.1, (9, 8)), rng.uniform(0.1, 0.9, (9, 33)))
+    own = mixlm.Speller(tables, rng.normal(0.2, 0.1, (9, 8)), rng.normal(0, 1, (9, 33)))
 
     def head(x):
         """The probability of the bytes x, whatever follows: all last bytes but the blank's."""
         slots, bit, _ = mixlm.spell_bits([x], np.array([1]))
         x_, gate = own.inputs(slots)
-        z = np.einsum("bi,bi->b", own.weights[gate], x_)
-        p = mixlm.refined(z, mixlm.squash(z), own.refine, gate)
+        p = mixlm.squash(mixlm.refined(np.einsum("bi,bi->b", own.weights[gate], x_), own.refine, gate * 33))
         return np.where(bit == 1, p, 1 - p)[: 8 * len(x)].prod(), 2 ** own.log2([x], np.array([1]))[0]
 
     for x in (b"", b"t", b"th"):
