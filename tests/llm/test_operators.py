@@ -64,6 +64,21 @@ def test_pieces_equal_the_library(spark):
     assert {r.doc_id: r.text for r in back.collect()} == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
 
 
+def test_pieces_of_long_words_and_all_characters(monkeypatch):
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path)
+    rng = random.Random(8)
+    every = "".join(chr(p) for p in range(1, 0x30000) if not 0xD800 <= p < 0xE000 and p != 0x2581)  # over 65,534 characters
+    texts = ["a" * 9000, "".join(rng.choices("abcdefé日の", k=30_000)), every, "x" + "\0y" * 3000, " " * 6000, "no long word", ("ab" * 2500 + " ") * 2]
+    ids, counts = own.encode(*text_bytes(pa.array(texts)))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t) for t in texts]
+    monkeypatch.setattr(pieces, "MATCH_BYTES", 100)  # stretches that cut pieces apart
+    assert np.frombuffer(own._match_long("▁" + "theotherthing" * 400), "<u4").tolist() == library.encode("theotherthing" * 400)
+    assert not any(len(w) > pieces.LONG for w in own.table)
+
+
 # 3
 
 def test_idstore_equals_brute_force(spark):

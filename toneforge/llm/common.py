@@ -19,10 +19,12 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or, where it is unset, a folder of this machine that is then set as the checkpoint folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset, a session on one machine gets a folder of that machine; a cluster must name one."""
     conf = spark.sparkContext.getConf()
     path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file://{tempfile.gettempdir()}/toneforge-checkpoints"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -41,16 +43,11 @@ def spool(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches, for tables with long texts. The setting is of the session."""
+    """Bounds the Arrow batches, for tables with long texts. The setting is of the session; all operators set the same one."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def large_batches(spark: SparkSession, rows: int) -> None:
-    """Arrow batches of so many rows, for operators whose tables pay off over much text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,6 +86,21 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             at = min(end, n)
 
 
+def merged(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in blocks whose texts hold about limit bytes, over the batches' own ends; a longer text is a block of its own."""
+    parts: list[pa.RecordBatch] = []
+    held = 0
+    for b in blocks(batches, text, limit):
+        size = int(text_bytes(col(b, text))[1][-1])
+        if parts and held + size > limit:
+            yield pa.concat_batches(parts)
+            parts, held = [], 0
+        parts.append(b)
+        held += size
+    if parts:
+        yield pa.concat_batches(parts)
+
+
 def col(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -25,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, col, large_batches, shared_path, small_batches, spool, text_bytes
+from .common import col, merged, shared_path, small_batches, spool, text_bytes
 from .tokens import encoder
 
 END = 2
 WINDOW, LEAST, MOST, MASK = 8, 64, 2048, np.uint64(0xFF)
 DIGEST = 16
 BLOCK = 8 << 20
+#: A pack holds about so many bytes of ids, and no more documents than that.
+PACK_BYTES, PACK_DOCS = 32 << 20, 200_000
 #: How a row has a chunk: stores it alone, stores it for others too, finds it in another row.
 OWN, SHARED, FOREIGN = range(3)
 
@@ -77,7 +79,7 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         own = encoder(vocabulary)
         rid = TaskContext.get().partitionId() << 33
         size = own.kind.itemsize
-        for b in blocks(batches, "text", BLOCK):
+        for b in merged(batches, "text", BLOCK):
             ids, counts = own.encode(*text_bytes(col(b, "text")))
             ids = np.insert(ids, np.cumsum(counts), own.kind.type(end_id))
             ends = np.cumsum(counts + 1)
@@ -96,6 +98,12 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "rid long, doc_id long, n_tokens long, wide int, sizes binary, digests binary, ids binary")
 
 
+def _dicts(b: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows one by one, some of them made at a time."""
+    for at in range(0, b.num_rows, 200):
+        yield from b.slice(at, 200).to_pylist()
+
+
 def _split(raw: bytes, n: int = DIGEST) -> list[bytes]:
     return [raw[k : k + n] for k in range(0, len(raw), n)]
 
@@ -130,7 +138,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[dict] = []
     held = 0
     for b in batches:
-        for r in b.to_pylist():
+        for r in _dicts(b):
             if r["ids"] is None:
                 notes[r["digests"]] = r["mine"]
                 continue
@@ -161,18 +169,19 @@ def write(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int
     """Encodes docs (doc_id, text), each followed by end_id, and writes the store. Returns its path. A null text counts as empty; rows of one doc_id stay apart, null ids come first."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "idstore")
-    large_batches(spark, 2500)
+    small_batches(spark)
     rows = spool(_encoded(docs, vocabulary, end_id), "idstore-encoded")
-    large_batches(spark, 1000)
+    size = rows.agg(F.sum(F.col("n_tokens") * F.col("wide")).alias("b"), F.count("*").alias("n")).first()
+    packs = max(1, -(-(size["b"] or 0) // PACK_BYTES), -(-size["n"] // PACK_DOCS))
     refs = _references(rows)
     owners = refs.groupBy("digest").agg(F.min("rid").alias("owner"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("name"), "owner")
     notes = refs.join(owners, F.col("digest") == F.col("name")).select("rid", "doc_id", F.col("digest").alias("digests"), (F.col("rid") == F.col("owner")).alias("mine"))
     every = rows.withColumn("mine", F.lit(None).cast("boolean")).unionByName(notes, allowMissingColumns=True)
-    ordered = every.repartitionByRange("doc_id", "rid").sortWithinPartitions("doc_id", "rid", F.col("ids").isNotNull())
+    ordered = every.repartitionByRange(packs, "doc_id", "rid").sortWithinPartitions("doc_id", "rid", F.col("ids").isNotNull())
     ordered.mapInArrow(_pack, _DOC).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    packs = spark.read.schema(_DOC).parquet(path).where("kind = 'pack'").select("pack", "n_docs", "n_tokens", "root").orderBy("pack").collect()  # one row a file
+    packed = spark.read.schema(_DOC).parquet(path).where("kind = 'pack'").select("pack", "n_docs", "n_tokens", "root").orderBy("pack").collect()  # one row a file
     first, table = 0, []
-    for p in packs:
+    for p in packed:
         table.append((p["pack"], first, p["n_docs"], p["n_tokens"], bytes(p["root"])))
         first += p["n_tokens"]
     whole = merkle([t[4] for t in table])
@@ -214,7 +223,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], checksum_only: bool) -> Iterato
     foreign: dict[bytes, bytes] = {}
     for b in batches:
         out = []
-        for r in b.to_pylist():
+        for r in _dicts(b):
             if r["flags"] is None:
                 foreign[r["digests"]] = r["ids"]
                 continue
@@ -228,7 +237,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], checksum_only: bool) -> Iterato
 
 def read(spark: SparkSession, path: str, checksum_only: bool = False) -> DataFrame:
     """(doc_id, rid, pack, at_id, root, n_tokens, and ids with their width in bytes or ids_crc32) of each document, put together and verified."""
-    small_batches(spark, 200)
+    small_batches(spark)
     docs = spark.read.schema(_DOC).parquet(path).where("kind = 'doc'").drop("kind", "n_docs")
     shared = docs.where("has_shared").select("rid", "wide", "sizes", "digests", "flags", "ids").mapInArrow(_shared, "name binary, chunk binary")
     wanted = _references(docs.where("has_foreign"), FOREIGN)
@@ -273,4 +282,4 @@ def verified(spark: SparkSession, path: str) -> DataFrame:
     if not wrong.isEmpty():
         raise ValueError("a pack's root does not fit its documents")
     starts = manifest.select(F.col("pack").alias("p"), "first")
-    return got.join(F.broadcast(starts), F.col("pack") == F.col("p")).select("doc_id", (F.col("first") + F.col("at_id")).alias("start"), "n_tokens", "ids_crc32")
+    return got.join(starts, F.col("pack") == F.col("p")).select("doc_id", (F.col("first") + F.col("at_id")).alias("start"), "n_tokens", "ids_crc32")

@@ -22,14 +22,20 @@ from pyspark.sql import DataFrame
 from .common import blocks, coded, col, expand, small_batches, text_bytes
 
 BLANK = "▁"
-#: Characters of distinct words that are matched at once, and entries of a process's table of words; it is emptied when full.
-MATCH_CHARS, TABLE_ROWS = 400_000, 400_000
+#: Bytes of distinct words that are matched at once, and that a process's table of words holds, with their ids; it is emptied when full.
+MATCH_BYTES, TABLE_BYTES = 400_000, 48 << 20
+#: Words of over so many characters (text without blanks) are matched a stretch at a time, and not kept.
+LONG = 4000
 BLOCK = 4 << 20
 _LONE = 1 << 17  # token numbers from here on are characters without a piece
 
 
+def _blanked(word: bytes) -> str:
+    return word.decode().replace(" ", BLANK)
+
+
 class Pieces:
-    """Encodes and decodes with one model file. One per process."""
+    """Encodes and decodes with one model file. One per process. A model with a piece of over 16 characters, with a blank after another character in a piece, or with over 65,000 characters in its pieces raises ValueError."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -56,7 +62,13 @@ class Pieces:
         self.points = np.zeros((len(points), 16), np.uint32)
         for k, p in enumerate(points):
             self.points[k, : len(p)] = p
+        self.alphabet = np.unique(self.points[self.points > 0])
+        if len(self.alphabet) > 65_000:
+            raise ValueError("the pieces have over 65,000 different characters")
+        self.codes = np.where(np.arange(16) < self.lengths[:, None], np.searchsorted(self.alphabet, self.points) + 1, 0).astype(np.uint64)
         self.table: dict[bytes, bytes] = {}
+        self.held = 0
+        self.pairs: dict[int, bool] = {}
         self.known_keys, self.known = np.zeros(0, np.int64), np.zeros(0, bool)
 
     # --- encoding ---------------------------------------------------------------------------------------------
@@ -90,23 +102,22 @@ class Pieces:
 
     def _edges(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, token) of every occurrence of every piece in points, where 0 parts words."""
-        alphabet = np.unique(points)
-        x = np.searchsorted(alphabet, points).astype(np.uint64) + np.uint64(1)
+        # characters that no piece has are one code, which no piece has either
+        at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
+        x = np.where(self.alphabet[at] == points, at + 1, len(self.alphabet) + 1).astype(np.uint64)
         n = len(x)
+        occurs = np.zeros(len(self.alphabet) + 2, bool)
+        occurs[0] = True
+        occurs[x.astype(np.int64)] = True
         x = np.concatenate([x, np.zeros(16, np.uint64)])
         bits = np.uint64(16)
-        if len(alphabet) >= 65535:
-            raise ValueError("over 65534 different characters in one batch")
         four = x[: n + 13] << (bits * np.uint64(3)) | x[1 : n + 14] << (bits * np.uint64(2)) | x[2 : n + 15] << bits | x[3 : n + 16]
         keys = [four[k : k + n] for k in (0, 4, 8, 12)]
         order = np.lexsort(keys[::-1])
         # pieces whose characters all occur
-        at = np.searchsorted(alphabet, self.points)
-        there = (at < len(alphabet)) & (alphabet[np.minimum(at, len(alphabet) - 1)] == self.points)
-        inside = np.arange(16) < self.lengths[:, None]
-        use = np.flatnonzero((there | ~inside).all(axis=1))
-        chars = np.where(inside[use], at[use] + 1, 0).astype(np.uint64)
-        low, high = self._packed(chars), self._packed(np.where(inside[use], chars, np.uint64(0xFFFF)))
+        use = np.flatnonzero(occurs[self.codes.astype(np.int64)].all(axis=1))
+        chars, inside = self.codes[use], np.arange(16) < self.lengths[use, None]
+        low, high = self._packed(chars), self._packed(np.where(inside, chars, np.uint64(0xFFFF)))
         first, last = self._search(keys, order, low, False), self._search(keys, order, high, True)
         count = last - first
         hit = np.flatnonzero(count > 0)
@@ -223,6 +234,43 @@ class Pieces:
         end = np.searchsorted(of, np.arange(len(words) + 1)) * 4
         return [raw[a:b] for a, b in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
 
+    def _match_long(self, word: str) -> bytes:
+        """The ids of one long word. Edges are found a stretch at a time, with as much beyond it as the longest piece has, and relaxed from each start on: what ends there has started before."""
+        points = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        n, whole = len(points), self._whole(np.arange(self.size)).tolist()
+        last, came = np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int64)
+        pairs = self.pairs
+        for at in range(0, n, MATCH_BYTES):
+            start, size, token = self._edges(points[at : at + MATCH_BYTES + 15])
+            start = start + at
+            own = start < at + MATCH_BYTES
+            start, size, token = start[own], size[own], token[own]
+            end = min(n, at + MATCH_BYTES)
+            single = np.zeros(end - at, bool)
+            single[start[size == 1] - at] = True
+            alone = np.flatnonzero(~single) + at
+            start, size = np.concatenate([start, alone]), np.concatenate([size, np.ones(len(alone), np.int64)])
+            token = np.concatenate([token, points[alone].astype(np.int64) + _LONE])
+            order = np.argsort(start, kind="stable")
+            for s, m, t in zip(start[order].tolist(), size[order].tolist(), token[order].tolist(), strict=True):
+                if s == 0:
+                    good = t >= _LONE or whole[t]
+                elif (before := int(last[s])) < 0:
+                    continue
+                elif (good := pairs.get(key := before << 21 | t)) is None:
+                    if len(pairs) > 2_000_000:
+                        pairs.clear()
+                    good = pairs[key] = self._stay(before, t)
+                if good:
+                    last[s + m], came[s + m] = t, s
+        out, at = [], n
+        while at > 0:
+            if (t := int(last[at])) < 0:
+                raise RuntimeError("a word has no path")
+            out.extend([t] if t < _LONE else [self.byte_id[v] for v in reversed(chr(t - _LONE).encode())])
+            at = int(came[at])
+        return np.array(out[::-1], "<u4").tobytes()
+
     def _whole(self, token: np.ndarray) -> np.ndarray:
         """Whether a piece, merged from its characters, is that piece."""
         if not hasattr(self, "_reached"):
@@ -276,23 +324,28 @@ class Pieces:
         return ids, np.diff(before[np.searchsorted(cut, off)])
 
     def _words(self, values: list[bytes]) -> list[bytes]:
-        table = self.table
-        if len(table) > TABLE_ROWS:
-            table.clear()
-        part, held = [], 0
+        if self.held > TABLE_BYTES:
+            self.table, self.held = {}, 0
+        table, long, part, held = self.table, {}, [], 0
         for v in dict.fromkeys(values):
-            if v not in table:
-                part.append(v)
-                held += len(v) + 1
-                if held > MATCH_CHARS:
-                    self._fill(part)
-                    part, held = [], 0
+            if v in table:
+                continue
+            if len(v) > LONG:
+                long[v] = self._match_long(_blanked(v))
+                continue
+            part.append(v)
+            held += len(v) + 1
+            if held > MATCH_BYTES:
+                self._fill(part)
+                part, held = [], 0
         if part:
             self._fill(part)
-        return [table[v] for v in values]
+        return [table[v] if v in table else long[v] for v in values]
 
     def _fill(self, part: list[bytes]) -> None:
-        self.table.update(zip(part, self._match([v.decode().replace(" ", BLANK) for v in part]), strict=True))
+        found = self._match([_blanked(v) for v in part])
+        self.table.update(zip(part, found, strict=True))
+        self.held += sum(map(len, part)) + sum(map(len, found)) + 100 * len(part)
 
     # --- decoding ---------------------------------------------------------------------------------------------
 
@@ -333,7 +386,7 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), tex
 
 
 def decode(rows: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
-    """keep's columns and the text of ids; null ids give a null text."""
+    """keep's columns and the text of ids; null ids give a null text, no ids an empty one; repeated rows and empty tables pass through, other columns are not read."""
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields), "text string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

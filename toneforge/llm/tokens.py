@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -79,19 +80,18 @@ class Encoder:
         if len(self.table) > TABLE_ROWS:
             self.table, self.old = {}, self.table
         table, old = self.table, self.old
-        found = [table.get(p) for p in pieces]
-        missing = []
-        for k, f in enumerate(found):
-            if f is None:
-                p = pieces[k]
-                if (f := old.get(p)) is None:
-                    missing.append(k)
-                else:
-                    found[k] = table[p] = f
+        found = list(map(table.get, pieces))
+        missing = [k for k, f in enumerate(found) if f is None]
+        if old and missing:
+            for k, f in zip(missing, [old.get(pieces[k]) for k in missing], strict=True):
+                if f is not None:
+                    found[k] = table[pieces[k]] = f
+            missing = [k for k in missing if found[k] is None]
+        code = "H" if self.kind.itemsize == 2 else "I"
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             for k, e in zip(part, self.tokenizer.encode_batch_fast([pieces[k].decode() for k in part], add_special_tokens=False), strict=True):
-                found[k] = table[pieces[k]] = np.array(e.ids, self.kind).tobytes()
+                found[k] = table[pieces[k]] = array(code, e.ids).tobytes()
         return found
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
