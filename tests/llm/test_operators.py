@@ -289,6 +289,44 @@ def test_long_secrets_are_covered_whole():
             assert token[-20:] not in pii.redact(text, spans)
 
 
+def test_added_spans_agree_with_a_plain_selection():
+    """Candidates of the best probability first; each must be free of base spans and of those chosen before."""
+    rng = random.Random(5)
+    model = pii.train(1500)
+    parts = ["bob [at] example [dot] com", "555-123-4567", "token=abcdef0123456789", "4111.1111.1111.1111", "a@b.org", "10.0.0.1", "x", "call", "(212) 555-0100", "1:2:3:4:5:6:7:8", "key: +4930123456789abc"]
+    for _ in range(150):
+        text = rng.choice([" ", "", ", "]).join(rng.choices(parts, k=rng.randint(0, 9)))
+        base = pii.base_spans(text)
+        free = lambda s, taken: [i for i in range(s[1], s[2]) if not any(a <= i < b for _, a, b in taken)]
+        found = [c for c in dict.fromkeys(pii.candidates(text)) if free(c, base) and (c[0] == "secret" or len(free(c, base)) == c[2] - c[1])]
+        p = [float(model.probability(np.array([pii.describe(text, c)]))[0]) for c in found]
+        chosen = []
+        for _, c, q in sorted(((-q, c[1], -c[2]), c, q) for c, q in zip(found, p, strict=True)):
+            points = free(c, [*base, *chosen])
+            if q >= model.thresholds[c[0]] and points and (c[0] == "secret" or len(points) == c[2] - c[1]):
+                chosen += [(c[0], a, a + 1) for a in points]
+        want = {(k, i) for k, a, b in (*base, *chosen) for i in range(a, b)}
+        assert {(k, i) for k, a, b in pii.spans_of([text], model)[0][1] for i in range(a, b)} == want, text
+
+
+def test_many_candidates_and_long_addresses_take_linear_time():
+    import time
+
+    model = pii.train(1500)
+    times = []
+    for n in (5_000, 20_000):
+        text = " or ".join(f"{i % 900 + 100}-555-{i % 9000 + 1000}" for i in range(n))
+        start = time.time()
+        spans = pii.spans_of([text], model)[0][1]
+        times.append(time.time() - start)
+        assert len(spans) > 0.9 * n
+    assert times[1] < 12 * times[0] + 1
+    host, local = "h" * 300, "l" * 500
+    text = f"mail {local} [at] {host} [dot] a1 [dot] b2 [dot] c3 [dot] d4 [dot] e5 [dot] com now"
+    assert ("email", 5, len(text) - 4) in pii.candidates(text)
+    assert pii.candidates("a at " * 40_000 + "dot") == []
+
+
 # 9
 
 def test_base_scores_agree_with_brute_force(spark):

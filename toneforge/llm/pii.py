@@ -88,7 +88,7 @@ def base_spans(text: str) -> list[Span]:
 
 # --- candidates beyond the base patterns ----------------------------------------------------------------------
 
-_WRITTEN = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[\[({] ?(?:at|AT) ?[\])}] ?| (?:at|AT) )[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?(?:dot|DOT) ?[\])}] ?| (?:dot|DOT) |\.)[A-Za-z0-9-]{2,63}){1,4}")
+_WRITTEN = re.compile(r"[A-Za-z0-9._%+-]++(?: ?[\[({] ?(?:at|AT) ?[\])}] ?| (?:at|AT) )[A-Za-z0-9-]++(?:(?: ?[\[({] ?(?:dot|DOT) ?[\])}] ?| (?:dot|DOT) |\.)[A-Za-z0-9-]{2,}+)++")
 _NATIONAL = re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])")
 _TRUNK = re.compile(r"(?<![0-9A-Za-z.+-])00?[1-9][0-9]?(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9A-Za-z])")
 _LONG_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
@@ -125,13 +125,13 @@ _AT = re.compile(r"[\[({] ?(?:at|AT)| (?:at|AT) ")
 
 
 def _around(text: str, pattern: re.Pattern) -> Iterator[re.Match]:
-    """Matches of pattern that hold an _AT. The window before it is as long as the longest local part."""
+    """Matches of pattern that hold an _AT, from the first character of the local part before it on. Each character is passed by once for an _AT."""
     floor = 0
     for hit in _AT.finditer(text):
         if hit.start() < floor:
             continue
         start = hit.start() - (text[hit.start() - 1 : hit.start()] == " " and hit.start() > floor)
-        while start > max(floor, hit.start() - 65) and text[start - 1] in _LOCAL:
+        while start > floor and text[start - 1] in _LOCAL:
             start -= 1
         if m := pattern.match(text, start):
             yield m
@@ -255,26 +255,44 @@ def train(rows: int = TRAIN_ROWS, seed: int = 11) -> Model:
     return model
 
 
-def _outside(span: Span, taken: list[tuple[int, int]]) -> list[Span]:
-    """The parts of span that overlap none of taken."""
-    kind, at, end = span
-    parts = []
-    for a, b in sorted(t for t in taken if t[0] < end and at < t[1]):
-        if at < a:
-            parts.append((kind, at, a))
-        at = max(at, b)
-    return [*parts, (kind, at, end)] if at < end else parts
+class _Taken:
+    """Which code points of a text are taken: a byte for each, so that a span is looked up in its own length, however many spans there are."""
+
+    def __init__(self, n: int) -> None:
+        self.mark = bytearray(n)
+
+    def add(self, a: int, b: int) -> None:
+        self.mark[a:b] = b"\1" * (b - a)
+
+    def meets(self, a: int, b: int) -> bool:
+        return self.mark.find(1, a, b) >= 0
+
+    def outside(self, span: Span) -> list[Span]:
+        """The parts of span that are free."""
+        kind, at, end = span
+        parts = []
+        while (at := self.mark.find(0, at, end)) >= 0:
+            stop = self.mark.find(1, at, end)
+            stop = end if stop < 0 else stop
+            parts.append((kind, at, stop))
+            at = stop
+        return parts
 
 
 def spans_of(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
     """For each text its base spans, and all spans: base spans and the added ones, which overlap none of a higher probability and no base span; by kind as in KINDS, then start. Of a secret that others overlap, the parts outside of them are added."""
     base, proposed, rows = [], [], []
+    taken: dict[int, _Taken] = {}
     for k, text in enumerate(texts):
         own = base_spans(text)
         base.append(own)
-        taken = [(a, b) for _, a, b in own]
-        for c in dict.fromkeys(candidates(text)):
-            if _outside(c, taken) if c[0] == "secret" else not any(a < c[2] and c[1] < b for a, b in taken):
+        if not (more := dict.fromkeys(candidates(text))):
+            continue
+        mine = taken[k] = _Taken(len(text))
+        for _, a, b in own:
+            mine.add(a, b)
+        for c in more:
+            if mine.outside(c) if c[0] == "secret" else not mine.meets(c[1], c[2]):
                 proposed.append((k, c))
                 rows.append(describe(text, c))
     added: dict[int, list[Span]] = {}
@@ -284,10 +302,11 @@ def spans_of(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span
             k, c = proposed[i]
             if p[i] < model.thresholds[c[0]]:
                 continue
-            if c[0] == "secret":
-                added.setdefault(k, []).extend(_outside(c, [(a, b) for _, a, b in (*base[k], *added.get(k, ()))]))
-            elif not any(a < c[2] and c[1] < b for _, a, b in added.get(k, ())):
-                added.setdefault(k, []).append(c)
+            free = taken[k].outside(c)
+            if c[0] != "secret" and free != [c]:
+                continue
+            added.setdefault(k, []).extend(free)
+            taken[k].add(c[1], c[2])
     order = {kind: k for k, kind in enumerate(KINDS)}
     return [(own, sorted([*own, *added.get(k, ())], key=lambda s: (order[s[0]], s[1]))) for k, own in enumerate(base)]
 
@@ -327,7 +346,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def redacted(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:
-    """docs with its texts redacted; all columns, also of clashing names, as they were. A null text stays null."""
+    """docs with its texts redacted; all columns, also of clashing names, as they were. A null text stays null, an empty one empty; repeated rows and null ids are rows like others, an empty table gives an empty one, long texts are read whole."""
     small_batches(docs.sparkSession)
     model = model or train()
     schema = docs.schema
