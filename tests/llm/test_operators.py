@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -528,6 +529,36 @@ def test_nearest_agree_with_brute_force(spark):
     assert ann.nearest(docs.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_tiny_and_huge_vectors_take_part(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 2)  # several blocks
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 8))
+    scale = [1e-200, 1e200, 1.0, 5e-324 * 2**60, 1e-310]
+    rows = [(i, (v * scale[i % 5]).tolist(), "c") for i, v in enumerate(x)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, class string")
+    got = {}
+    for r in ann.nearest(docs, F.col("vec_id") % 5 < 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    y = np.array([np.array(v) / np.abs(v).max() for _, v, _ in rows])
+    u = y / np.linalg.norm(y, axis=1, keepdims=True)
+    for q in range(40):
+        order = [i for i in np.argsort(-(u @ u[q]), kind="stable").tolist() if i != q][:5]
+        assert [i for i, _ in got[q]] == order
+        assert np.allclose([s for _, s in got[q]], (u @ u[q])[order], atol=1e-12)
+
+
+def test_cosines_of_plain_vectors_are_exact(spark):
+    rng = np.random.default_rng(6)
+    pairs = [(rng.normal(size=7).tolist(), rng.normal(size=7).tolist()) for _ in range(50)]
+
+    def plain(a, b):
+        dot = lambda x, y: reduce(lambda t, pq: t + pq[0] * pq[1], zip(x, y, strict=True), 0.0)
+        return dot(a, b) / (math.sqrt(dot(a, a)) * math.sqrt(dot(b, b)))
+
+    got = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<double>, b array<double>").select("i", ann.cosine(F.col("a"), F.col("b")).alias("c")).orderBy("i").collect()
+    assert all(r.c == plain(*pairs[r.i]) for r in got)
+
+
 # the pipeline
 
 def test_pipeline_stages(spark, tmp_path):

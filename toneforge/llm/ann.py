@@ -3,8 +3,9 @@
 Equal vectors are one class, indexed once; its least ids are kept beside it. Classes are dealt into shards by a
 hash of the vector. In a shard a graph is built in two passes over its vectors: a greedy beam search from the entry
 proposes neighbours, relaxed pruning keeps those that no kept one is much nearer to, and back edges are pruned the
-same way when a list is full. The graphs are written to the shared folder; queries go to every shard in blocks of a
-fixed size, by a beam search, and the best of all shards are ranked by the exact cosine in double precision.
+same way when a list is full. The graphs are written to the shared folder. Queries go to every shard, a block of a
+fixed size at a time: the block is broadcast, its hits are written out, and the next block takes its place, so neither
+the driver nor a plan holds more than one. The best of all shards are ranked by the exact cosine in double precision.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, spool
+from .common import shared_path, small_batches, spool
 
 #: Vectors of a shard (about), out-degree, beams of building and of searching, slack of pruning, queries of a block.
-SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, SLACK, QUERY_BLOCK = 4096, 32, 48, 96, 1.2, 4096
+SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, SLACK, QUERY_BLOCK = 4096, 32, 48, 96, 1.2, 16384
 
 
 class Graph:
@@ -132,9 +135,8 @@ def classes(vectors: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("class"), "v", "ids")
 
 
-def _unit(v: pd.Series) -> np.ndarray:
-    x = np.array(v.tolist(), np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -148,7 +150,7 @@ def index(own: DataFrame, shard: int = SHARD) -> DataFrame:
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("class")
-        unit = _unit(pdf["v"]).astype(np.float32)
+        unit = _unit(np.array(pdf["v"].tolist(), np.float64)).astype(np.float32)
         g = Graph.build(unit)
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "entry": [g.entry], "n": [len(pdf)], "dim": [unit.shape[1]], "classes": [pdf["class"].to_numpy("<i8").tobytes()], "unit": [unit.tobytes()], "edges": [g.edges.tobytes()]})
 
@@ -162,16 +164,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, beam: int = SEARCH
     own = spool(classes(vectors, k), "ann-classes")
     graphs = spool(index(own, shard), "ann-graphs")
     asked = vectors.where(is_query).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v")).where("query_id is not null").where(usable(F.col("v"))).distinct()
-    # queries in blocks of a fixed size, each sent to all shards
-    numbered = spool(asked.withColumn("block", F.lit(0)), "ann-queries")
-    count = numbered.count()
-    many = max(1, -(-count // QUERY_BLOCK))
-    found: DataFrame | None = None
+    numbered = spool(asked, "ann-queries")
+    many = max(1, -(-numbered.count() // QUERY_BLOCK))
+    path = shared_path(spark, "ann-hits")
     for b in range(many):
-        block = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(many)) == b).select("query_id", "v").orderBy("query_id").collect()  # about QUERY_BLOCK rows
-        part = _searched(graphs, [r["query_id"] for r in block], [r["v"] for r in block], k + 1, beam)
-        found = part if found is None else found.unionByName(part)
-    hits = spool(found, "ann-hits")
+        block = numbered.where(F.pmod(F.xxhash64("query_id", "v"), F.lit(many)) == b).orderBy("query_id").toArrow()  # about QUERY_BLOCK rows
+        sent = spark.sparkContext.broadcast(_by_length(block))
+        _searched(graphs, sent, k + 1, beam).write.mode("append").parquet(path)
+        sent.destroy()
+    hits = spark.read.schema(_HIT).parquet(path)
     # each hit class brings its least ids, and the exact score
     members = own.select(F.col("class").alias("c"), "ids", F.col("v").alias("w"))
     met = hits.join(members, F.col("class") == F.col("c")).join(numbered.select(F.col("query_id").alias("q"), "v"), F.col("query_id") == F.col("q"))
@@ -182,30 +183,54 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, beam: int = SEARCH
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """In double precision. Both are first divided by a power of two near their largest component, which changes no digit, so neither tiny nor huge components leave the range of doubles."""
+
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
 
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    def near_one(x: Column) -> Column:
+        power = F.floor(F.log2(F.array_max(F.transform(x, F.abs))))
+        half = F.floor(power / 2)  # in two steps: the power itself may be no double's inverse
+        return F.transform(x, lambda p: p / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), power - half))
+
+    u, v = near_one(a), near_one(b)
+    return dot(u, v) / (F.sqrt(dot(u, u)) * F.sqrt(dot(v, v)))
+
+
+_HIT = "query_id long, class long"
+
+
+def _by_length(block: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors the queries' ids and unit vectors."""
+    ids, v = block.column("query_id").to_numpy(), block.column("v").combine_chunks()
+    size = pc.list_value_length(v).to_numpy(zero_copy_only=False)
+    out = {}
+    for dim in np.unique(size).tolist():
+        own = np.flatnonzero(size == dim)
+        x = v.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), dim)
+        out[dim] = ids[own], _unit(x).astype(np.float32)
+    return out
 
 
-def _searched(graphs: DataFrame, ids: list[int], vectors: list[list[float]], k: int, beam: int) -> DataFrame:
+def _searched(graphs: DataFrame, queries: Broadcast, k: int, beam: int) -> DataFrame:
     """(query_id, class): the k nearest classes of every shard, and those as near as the last of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                if r["dim"] not in queries.value:
+                    continue
+                ids, asked = queries.value[r["dim"]]
                 own = np.frombuffer(r["classes"], "<i8")
                 unit = np.frombuffer(r["unit"], np.float32).reshape(r["n"], r["dim"])
                 edges = np.frombuffer(r["edges"], np.int32).reshape(r["n"], -1)
                 g = Graph(unit, edges, r["entry"])
-                mine = [i for i, v in enumerate(vectors) if len(v) == r["dim"]]
-                for at in range(0, len(mine), 512):
-                    part = mine[at : at + 512]
-                    q = _unit(pd.Series([vectors[i] for i in part])).astype(np.float32)
-                    got, sims, _ = g.search(q, min(beam, max(r["n"], 1)))
+                for x in range(0, len(ids), 512):
+                    got, sims, _ = g.search(asked[x : x + 512], min(beam, max(r["n"], 1)))
                     last = sims[:, min(k, sims.shape[1]) - 1]
                     good = (got >= 0) & (sims >= last[:, None] - np.float32(1e-6))
                     row, c = np.nonzero(good)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array([ids[i] for i in part], np.int64)[row]), pa.array(own[got[row, c]])], ["query_id", "class"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x : x + 512][row]), pa.array(own[got[row, c]])], ["query_id", "class"])
 
-    return graphs.mapInArrow(run, "query_id long, class long")
+    return graphs.mapInArrow(run, _HIT)
