@@ -44,13 +44,57 @@ def test_language_of_odd_texts(spark):
 def test_gram_vectors_bind_permuted_letters():
     data, off = text_bytes(pa.array(["ab"]))
     row, key = langid.letter_grams(data, off)
-    own = langid._letter_vectors()
-    a, b = (own[langid._seen[c]].astype(int) for c in "ab")
-    blank = own[0].astype(int)
+    a, b, blank = (langid._sign_vector(c).astype(int) for c in ("a", "b", ""))
     want = np.roll(blank, 2) * np.roll(a, 1) * b + np.roll(a, 2) * np.roll(b, 1) * blank
     assert (langid.gram_vectors(key).sum(axis=0) == want).all()
 
 
+def plain_profile(text):
+    """The sum of all letter trigrams' vectors, one at a time."""
+    letters = [langid._sign_vector(c.lower()[0]).astype(int) if c.isalpha() else langid._sign_vector("").astype(int) for c in f"\0{text}\0"]
+    return sum((np.roll(x, 2) * np.roll(y, 1) * z for x, y, z, c in zip(letters, letters[1:], letters[2:], text, strict=False) if c.isalpha()), np.zeros(langid.DIM))
+
+
+def test_language_agrees_with_brute_force(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(a, k=rng.randint(1, 60))) for a in ("abcde fé", "xyzuv wß", "日本語文字, ") for _ in range(12)]
+    rows = [(i, t, "abc"[i // 12], "x") for i, t in enumerate(texts)] + [(3, texts[3], "a", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    proto = {k: sum(plain_profile(t) for i, t, g, _ in rows if g == k and i % 4 != 2) for k in "abc"}
+    unit = {k: v / np.linalg.norm(v) for k, v in proto.items()}
+    for dense in (1 << 23, 1):  # by a table, and each row's own
+        monkeypatch.setattr(langid, "DENSE", dense)
+        labels, profile = langid.prototypes(docs.where("doc_id % 4 <> 2"))
+        assert labels == ["a", "b", "c"] and all((profile[k] == proto[g]).all() for k, g in enumerate(labels))
+        data, off = text_bytes(pa.array(texts))
+        assert (langid.bundle(*langid.letter_grams(data, off), len(texts)) == np.array([plain_profile(t) for t in texts])).all()
+    for r in langid.predict(docs, labels, profile).collect():
+        v = plain_profile(texts[r.doc_id])
+        cos = {k: float(v @ u) / max(np.linalg.norm(v), 1e-9) for k, u in unit.items()}
+        if any(c.isalpha() for c in texts[r.doc_id]):
+            assert cos[r.lang_pred] > max(cos.values()) - 1e-5 and abs(r.score - max(cos[r.lang_pred], 0)) < 1e-5
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0)
+
+
+def test_ties_go_to_the_first_label(spark):
+    docs = spark.createDataFrame([(1, "abc", "y"), (2, "abc", "b"), (3, "abc", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.identify(docs, F.lit(True)).collect()} == {"b"}
+
+
+def test_scripts_of_many_letters_stay_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    data, off = text_bytes(pa.array(["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 330))) for _ in range(1000)]))  # a block of 1 MB, 330,000 trigrams
+    row, key = langid.letter_grams(data, off)
+    tracemalloc.start()
+    got = langid.bundle(row, key, 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.shape == (1000, langid.DIM) and peak < 400 << 20
+
+
 # 2
 
 def test_pieces_equal_the_library(spark):

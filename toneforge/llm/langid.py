@@ -47,33 +47,54 @@ def _sign_vector(letter: str) -> np.ndarray:
     return (np.random.Generator(np.random.PCG64(ord(letter) if letter else 0x110000)).integers(0, 2, DIM, dtype=np.int8) * 2 - 1).astype(np.int8)
 
 
-_vectors: list[np.ndarray] = []
+#: The letters' vectors in the three places of an n-gram, permuted by as many steps as follow it.
+_placed = [np.zeros((0, DIM), np.int8)] * 3
 
 
-def _letter_vectors() -> list[np.ndarray]:
-    while len(_vectors) < len(_letters):
-        _vectors.append(_sign_vector(_letters[len(_vectors)]))
-    return _vectors
-
-
-_grams: dict[int, np.ndarray] = {}
+def _placed_vectors() -> list[np.ndarray]:
+    done = len(_placed[0])
+    if done < len(_letters):
+        new = np.stack([_sign_vector(c) for c in _letters[done:]])
+        for k, shift in enumerate((2, 1, 0)):
+            _placed[k] = np.concatenate([_placed[k], np.roll(new, shift, axis=1)])
+    return _placed
 
 
 def gram_vectors(keys: np.ndarray) -> np.ndarray:
-    """The vectors of n-grams, keyed as _gram_keys does. Up to 16,384 are kept for later blocks."""
-    if len(_grams) > 16384:
-        _grams.clear()
-    own = _letter_vectors()
-    out = np.empty((len(keys), DIM), np.float32)
-    for k, key in enumerate(keys.tolist()):
-        v = _grams.get(key)
-        if v is None:
-            v = np.roll(own[key >> 42 & 0x1FFFFF], 2) * np.roll(own[key >> 21 & 0x1FFFFF], 1) * own[key & 0x1FFFFF]
-            _grams[key] = v
-        out[k] = v
+    """The vectors of n-grams, keyed as letter_grams does."""
+    a, b, c = _placed_vectors()
+    return a[keys >> 42 & 0x1FFFFF] * b[keys >> 21 & 0x1FFFFF] * c[keys & 0x1FFFFF]
+
+
+#: N-grams whose vectors are made at once, and counts of a dense table of rows and n-grams.
+GRAMS, DENSE = 4096, 1 << 23
+
+
+def bundle(row: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
+    """For each row the sum of its n-grams' vectors, in whole numbers. Few different n-grams are multiplied as a table of counts; of many, each row's own are added up, a slice at a time. Both are exact, so they agree."""
+    out = np.zeros((rows, DIM))
+    if not len(row):
+        return out
+    keys, at = _numbered(key)
+    if rows * len(keys) <= DENSE:
+        counts = np.bincount(row * len(keys) + at, minlength=rows * len(keys)).reshape(rows, len(keys)).astype(np.float32)
+        for k in range(0, len(keys), GRAMS):
+            out += _exact(counts[:, k : k + GRAMS], gram_vectors(keys[k : k + GRAMS]))
+        return out
+    pair, n = np.unique(row * len(keys) + at, return_counts=True)
+    for k in range(0, len(pair), GRAMS):
+        own, which = np.divmod(pair[k : k + GRAMS], len(keys))
+        lead = np.flatnonzero(np.diff(own, prepend=-1))
+        out[own[lead]] += np.add.reduceat(gram_vectors(keys[which]) * n[k : k + GRAMS, None].astype(np.float64), lead)
     return out
 
 
+def _exact(counts: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The product, in single precision where its whole numbers fit."""
+    kind = np.float32 if counts.sum(axis=1).max(initial=0) < 1 << 24 else np.float64
+    return counts.astype(kind, copy=False) @ vectors.astype(kind)
+
+
 def letter_grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every letter trigram with a letter in its middle; what is no letter is a blank beside it."""
     rows = len(off) - 1
@@ -97,23 +118,21 @@ def letter_grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return of, before << 42 | padded[mid + 1] << 21 | after
 
 
-def count_grams(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts[rows, keys])."""
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, and which of them each one is."""
     a, b, c = key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF
     top = int(max(a.max(), b.max(), c.max())) + 1
-    if top**3 <= 1 << 22:
-        small = (a * top + b) * top + c
-        present = np.flatnonzero(np.bincount(small, minlength=1))
-        rank = np.zeros(top**3, np.int64)
-        rank[present] = np.arange(len(present))
-        at, keys = rank[small], (present // (top * top)) << 42 | (present // top % top) << 21 | present % top
-    else:
-        keys, at = np.unique(key, return_inverse=True)
-    return keys, np.bincount(row * len(keys) + at, minlength=rows * len(keys)).reshape(rows, len(keys))
+    if top**3 > 1 << 22:
+        return np.unique(key, return_inverse=True)
+    small = (a * top + b) * top + c
+    present = np.flatnonzero(np.bincount(small, minlength=1))
+    rank = np.zeros(top**3, np.int64)
+    rank[present] = np.arange(len(present))
+    return (present // (top * top)) << 42 | (present // top % top) << 21 | present % top, rank[small]
 
 
 def prototypes(docs: DataFrame, label: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
-    """Labels in order and their bundled vectors, from rows with a label and a text. Counts are summed exactly (as long integers), so the result does not depend on the partitions."""
+    """Labels in order and their bundled vectors, from rows with a label and a text; repeated rows count as often as they stand there, null or empty texts add nothing, an empty table has no labels. Counts are summed exactly (as long integers), so the result does not depend on the partitions. Over MAX_LABELS labels raise ValueError. Other columns are not read."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +143,7 @@ def prototypes(docs: DataFrame, label: str = "lang", text: str = "text") -> tupl
             if not len(row):
                 continue
             codes = col(b, "label").dictionary_encode()
-            keys, counts = count_grams(codes.indices.to_numpy()[row], key, len(codes.dictionary))
-            got = np.rint(counts.astype(np.float64) @ gram_vectors(keys).astype(np.float64)).astype(np.int64)
+            got = np.rint(bundle(codes.indices.to_numpy()[row].astype(np.int64), key, len(codes.dictionary))).astype(np.int64)
             for k, name in enumerate(codes.dictionary.to_pylist()):
                 sums[name] = sums.get(name, 0) + got[k]
         if sums:
@@ -141,7 +159,7 @@ def prototypes(docs: DataFrame, label: str = "lang", text: str = "text") -> tupl
 
 
 def predict(docs: DataFrame, labels: list[str], profile: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep's columns, lang_pred and score: the cosine with the nearest prototype, 0 where it is negative. A null or letterless text, or no prototype at all, gives und and 0. Equal cosines go to the label that sorts first."""
+    """keep's columns, lang_pred and score: the cosine with the nearest prototype, 0 where it is negative. A null or letterless text, or no prototype at all, gives und and 0. Equal cosines go to the label that sorts first. Whole texts are read, however long; repeated rows, nulls in other columns and empty tables pass through; columns that are not kept are not read, whatever their names."""
     small_batches(docs.sparkSession)
     norm = np.linalg.norm(profile, axis=1, keepdims=True)
     unit = (profile / np.where(norm > 0, norm, 1)).astype(np.float32)
@@ -154,8 +172,7 @@ def predict(docs: DataFrame, labels: list[str], profile: np.ndarray, text: str =
             n = b.num_rows
             best, score = np.full(n, -1), np.zeros(n)
             if len(row) and len(labels):
-                keys, counts = count_grams(row, key, n)
-                vec = counts.astype(np.float32) @ gram_vectors(keys)
+                vec = bundle(row, key, n).astype(np.float32)
                 size = np.linalg.norm(vec, axis=1)
                 cos = (vec @ unit.T) / np.where(size > 0, size, 1)[:, None]
                 lettered = np.bincount(row, minlength=n) > 0
@@ -168,6 +185,6 @@ def predict(docs: DataFrame, labels: list[str], profile: np.ndarray, text: str =
 
 
 def identify(docs: DataFrame, learn: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Learns from the rows of docs where learn holds, and predicts all."""
+    """Learns from the rows of docs where learn holds, and predicts all; odd rows as in prototypes and predict."""
     labels, profile = prototypes(docs.where(learn))
     return predict(docs, labels, profile, keep=keep)
