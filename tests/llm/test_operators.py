@@ -249,6 +249,42 @@ def test_leaks_agree_with_brute_force(spark):
     assert decontam.leaks(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_tiles_of_equal_words_and_ties():
+    """Longest first, of equals the first in the item, then in the document; few words in all orders, against brute force."""
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = ([rng.choice("xyz") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        code = {w: np.uint64(11 * ord(w)) for w in "xyz"}
+        got = decontam.tiles(*(np.array([code[w] for w in t], np.uint64) for t in (a, b)), 2)
+        assert got == brute_tiles(a, b, 2), (a, b)
+
+
+def test_repeated_words_do_not_multiply():
+    import tracemalloc
+
+    index = decontam.Index.of([1], ["same " * 1000], 5)
+    peaks = []
+    for n in (5_000, 20_000):
+        words, at = decontam.word_hashes(*text_bytes(pa.array(["same " * n])))
+        tracemalloc.start()
+        ((row, item, cover, found),) = index.leaks(words, at, 0.8)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert (row, item, cover, found) == (0, 0, 1.0, [(0, 0, 1000)])
+    assert peaks[1] < 40 << 20 and peaks[1] < 6 * peaks[0]
+
+
+def test_leaks_of_repeated_rows_null_ids_and_clashing_names(spark):
+    item = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, item, "k"), (1, item, "k"), (None, item, None), (2, None, "k"), (3, "", "k")], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(9, item, "z"), (9, item, "z"), (None, item, None), (8, None, "z")], "item_id long, text string, doc_id string")
+    got = Counter((r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect())
+    assert got == {(1, 9): 4, (None, 9): 2, (1, None): 2, (None, None): 1}
+    kept = decontam.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    assert decontam.clean(docs, bench.limit(0)).count() == 5 and decontam.clean(docs.limit(0), bench).count() == 0
+
+
 # 7
 
 def test_licenses(spark):

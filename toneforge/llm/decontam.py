@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, col, small_batches, text_bytes, word_spans
+from .common import LOWER, blocks, col, expand, small_batches, text_bytes, word_spans
 
 MATCH, COVERAGE = 5, 0.8
 #: Benchmark text of one pass over the documents.
@@ -70,16 +70,38 @@ def windows(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return h[inside], inside
 
 
-def tiles(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of a and b from seeds: pairs (i, j) with a[i:i + least] == b[j:j + least]. Returns (i, j, length), longest first; of equals the first in a, then in b."""
-    if not len(pairs):
-        return []
-    diagonal = pairs[:, 1] - pairs[:, 0]
-    order = np.lexsort((pairs[:, 0], diagonal))
-    i, d = pairs[order, 0], diagonal[order]
-    cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(i) != 1)) + 1
-    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(i)]]) - 1
-    heap = [(-(int(i[y]) - int(i[x]) + least), int(i[x]), int(i[x] + d[x])) for x, y in zip(first, last, strict=True)]
+def _run_starts(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) with a[i:i + n] == b[j:j + n] (by hash) where the words before differ, or one has none: where the maximal matches start. The pairs inside of matches, whose number is their lengths' sum, are never made."""
+    ha, sa = windows(a, np.array([0, len(a)]), n)
+    hb, sb = windows(b, np.array([0, len(b)]), n)
+    # a word's number: 0 for none in a, 1 for none in b, so these differ from all
+    names, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    pa_, pb = np.where(sa > 0, code[: len(a)][sa - 1] + 2, 0), np.where(sb > 0, code[len(a) :][sb - 1] + 2, 1)
+    seeds, ka = np.unique(ha, return_inverse=True)
+    at = np.minimum(np.searchsorted(seeds, hb), max(len(seeds) - 1, 0))
+    use = np.flatnonzero(seeds[at] == hb) if len(seeds) else np.zeros(0, np.int64)
+    kb, pb, sb = at[use], pb[use], sb[use]
+    wide = len(names) + 2
+    key = ka * wide + pa_
+    order = np.argsort(key, kind="stable")
+    key, sa = key[order], sa[order]
+    low, high = np.searchsorted(key, kb * wide), np.searchsorted(key, (kb + 1) * wide)
+    x, y = np.searchsorted(key, kb * wide + pb), np.searchsorted(key, kb * wide + pb, side="right")
+    first, many, j = np.concatenate([low, y]), np.concatenate([x - low, high - y]), np.concatenate([sb, sb])
+    return expand(sa, first, many), np.repeat(j, many)
+
+
+def _reach(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """How many words from a[i] and b[j] on are equal."""
+    n = min(len(a) - i, len(b) - j)
+    differ = a[i : i + n] != b[j : j + n]
+    k = int(differ.argmax()) if n else 0
+    return k if n and differ[k] else n
+
+
+def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of a and b by stretches of at least least words. Returns (i, j, length), longest first; of equals the first in a, then in b."""
+    heap = [(-_reach(a, b, i, j), i, j) for i, j in zip(*(v.tolist() for v in _run_starts(a, b, least)), strict=True)]
     heapq.heapify(heap)
     marked_a, marked_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     out = []
@@ -135,25 +157,26 @@ class Index:
             many = high - low
             if not many.any():
                 continue
-            where = np.repeat(start[maybe], many)
-            seed = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            row = np.searchsorted(at, where, side="right") - 1
-            pair = row * len(size) + item[seed]
+            # each row's different hashes, and the test windows that have them
+            maybe, low, many = maybe[many > 0], low[many > 0], many[many > 0]
+            row = np.searchsorted(at, start[maybe], side="right") - 1
+            _, one = np.unique(row * len(h) + low, return_index=True)
+            low, many, row = low[one], many[one], row[one]
+            seed = expand(np.arange(len(h)), low, many)
+            pair = np.repeat(row, many) * len(size) + item[seed]
             order = np.argsort(pair, kind="stable")
-            pair, where, seed = pair[order], where[order], seed[order]
+            pair, seed = pair[order], seed[order]
             edge = np.concatenate([[0], np.flatnonzero(np.diff(pair)) + 1, [len(pair)]])
             for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 r, k = divmod(int(pair[x]), len(size))
                 # no tile reaches beyond the seeds, so what they cover bounds the tiling
                 cover = np.zeros(size[k] + 1, np.int64)
-                spots = np.unique(place[seed[x:y]])
-                np.add.at(cover, spots, 1)
-                np.add.at(cover, spots + n, -1)
+                np.add.at(cover, place[seed[x:y]], 1)
+                np.add.at(cover, place[seed[x:y]] + n, -1)
                 need = least_cover * size[k] - 1e-9
                 if (np.cumsum(cover) > 0).sum() < need:
                     continue
-                a, b = self.words[self.at[k] : self.at[k + 1]], words[at[r] : at[r + 1]]
-                found = tiles(a, b, np.column_stack([place[seed[x:y]], where[x:y] - at[r]]), n)
+                found = tiles(self.words[self.at[k] : self.at[k + 1]], words[at[r] : at[r + 1]], n)
                 if (total := sum(t[2] for t in found)) >= need and total:
                     yield r, k, total / int(size[k]), found
 
@@ -199,7 +222,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: f
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs into which no test item leaked, with all their columns. A null text is clean."""
+    """The rows of docs into which no test item leaked, with all their columns, also of clashing names. A null or empty text is clean; repeated rows and null ids are rows like others; without test items all rows stay; an empty table gives an empty one; long texts are read whole."""
     spark = docs.sparkSession
     small_batches(spark)
     for index in _indexes(benchmark, match, block_chars):
