@@ -63,6 +63,16 @@ def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+#: Pieces that the library gets at once.
+RUN = 4096
+_BLANKS, _SOLID, _LEADS = frozenset(b" \t\n\v\f\r"), frozenset(range(33, 127)), frozenset(range(0xC3, 0xD0))
+
+
+def _joins(piece: bytes) -> bool:
+    """Whether a piece starts with white space and ends without, for sure: so no pre-token reaches over its ends where such pieces stand side by side."""
+    return piece[0] in _BLANKS and (piece[-1] in _SOLID or len(piece) > 2 and piece[-2] in _LEADS)
+
+
 class Encoder:
     """ids of texts, as uint32. One per process and vocabulary file."""
 
@@ -73,9 +83,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # a byte-level token has a character for each byte
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.size = np.array([len(t) for t in tokens], np.int64) if "Ġ" in tokens and "Ċ" in tokens else None
         self.table: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _joined(self, pieces: list[bytes]) -> list[bytes] | None:
+        """The ids of pieces that start with white space and end without, from one text of them all. Where the vocabulary's tokens don't tell which bytes they stand for, or don't end with the pieces: None."""
+        if self.size is None:
+            return None
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        total = np.cumsum(self.size[ids])
+        at = np.searchsorted(total, ends)
+        if len(total) != at[-1] + 1 or (total[at] != ends).any():
+            return None
+        raw, cut = ids.tobytes(), ((at + 1) * self.kind.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+
     def _pieces(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.table) > TABLE_ROWS:
             self.table, self.old = {}, self.table
@@ -88,8 +114,19 @@ class Encoder:
                     found[k] = table[pieces[k]] = f
             missing = [k for k in missing if found[k] is None]
         code = "H" if self.kind.itemsize == 2 else "I"
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
+        run, rest = [], []
+        for k in missing:
+            (run if _joins(pieces[k]) else rest).append(k)
+        for at in range(0, len(run), RUN):
+            part = run[at : at + RUN]
+            ids = self._joined([pieces[k] for k in part])
+            if ids is None:
+                rest += part
+                continue
+            for k, e in zip(part, ids, strict=True):
+                found[k] = table[pieces[k]] = e
+        for at in range(0, len(rest), RUN):
+            part = rest[at : at + RUN]
             for k, e in zip(part, self.tokenizer.encode_batch_fast([pieces[k].decode() for k in part], add_special_tokens=False), strict=True):
                 found[k] = table[pieces[k]] = array(code, e.ids).tobytes()
         return found
