@@ -311,6 +311,60 @@ def test_repeated_notices_are_found_each(spark):
     assert got == [(i, *m.span()) for i, t in enumerate(texts) for m in re.finditer(f"{mit}|{every}", t)]
 
 
+def plain_alignment(a, b, shift, band):
+    """The most equal words in common order near the diagonal, by the full table."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            here = best[i][j] + 1 if a[i] == b[j] and abs(j - i - shift) <= band else 0
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], here)
+    return best[-1][-1]
+
+
+def test_alignment_agrees_with_the_full_table():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = (rng.choices("xyzw", k=rng.randint(1, 9)) for _ in range(2))
+        shift, band = rng.randint(-3, 5), rng.randint(0, 4)
+        pairs = licenses.align(a, b, shift, band)
+        assert all(a[i] == b[j] and abs(j - i - shift) <= band for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        most = plain_alignment(a, b, shift, band)
+        assert len(pairs) == most
+        if most:
+            spans = [e - s for s in range(len(b)) for e in range(s, len(b)) if plain_alignment(a, ["-"] * s + b[s : e + 1], shift, band) == most]
+            assert pairs[-1][1] - pairs[0][1] == min(spans)
+
+
+def test_main_diagonal_agrees_with_a_plain_count():
+    rng = random.Random(7)
+    for n in (5, 40, 3000):
+        for _ in range(20 if n < 100 else 2):
+            a, b = rng.choices("abcdefgh", k=rng.randint(1, 12)), rng.choices("abcdefghijkl", k=rng.randint(1, n))
+            votes = Counter(j - i for i, w in enumerate(a) for j, v in enumerate(b) if v == w)
+            near = {d: sum(votes.get(d + z, 0) for z in range(-2, 3)) for d in votes}
+            want = min(votes, key=lambda d: (-near[d], -votes[d], d)) if votes else None
+            assert licenses._main_diagonal(a, b, 2) == want
+
+
+def test_adjacent_overlapping_and_stretched_notices(spark):
+    apache, mit, every = licenses.TEMPLATES[0][1], licenses.TEMPLATES[3][1], licenses.TEMPLATES[16][1]
+    wide = mit.replace(" ", " " * 2000)  # words far apart
+    texts = [f"{apache} {mit}", f"{mit}; {every}; {mit}", wide, f"{every} {every} reserved", (f"{mit} " * 3 + "x " * 500) * 2]
+    got = sorted((r.doc_id, r.template, r.start, r.end) for r in licenses.scan(frame(spark, texts)).where("template in (0, 3, 16)").collect())
+    want = []
+    for d, t in enumerate(texts):
+        for k, notice in ((0, apache), (3, mit), (16, every)):
+            want += [(d, k, *m.span()) for m in re.finditer(r"\s+".join(map(re.escape, notice.split())), t)]
+    assert got == sorted(want)
+
+
+def test_licenses_of_repeated_rows_and_null_ids(spark):
+    mit = licenses.TEMPLATES[3][1]
+    docs = spark.createDataFrame([(1, mit, "x"), (1, mit, "x"), (None, mit, None), (2, None, "x")], "doc_id long, text string, license string")
+    assert Counter(r.doc_id for r in licenses.scan(docs).where("template = 3").collect()) == {1: 2, None: 1}
+
+
 def test_winnowing_keeps_a_shared_fingerprint():
     rng = random.Random(1)
     for _ in range(200):

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, col, small_batches, text_bytes
+from .common import blocks, col, expand, small_batches, text_bytes
 
 GRAM, WINDOW, BAND, COVERAGE, SHORT = 8, 8, 12, 0.8, 12
 
@@ -115,6 +115,43 @@ def align(template: list[str], words: list[str], shift: int, band: int = BAND) -
     return pairs[::-1]
 
 
+def _main_diagonal(template: list[str], words: list[str], band: int) -> int | None:
+    """The diagonal j - i near which (within band) most words agree; of equals the one with most on itself, then the first. None if no word agrees."""
+    names = list(dict.fromkeys(template))
+    code = {w: k for k, w in enumerate(names)}
+    own = np.array([code[w] for w in template])
+    order = np.argsort(own, kind="stable")
+    many = np.bincount(own, minlength=len(names))
+    first = np.cumsum(many) - many
+    here = np.array([code.get(w, -1) for w in words], np.int64)
+    j = np.flatnonzero(here >= 0)
+    if not len(j):
+        return None
+    d = np.repeat(j, many[here[j]]) - expand(order, first[here[j]], many[here[j]]) + len(template)
+    votes = np.bincount(d, minlength=len(words) + len(template) + 1)
+    total = np.concatenate([[0], np.cumsum(np.pad(votes, band))])
+    near = total[2 * band + 1 :] - total[: -2 * band - 1]
+    return int(np.lexsort((np.arange(len(votes)), -votes, -np.where(votes > 0, near, -1)))[0]) - len(template)
+
+
+def _words_off(data: np.ndarray, at: int, end: int, words: int) -> int:
+    """A place, from at towards end, so far off that the given number of words lies between, at the edge of a character; or end."""
+    reach = 16 * words
+    while True:
+        to = min(end, at + reach) if end > at else max(end, at - reach)
+        alnum = _ALNUM[data[min(at, to) : max(at, to)]]
+        if to == end or np.count_nonzero(alnum[1:] & ~alnum[:-1]) > words:
+            while to not in (at, end) and data[to] & 0xC0 == 0x80:
+                to += 1 if end > at else -1
+            return to
+        reach *= 2
+
+
+#: Bytes of the words that are aligned.
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
 def dense(pairs: list[tuple[int, int]], need: float) -> list[tuple[int, int]]:
     """The pairs without words that stand far off at the ends, so that COVERAGE of the span is matched; none if fewer than need are left."""
     a, b = 0, len(pairs)
@@ -175,27 +212,16 @@ class Index:
     def _region(self, data: np.ndarray, off: np.ndarray, row: int, t: int, byte: np.ndarray, back: np.ndarray, band: int, need: float) -> Iterator[tuple[float, int, int]]:
         """The alignments of template t in a row around the seeds at byte, whose places in the template are back: first on the diagonal on which most words agree, then on those of the seeds that no earlier one covers. A word is matched once."""
         a, b = int(off[row]), int(off[row + 1])
-        low, high = int((byte - 2 * back).min()), int(byte.max())
-        slack = 3 * self.chars[t] + 64
-        x, y = max(a, low - 64), min(b, high + slack)
-        while x > a and data[x] & 0xC0 == 0x80:
-            x -= 1
-        while y < b and data[y] & 0xC0 == 0x80:
-            y += 1
+        low, high = max(a, int((byte - 2 * back).min())), int(byte.max())
+        # as many words before and after as the alignment may reach
+        x = _words_off(data, low, a, 2 * band + 2)
+        y = _words_off(data, high, b, len(self.words[t]) + 2 * band + 2)
         text = data[x:y].tobytes().decode("utf-8", "replace")
         spots = [(m[0], m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9]+", text)]
         words, template = [s[0].lower() for s in spots], self.words[t]
-        # the diagonal on which most words agree
-        where: dict[str, list[int]] = {}
-        for i, w in enumerate(template):
-            where.setdefault(w, []).append(i)
-        votes: dict[int, int] = {}
-        for j, w in enumerate(words):
-            for i in where.get(w, ()):
-                votes[j - i] = votes.get(j - i, 0) + 1
-        if not votes:
+        shift = _main_diagonal(template, words, band)
+        if shift is None:
             return
-        shift = max(votes, key=lambda d: (sum(votes.get(d + z, 0) for z in range(-band, band + 1)) if len(votes) < 2000 else votes[d], votes[d], -d))
         lead = int(np.count_nonzero((data[a:x] & 0xC0) != 0x80))
         # the seeds' words, and the diagonals of these
         chars = np.cumsum((data[x:y] & 0xC0) != 0x80) - 1
@@ -204,16 +230,17 @@ class Index:
         order = np.argsort(byte, kind="stable")
         covered, failed = np.zeros(len(words), bool), set()
         for j, d in [(None, shift), *zip(at[order].tolist(), (at - of)[order].tolist(), strict=True)]:
-            if d in failed or j is not None and covered[j]:
-                continue
-            pairs = dense(align(template, words, d, band), need * len(template) - 1e-9)  # not words scattered over other text
-            if not pairs:
-                failed.add(d)
-                continue
-            yield len(pairs) / len(template), lead + spots[pairs[0][1]][1], lead + spots[pairs[-1][1]][2]
-            covered[pairs[0][1] : pairs[-1][1] + 1] = True
-            for _, k in pairs:
-                words[k] = ""
+            while not (d in failed or j is not None and covered[j]):
+                pairs = dense(align(template, words, d, band), need * len(template) - 1e-9)  # not words scattered over other text
+                if not pairs:
+                    failed.add(d)
+                    break
+                yield len(pairs) / len(template), lead + spots[pairs[0][1]][1], lead + spots[pairs[-1][1]][2]
+                covered[pairs[0][1] : pairs[-1][1] + 1] = True
+                for _, k in pairs:
+                    words[k] = ""
+                if j is None:
+                    break
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, coverage: float = COVERAGE, band: int = BAND) -> DataFrame:
