@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -305,20 +306,37 @@ def _ranks(docs: DataFrame, width: int) -> np.ndarray:
     return _gathered(docs.mapInArrow(run, "at int, cells binary"), add, lambda c: np.minimum(255, 8 * np.log2(1 + c)).astype(np.uint8), 1 << COUNT_BITS)
 
 
-def _shared(hashes: DataFrame) -> np.ndarray:
-    """A map of bits of the hashes' leading MAP_BITS."""
+class Marks:
+    """A map of bits in which hashes are marked by their leading bits: what is not marked is none of them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS) for b in batches]
-        bits = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
-        ats, first = np.unique(bits // np.uint64(CELLS), return_index=True)
-        for at, part in zip(ats.tolist(), np.split((bits % np.uint64(CELLS)).astype(np.uint16), first[1:]), strict=False):
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["at", "cells"])
+    def __init__(self, bits: int, cells: np.ndarray) -> None:
+        self.bits, self.cells = bits, cells
 
-    def add(total: np.ndarray, own: pa.Buffer) -> None:
-        total[np.frombuffer(own, np.uint16)] = 1
+    @classmethod
+    def of(cls, hashes: DataFrame, bits: int) -> Marks:
+        """hashes: one column of longs."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = [b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits) for b in batches]
+            marked = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+            ats, first = np.unique(marked // np.uint64(CELLS), return_index=True)
+            for at, part in zip(ats.tolist(), np.split((marked % np.uint64(CELLS)).astype(np.uint16), first[1:]), strict=False):
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["at", "cells"])
+
+        def add(total: np.ndarray, own: pa.Buffer) -> None:
+            total[np.frombuffer(own, np.uint16)] = 1
+
+        return cls(bits, _gathered(hashes.mapInArrow(run, "at int, cells binary"), add, lambda c: np.packbits(c > 0), 1 << (bits - 3)))
 
-    return _gathered(hashes.mapInArrow(run, "at int, cells binary"), add, lambda c: np.packbits(c > 0), 1 << (MAP_BITS - 3))
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """hashes: unsigned."""
+        bit = hashes >> np.uint64(64 - self.bits)
+        return (self.cells[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+
+def _fitting(n: int) -> int:
+    """Bits of a map for n hashes, as a power of two: some 3 % of others are marked by chance; 32 MB at most, beyond which chance marks more."""
+    return int(np.clip(math.ceil(math.log2(n + 1)) + 5, 20, 28))
 
 
 def _lists(docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -332,7 +350,7 @@ def _lists(docs: DataFrame, width: int, similarity: float) -> DataFrame:
 
     shared = docs.mapInArrow(alone, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
 
-    held = spark.sparkContext.broadcast(_shared(shared))
+    held = spark.sparkContext.broadcast(Marks.of(shared, MAP_BITS))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _texts(batches):
@@ -340,8 +358,7 @@ def _lists(docs: DataFrame, width: int, similarity: float) -> DataFrame:
             for t in texts:
                 found = shingles(t, width)
                 own = prefix(found, rank.value, similarity)
-                bit = own >> np.uint64(64 - MAP_BITS)
-                at = np.flatnonzero(held.value[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8) & 1)
+                at = np.flatnonzero(held.value.has(own))
                 own = own[at]
                 places.append(at.astype(np.int32))
                 hs.append(own)
@@ -356,23 +373,48 @@ def _labelled(lists: DataFrame, group: DataFrame) -> DataFrame:
     return lists.join(group, F.col("sid") == F.col("node"), "left").select("h", "sid", "n", "pos", F.coalesce("label", "sid").alias("label"))
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sid, set) for rows (key, sid) of wanted; texts are (key, text)."""
-    ends = wanted.select(F.col("key").alias("end"), "sid")
-    own = texts.join(ends.hint("merge"), texts["key"] == ends["end"]).select("sid", "text")  # neither side has a bound: no broadcast at any size
+#: Bits of a set's signature.
+SIGNATURE = 2048
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, raw in _texts(batches):
-            yield pa.RecordBatch.from_arrays([col(b, "sid"), pa.array([shingles(t, width).view(np.int64) for t in raw], pa.list_(pa.int64()))], ["sid", "set"])
 
-    return spool(own.mapInArrow(run, "sid long, set array<long>").dropDuplicates(["sid"]), "dedup-sets")
+def signature(found: np.ndarray) -> np.ndarray:
+    """For each residue of the shingles whether it has an odd number of them: two sets' signatures differ in no more bits than the sets in shingles."""
+    return np.packbits(np.bincount((found & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1).view(np.int64)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (src, dst) those whose shingle sets have a Jaccard similarity of at least similarity."""
-    a, b = sets.select(F.col("sid").alias("src"), F.col("set").alias("x")), sets.select(F.col("sid").alias("dst"), F.col("set").alias("y"))
+def _of_sets(texts: DataFrame, wanted: DataFrame, width: int, make: Callable, tag: str) -> DataFrame:
+    """(sid, v) for rows (key, sid) of wanted, and some others: make turns a set into longs. texts are (key, text); a map of the wanted keys goes to the texts, so that these are not shuffled."""
+    spark = texts.sparkSession
+    marks = spark.sparkContext.broadcast(Marks.of(wanted.select("key"), _fitting(wanted.count())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            some = b.filter(pa.array(marks.value.has(col(b, "key").to_numpy().view(np.uint64))))
+            for part, raw in _texts(iter([some])):
+                found = [shingles(t, width) for t in raw]
+                sids = np.array([xxhash.xxh64_intdigest(x.tobytes(), 77) for x in found], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array([make(x) for x in found], pa.list_(pa.int64()))], ["sid", "v"])
+
+    return spool(texts.mapInArrow(run, "sid long, v array<long>").dropDuplicates(["sid"]), tag)
+
+
+def _similar(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, sids: DataFrame, width: int, similarity: float, tag: str) -> DataFrame:
+    """Of pairs (src, dst) those whose shingle sets have a Jaccard similarity of at least similarity. Signatures leave few of the others; of what is left the sets are made from the texts and compared. sids: (sid, n, key), key being a text's that has the set."""
+
+    def ends(of: DataFrame) -> list[DataFrame]:
+        return [of.select(F.col("sid").alias(end), F.col("v").alias(v)) for end, v in (("src", "x"), ("dst", "y"))]
+
+    a, b = ends(signatures)
+    n = [sids.select(F.col("sid").alias(end), F.col("n").alias(size)) for end, size in (("src", "n"), ("dst", "m"))]
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, p: t + p)
+    close = pairs.join(a, "src").join(b, "dst").join(n[0], "src").join(n[1], "dst")
+    near = spool(close.where((F.col("n") + F.col("m") - differ) / 2 + 1e-9 >= similarity / (1 + similarity) * (F.col("n") + F.col("m"))).select("src", "dst"), f"{tag}-near")
+    ids = near.select(F.explode(F.array("src", "dst")).alias("own")).distinct()
+    sets = _of_sets(texts, spool(sids.join(ids, F.col("sid") == F.col("own")).select("sid", "key"), f"{tag}-ids"), width, lambda x: x.view(np.int64), f"{tag}-sets")
+    a, b = ends(sets)
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(both + 1e-9 >= similarity * (F.size("x") + F.size("y") - both)).select("src", "dst")
+    # neither side has a bound: no broadcast at any size
+    return spool(near.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(both + 1e-9 >= similarity * (F.size("x") + F.size("y") - both)).select("src", "dst"), tag)
 
 
 def _ordered(src: str, dst: str) -> list:
@@ -409,29 +451,33 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
     ends = opened.groupBy(F.col("h").alias("at")).agg(F.min(F.struct("pos", "sid", "n", "label")).alias("p"), F.min(F.struct("sid", "pos", "n", "label")).alias("q"))
     ended = opened.join(ends, F.col("h") == F.col("at"))
     met = [ended.where((F.col("label") != F.col(f"{e}.label")) & fit("n", "pos", f"{e}.n", f"{e}.pos")).select(*_ordered("sid", f"{e}.sid")) for e in "pq"]
-    wanted = opened.select(F.col("sid").alias("own")).distinct()
-    sets = _sets(docs.select(key.alias("key"), "text"), sids.join(wanted, F.col("sid") == F.col("own")).select("sid", F.col("best.key").alias("key")), width)
-    true = spool(_similar(met[0].union(met[1]).distinct(), sets, similarity), "dedup-true")
-    edges = edges.union(true)
+    wanted = spool(opened.groupBy(F.col("sid").alias("own")).agg(F.first("n").alias("n")).join(sids, F.col("own") == F.col("sid")).select("sid", "n", F.col("best.key").alias("key")), "dedup-wanted")
+    texts = docs.select(key.alias("key"), "text")
+    signatures = _of_sets(texts, wanted, width, signature, "dedup-signatures")
+    edges = edges.union(_similar(met[0].union(met[1]).distinct(), signatures, texts, wanted, width, similarity, "dedup-true"))
 
     left = spool(_labelled(opened.drop("label"), components(edges, "dedup-cc2")), "dedup-left")
     main = left.groupBy("h", "label").agg(F.count("*").alias("many")).groupBy(F.col("h").alias("at")).agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("at", "main")
     minor = left.join(main, F.col("h") == F.col("at")).where("label <> main").select(F.col("h").alias("at"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("place"), F.col("label").alias("tag"))
     rest = spool(left.join(minor, (F.col("h") == F.col("at")) & (F.col("label") != F.col("tag")) & fit("n", "pos", "m", "place")).select(*_ordered("sid", "other")).distinct(), "dedup-pairs")
-    edges = edges.union(spool(_similar(rest, sets, similarity), "dedup-true2"))
+    edges = edges.union(_similar(rest, signatures, texts, wanted, width, similarity, "dedup-true2"))
 
     heads = _heads(sids, components(edges, "dedup-cc3"), "sid", "dedup-heads")
-    chosen = heads.select(F.col("best.key").alias("chosen"))
+    chosen = heads.select(F.col("best.doc_id").alias("chosen_id"), F.col("best.key").alias("chosen"))
 
-    # rows that are equal in id and text have one key: one of them stays
-    repeated = spool(prints.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("chosen")), "dedup-repeated")
+    # rows that are equal in id and text are told apart by nothing: one of them stays
+    counted = prints.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    of = chosen["chosen_id"].eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("chosen"))
+    odd = spool(counted.join(chosen, of, "left").where("chosen is null or n > 1").select("doc_id", "key", F.col("chosen").isNotNull().alias("stays")), "dedup-odd")
     names = docs.columns
-    numbered = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), key.alias("row_key"))
-    out = numbered.join(chosen.join(repeated, "chosen", "left_anti").hint("merge"), F.col("row_key") == F.col("chosen"), "left_semi")
-    if not repeated.isEmpty():
-        some = numbered.join(chosen.join(repeated, "chosen", "left_semi").hint("merge"), F.col("row_key") == F.col("chosen"), "left_semi")
-        one = some.groupBy("row_key").agg(F.first(F.struct(*(f"c{k}" for k in range(len(names))))).alias("row"))
-        out = out.select(*(f"c{k}" for k in range(len(names)))).union(one.select("row.*"))
+    numbered = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.col("doc_id").alias("row_id"), key.alias("row_key"))
+    # rows whose key is marked by none of these stay as they are, without a shuffle
+    marks = spark.sparkContext.broadcast(Marks.of(odd.select("key"), _fitting(odd.count())))
+    marked = F.pandas_udf(lambda k: pd.Series(marks.value.has(k.to_numpy(np.int64).view(np.uint64))), "boolean")
+    columns = [f"c{k}" for k in range(len(names))]
+    asked = numbered.where(marked("row_key")).join(odd.hint("merge"), (F.col("row_key") == F.col("key")) & F.col("row_id").eqNullSafe(F.col("doc_id")), "left")
+    one = asked.where("stays").groupBy("row_id", "row_key").agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
+    out = numbered.where(~marked("row_key")).select(*columns).union(asked.where("stays is null").select(*columns)).union(one)
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
 
 
