@@ -663,6 +663,23 @@ def test_nearest_agree_with_brute_force(spark):
     assert ann.nearest(docs.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_recall_over_full_shards_of_clustered_vectors(spark):
+    """Production parameters: three shards of some 3,000 vectors in 40 clusters."""
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(40, 12))[rng.integers(0, 40, 9000)] + 0.15 * rng.normal(size=(9000, 12))).astype(np.float32)
+    docs = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(docs, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 9000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hit += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hit / (5 * 180) >= 0.95
+
+
 def test_tiny_and_huge_vectors_take_part(spark, monkeypatch):
     monkeypatch.setattr(ann, "QUERY_BLOCK", 2)  # several blocks
     rng = np.random.default_rng(5)
@@ -689,7 +706,10 @@ def test_cosines_of_plain_vectors_are_exact(spark):
         dot = lambda x, y: reduce(lambda t, pq: t + pq[0] * pq[1], zip(x, y, strict=True), 0.0)
         return dot(a, b) / (math.sqrt(dot(a, a)) * math.sqrt(dot(b, b)))
 
-    got = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<double>, b array<double>").select("i", ann.cosine(F.col("a"), F.col("b")).alias("c")).orderBy("i").collect()
+    got = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<double>, b array<double>")
+    for name in "ab":
+        got = ann._measured(got, name).withColumnsRenamed({"scaled": f"{name}_scaled", "norm": f"{name}_norm"})
+    got = got.select("i", (ann.dot(F.col("a_scaled"), F.col("b_scaled")) / (F.col("a_norm") * F.col("b_norm"))).alias("c")).orderBy("i").collect()
     assert all(r.c == plain(*pairs[r.i]) for r in got)
 
 

@@ -161,43 +161,47 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, beam: int = SEARCH
     """vectors: (vec_id, embedding). For each row where is_query (on vec_id) holds: query_id, rank, vec_id, score of the k nearest other rows found, by cosine in double precision on the vectors as given; equal scores by smaller id; all rows, if fewer. Rows with a null id or an unusable vector take no part; repeated ids are rows of one id; only vectors of a query's own length are compared; an empty table gives an empty one."""
     spark = vectors.sparkSession
     small_batches(spark)
-    own = spool(classes(vectors, k), "ann-classes")
+    own = spool(_measured(classes(vectors, k)), "ann-classes")
     graphs = spool(index(own, shard), "ann-graphs")
     asked = vectors.where(is_query).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v")).where("query_id is not null").where(usable(F.col("v"))).distinct()
-    numbered = spool(asked, "ann-queries")
+    numbered = spool(_measured(asked), "ann-queries")
     many = max(1, -(-numbered.count() // QUERY_BLOCK))
     path = shared_path(spark, "ann-hits")
     for b in range(many):
-        block = numbered.where(F.pmod(F.xxhash64("query_id", "v"), F.lit(many)) == b).orderBy("query_id").toArrow()  # about QUERY_BLOCK rows
+        block = numbered.where(F.pmod(F.xxhash64("query_id", "v"), F.lit(many)) == b).select("query_id", "v").orderBy("query_id").toArrow()  # about QUERY_BLOCK rows
         sent = spark.sparkContext.broadcast(_by_length(block))
         _searched(graphs, sent, k + 1, beam).write.mode("append").parquet(path)
         sent.destroy()
     hits = spark.read.schema(_HIT).parquet(path)
+    # of all shards' hits those that are as near as the last one wanted, but for the search's rounding
+    every = Window.partitionBy("query_id").orderBy(F.desc("near")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best = hits.withColumn("last", F.nth_value("near", k + 1).over(every)).where("last is null or near >= last - 2e-6").select("query_id", "class")
     # each hit class brings its least ids, and the exact score
-    members = own.select(F.col("class").alias("c"), "ids", F.col("v").alias("w"))
-    met = hits.join(members, F.col("class") == F.col("c")).join(numbered.select(F.col("query_id").alias("q"), "v"), F.col("query_id") == F.col("q"))
-    scored = met.select("query_id", "ids", cosine(F.col("v"), F.col("w")).alias("score"))
+    members = own.select(F.col("class").alias("c"), "ids", F.col("scaled").alias("w"), F.col("norm").alias("w_norm"))
+    met = best.join(members, F.col("class") == F.col("c")).join(numbered.select(F.col("query_id").alias("q"), F.col("scaled").alias("u"), F.col("norm").alias("u_norm")), F.col("query_id") == F.col("q"))
+    scored = met.select("query_id", "ids", (dot(F.col("u"), F.col("w")) / (F.col("u_norm") * F.col("w_norm"))).alias("score"))
     each = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """In double precision. Both are first divided by a power of two near their largest component, which changes no digit, so neither tiny nor huge components leave the range of doubles."""
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
 
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
 
-    def near_one(x: Column) -> Column:
-        power = F.floor(F.log2(F.array_max(F.transform(x, F.abs))))
-        half = F.floor(power / 2)  # in two steps: the power itself may be no double's inverse
-        return F.transform(x, lambda p: p / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), power - half))
+def scaled(x: Column) -> Column:
+    """x divided by a power of two near its largest component. That changes no digit, and neither tiny nor huge components leave the range of doubles when they are squared."""
+    power = F.floor(F.log2(F.array_max(F.transform(x, F.abs))))
+    half = F.floor(power / 2)  # in two steps: the power itself may have no double as its inverse
+    return F.transform(x, lambda p: p / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), power - half))
 
-    u, v = near_one(a), near_one(b)
-    return dot(u, v) / (F.sqrt(dot(u, u)) * F.sqrt(dot(v, v)))
 
+def _measured(df: DataFrame, vector: str = "v") -> DataFrame:
+    """df with scaled and norm, from which cosines in double precision are a product away."""
+    return df.withColumn("scaled", scaled(F.col(vector))).withColumn("norm", F.sqrt(dot(F.col("scaled"), F.col("scaled"))))
 
-_HIT = "query_id long, class long"
+
+_HIT = "query_id long, class long, near float"
 
 
 def _by_length(block: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -213,7 +217,7 @@ def _by_length(block: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def _searched(graphs: DataFrame, queries: Broadcast, k: int, beam: int) -> DataFrame:
-    """(query_id, class): the k nearest classes of every shard, and those as near as the last of them."""
+    """(query_id, class, near): the k nearest classes of every shard, and those as near as the last of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,6 +235,6 @@ def _searched(graphs: DataFrame, queries: Broadcast, k: int, beam: int) -> DataF
                     last = sims[:, min(k, sims.shape[1]) - 1]
                     good = (got >= 0) & (sims >= last[:, None] - np.float32(1e-6))
                     row, c = np.nonzero(good)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[x : x + 512][row]), pa.array(own[got[row, c]])], ["query_id", "class"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x : x + 512][row]), pa.array(own[got[row, c]]), pa.array(sims[row, c].astype(np.float32))], ["query_id", "class", "near"])
 
     return graphs.mapInArrow(run, _HIT)
