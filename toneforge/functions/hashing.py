@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,18 @@ def score(seed: int, sample_id: str, identity: str, index: int, tag: str = SCORE
     return fraction("\x1f".join((tag, str(seed), sample_id, identity, str(index))))
 
 
+def drawer(seed: int, sample_id: str, identity: str, tag: str = SCORE_TAG) -> Callable[[int], float]:
+    """score of one text's units, by index; what their keys share is hashed once."""
+    start = hashlib.blake2b("\x1f".join((tag, str(seed), sample_id, identity, "")).encode(), digest_size=8)
+
+    def draw(index: int) -> float:
+        own = start.copy()
+        own.update(b"%d" % index)
+        return int.from_bytes(own.digest(), "big") / 2.0**64
+
+    return draw
+
+
 def rate_for(seed: int, sample_id: str, visit: int) -> float:
     return fraction(f"{RATE_TAG}|{STAGE_TAG}|{seed}|{sample_id}|{visit}")
 

@@ -20,12 +20,16 @@ from .marks import MARKS, composed, plain, several
 
 
 def mapped(fn: Callable, returns: str | DataType) -> Callable[..., Column]:
-    """An Arrow-batched UDF that applies fn to each row's plain Python values; null if any argument is."""
+    """An Arrow-batched UDF that applies fn to each row's plain Python values, of one text column once to each different text of a batch; null if any argument is."""
     kind = _parse(returns)
     arrow = to_arrow_type(kind)
 
     @F.arrow_udf(kind)
     def run(*cols: pa.Array) -> pa.Array:
+        if len(cols) == 1 and pa.types.is_string(cols[0].type):
+            own = cols[0].dictionary_encode()
+            if 2 * len(own.dictionary) < len(own):
+                return pa.array([fn(v) for v in own.dictionary.to_pylist()], arrow).take(own.indices)
         return pa.array([None if any(v is None for v in row) else fn(*row) for row in zip(*(c.to_pylist() for c in cols), strict=True)], arrow)
 
     return run

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import kernels as K
 from ..functions import text as T
@@ -154,9 +160,33 @@ def verify_partitions(chunks: DataFrame) -> None:
 
 
 def membership_digest(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """SHA-256 of the sorted values, one a line, for each group: an identity of the set. A group's values are put into one row; give by for large tables."""
-    lines = F.array_join(F.sort_array(F.collect_list(F.col(column).cast("string"))), "\n")
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(lines.cast("binary"), 256).alias("digest"))
+    """n and the SHA-256 of the sorted values, one a line, for each group: an identity of the set. Nulls count in n alone. A group's sorted values stream through one task, which is what such a digest takes; none is held."""
+    own = df.select(*(F.col(c) for c in by), F.col(column).cast("string").alias("member"))
+    names = [f"b{k}" for k in range(len(by))]
+    own = own.toDF(*names, "member")
+    dealt = own.repartition(*names) if names else own.repartition(1)
+    schema = StructType([f for f in own.schema.fields if f.name != "member"]).add("n", "long").add("digest", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        group, n, h, lead = None, 0, None, b""
+        for b in batches:
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(len(names))), strict=True)) or [()] * b.num_rows
+            for key, member in zip(keys, b.column(len(names)).to_pylist(), strict=True):
+                if h is None or key != group:
+                    if h is not None:
+                        out.append(dict(zip(names, group, strict=True)) | {"n": n, "digest": h.hexdigest()})
+                    group, n, h, lead = key, 0, hashlib.sha256(), b""
+                n += 1
+                if member is not None:
+                    h.update(lead + member.encode())
+                    lead = b"\n"
+        if h is not None:
+            out.append(dict(zip(names, group, strict=True)) | {"n": n, "digest": h.hexdigest()})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, to_arrow_schema(schema))
+
+    return dealt.sortWithinPartitions(*names, "member").mapInArrow(run, schema).toDF(*by, "n", "digest")
 
 
 def manifest(chunks: DataFrame) -> DataFrame:
@@ -171,13 +201,29 @@ def require_compatible(found: dict, wanted: dict) -> None:
             raise CorpusViolation(f"manifest {k}: {json.dumps(found.get(k))} is not {json.dumps(wanted[k])}")
 
 
+#: Leading hex digits by which keyed orders are cut: 65,536 even parts.
+CUT = 4
+
+
+def ranked(df: DataFrame, by: tuple[str, ...], key: str, tie: str) -> DataFrame:
+    """df with rank, from 1 on in the order of key (hex digits of a hash) and tie within each group of by. The parts of equal leading digits are sorted each alone; how many rows come before a part is summed up over the parts' counts, CUT digits a group. So no group, however large, is sorted in one task."""
+    cut = F.substring(key, 1, CUT)
+    parts = df.groupBy(*by, cut.alias("cut")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*by).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*(F.col(c).alias(f"of_{c}") for c in by), F.col("cut").alias("of_cut"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = df.withColumn("cut", cut)
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy(*by, "cut").orderBy(key, tie)))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*by, "cut")]
+    return own.join(starts, reduce(and_, same)).withColumn("rank", F.col("before") + F.col("place")).drop("cut", "place", "before", "of_cut", *(f"of_{c}" for c in by))
+
+
 def pass_order(chunks: DataFrame, seed: int, visits: int, batch: int, key: str = "chunk_id", native: bool = False) -> DataFrame:
     """(visit, position, batch, chunk_id): for each visit all chunks in a keyed order; batches run on over the end of a visit."""
     every = chunks.select(F.col(key).alias("chunk_id"), F.explode(F.array(*(F.lit(v) for v in range(visits)))).alias("visit"))
     item = F.concat_ws("|", "visit", "chunk_id")
     h = rank_key_sha2("stage1-order", seed, item) if native else rank_key("stage1-order", seed, item)
     total = chunks.count()
-    own = every.withColumn("h", h).withColumn("position", (F.row_number().over(Window.partitionBy("visit").orderBy("h", "chunk_id")) - 1).cast("long"))
+    own = ranked(every.withColumn("h", h), ("visit",), "h", "chunk_id").withColumn("position", F.col("rank") - 1)
     return own.select("visit", "position", F.floor((F.col("visit") * total + F.col("position")) / batch).cast("long").alias("batch"), "chunk_id")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import rank_key, rank_key_sha2
+from .corpus import ranked
 
 
 class SplitViolation(ValueError):
@@ -38,14 +39,14 @@ def stratified(df: DataFrame, fractions: dict[str, float], seed: int, digest: Co
         raise SplitViolation("groups with several labels")
     groups = own.groupBy(F.col(label).alias("l"), F.col("group_digest").alias("g")).agg(F.count("*").alias("size"))
     key = rank_key_sha2("", seed, F.col("g")) if native else rank_key("", seed, F.col("g"))
-    place = Window.partitionBy("l").orderBy("h", "g")
-    ranked = groups.withColumn("h", key).withColumn("k", F.row_number().over(place)).withColumn("total", F.count("*").over(Window.partitionBy("l")))
+    totals = groups.groupBy(F.col("l").alias("of")).agg(F.count("*").alias("total"))
+    placed = ranked(groups.withColumn("h", key), ("l",), "h", "g").withColumnRenamed("rank", "k").join(totals, F.col("l").eqNullSafe(F.col("of")))
     part, bound = None, F.lit(0)
     for name, share in parts[:-1]:
         bound = bound + F.bround(F.col("total") * share)
         part = F.when(F.col("k") <= bound, name) if part is None else part.when(F.col("k") <= bound, name)
     part = F.lit(parts[-1][0]) if part is None else part.otherwise(parts[-1][0])
-    dealt = ranked.select("l", "g", part.alias("part"))
+    dealt = placed.select("l", "g", part.alias("part"))
     return own.join(dealt, (F.col(label) == F.col("l")) & (F.col("group_digest") == F.col("g"))).drop("l", "g", "group_digest")
 
 

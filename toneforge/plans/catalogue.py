@@ -215,8 +215,9 @@ def length_coverage(spark, sf_dir):
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[^" + _WS + "]+'))::BIGINT AS chunks, coalesce(list_sum([length(x) for x in regexp_extract_all(text, '[^" + _WS + "]+')]), 0)::BIGINT AS characters, length(regexp_extract(text, '^[" + _WS + "]*'))::BIGINT AS first_start FROM documents WHERE regexp_matches(text, '[^" + _WS + "]')")
 def whitespace_chunks(spark, sf_dir):
-    c = align.chunks(_docs(spark, sf_dir))
-    return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.col("end").cast("long") - F.col("start")).alias("characters"), F.min(F.col("start").cast("long")).alias("first_start"))
+    c = _docs(spark, sf_dir).select("doc_id", T.whitespace_chunks(F.col("text")).alias("c")).where(F.size("c") > 0)
+    characters = F.aggregate("c", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return c.select("doc_id", F.size("c").cast("long").alias("chunks"), characters.alias("characters"), F.col("c")[0]["start"].cast("long").alias("first_start"))
 
 
 # --- corruption -----------------------------------------------------------------------------------------------
@@ -224,7 +225,7 @@ def whitespace_chunks(spark, sf_dir):
 
 def _corrupted(spark, sf_dir, name):
     docs = _docs(spark, sf_dir).select("doc_id", "lang", "text", F.col("doc_id").cast("string").alias("sample_id"))
-    return corruption.corrupt(docs, name, 42)
+    return corruption.count(docs, name, 42)
 
 
 @query(f"SELECT doc_id, sha256({_toneless_sql()}) AS digest FROM documents")
@@ -244,14 +245,15 @@ def strip_all_corruption(spark, sf_dir):
 
 @query()
 def p50_corruption(spark, sf_dir):
-    c = _corrupted(spark, sf_dir, "p50").select("doc_id", "corruption", corruption.rates(F.col("corruption")).alias("r"))
+    docs = _docs(spark, sf_dir).select("doc_id", "text", F.col("doc_id").cast("string").alias("sample_id"))
+    c = corruption.count(docs, "p50", 42).select("doc_id", "corruption", corruption.rates(F.col("corruption")).alias("r"))
     return c.select("doc_id", "corruption.text_identity", "corruption.candidate_units", "corruption.selected_units", "corruption.modified_units", "r.*")
 
 
 @query()
 def corruption_grid(spark, sf_dir):
     docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("sample_id"), "text")
-    return corruption.grid(docs, 42).groupBy("condition").agg(F.count("*").alias("texts"), F.sum("corruption.selected_units").alias("selected"), F.sum("corruption.modified_units").alias("modified"))
+    return corruption.grid(docs, 42, decisions=False).groupBy("condition").agg(F.count("*").alias("texts"), F.sum("corruption.selected_units").alias("selected"), F.sum("corruption.modified_units").alias("modified"))
 
 
 @query()
