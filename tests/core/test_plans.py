@@ -30,6 +30,20 @@ def test_counters_agree_with_the_decisions(name):
             assert {k: want[k] for k in got} == got, t
 
 
+def test_character_counts_agree_with_the_units(monkeypatch):
+    some = [*texts(300, 4), "", "abc", "ÀÁ ﬁ Ω", "한국", "İ ŉ"]
+    fast = [(K.observe(t), K.tones_of(t)) for t in some]
+    monkeypatch.setattr(K, "_mark_pattern", lambda: __import__("re").compile(""))  # always there: the units' way
+    for t, (seen, tones) in zip(some, fast, strict=True):
+        own = K.units(K.canon(t))
+        assert tones == [K.observed(own, a, b) for a, b in K.runs(own)], t
+        if not K.canon(t).isascii():
+            assert K.observe(t) == seen, t
+        else:
+            spans = K.runs(own)
+            assert (seen["syllables"], seen["total_units"], seen["letter_eligible_units"], seen["base_equivalent"]) == (len(spans), len(own), sum(u.state != "NA" for u in own), True)
+
+
 def test_drawer_gives_the_scores():
     draw = H.drawer(42, "s", "abc")
     assert [draw(k) for k in (0, 7, 1234)] == [H.score(42, "s", "abc", k) for k in (0, 7, 1234)]

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import difflib
 import re
+import sys
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 from .marks import LETTERS, MARKS, STROKED, TONES, UNDECIDED
@@ -68,9 +70,32 @@ def units(text: str) -> list[Unit]:
     return out
 
 
+def _ranges(points: list[int]) -> str:
+    """Ascending code points as the inside of a character class."""
+    cuts = [k for k in range(1, len(points)) if points[k] != points[k - 1] + 1]
+    return "".join(f"{chr(points[a])}-{chr(points[b - 1])}" for a, b in zip([0, *cuts], [*cuts, len(points)], strict=True))
+
+
+@lru_cache(1)
+def _marks() -> str:
+    return _ranges([p for p in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(p))])
+
+
+@lru_cache(1)
+def syllable_pattern() -> re.Pattern:
+    """A syllable of composed text: letters with the marks after them, as units has them."""
+    letters = [p for p in range(sys.maxunicode + 1) if chr(p).isalpha() and units(chr(p))[0].letter]
+    return re.compile(f"(?:[{_ranges(letters)}][{_marks()}]*)+")
+
+
+@lru_cache(1)
+def _mark_pattern() -> re.Pattern:
+    return re.compile(f"[{_marks()}]")
+
+
 # --- placement of the tone mark -------------------------------------------------------------------------------
 
-_RUN = re.compile(r"(?:[^\W\d_][̀-ͯ]*)+")
+_RUN = re.compile(r"(?=[A-Za-z]*+[^\x00-\x7f])(?:[^\W\d_][̀-ͯ]*)+")  # ASCII runs have no tone
 _VOWELS = re.compile("[aeiouy]+")
 
 
@@ -245,6 +270,8 @@ def observed(own: list[Unit], a: int, b: int) -> str:
 
 def observe(text: str, classify=None) -> dict:
     whole = canon(text)
+    if classify is None and (whole.isascii() or not _mark_pattern().search(whole)):
+        return _observed_by_character(text, whole)
     own = units(whole)
     base = "".join(u.base for u in own)
     spans = runs(own)
@@ -258,10 +285,36 @@ def observe(text: str, classify=None) -> dict:
     }
 
 
+def _observed_by_character(text: str, whole: str) -> dict:
+    """observe without an inventory, of a text in which every character is a unit: from how often each stands there."""
+    n = {units(ch)[0]: k for ch, k in Counter(whole).items()}
+
+    def count(good) -> int:
+        return sum(k for u, k in n.items() if good(u))
+
+    letters, shaped = count(lambda u: u.state != "NA"), count(lambda u: u.state not in ("NA", "NONE"))
+    if all(len(u.base) == 1 for u in n):
+        base = whole if all(u.text == u.base for u in n) else None
+        changed = count(lambda u: u.text != u.base)
+    else:
+        base = "".join(units(ch)[0].base for ch in whole)
+        changed = sum(x != y for x, y in zip(whole, base, strict=False)) + abs(len(whole) - len(base))
+    return {
+        "canon_changed": whole != text, "base_equivalent": whole == base, "changed_characters": changed, "changed_units": count(lambda u: u.text != u.base), "units_with_observed_tone": count(lambda u: u.tone != "UNMARKED"),
+        "units_with_observed_letter": shaped, "total_units": len(whole), "syllables": sum(1 for _ in syllable_pattern().finditer(whole)), "tone_eligible_syllables": 0, "tone_observed_syllables": 0,
+        "letter_eligible_units": letters, "letter_observed_units": shaped, "eligibility_resolved": False,
+    }
+
+
+@lru_cache(1 << 16)
+def _tone(syllable: str) -> str:
+    own = units(syllable)
+    return observed(own, 0, len(own))
+
+
 def tones_of(text: str) -> list[str]:
     """The observed tone of each syllable."""
-    own = units(canon(text))
-    return [observed(own, a, b) for a, b in runs(own)]
+    return [_tone(s) for s in syllable_pattern().findall(canon(text))]
 
 
 def regions(text: str, classify=None) -> list[dict]:
