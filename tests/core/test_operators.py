@@ -100,7 +100,9 @@ def test_metrics(spark):
         metrics.gap_recovery(1, 2, 2)
     points = spark.createDataFrame([(500, 0.4, 0.2), (1000, 0.3, 0.1), (1500, 0.3, 0.1), (2000, 0.3, 0.2)], "update int, score double, d_clean double")
     assert metrics.best_checkpoint(points).first().update == 1000
-    assert metrics.evaluation_updates(10, 4) == [4, 8, 10]
+    assert metrics.evaluation_updates(12, 4) == [0, 4, 8, 12]
+    with pytest.raises(ValueError):
+        metrics.evaluation_updates(10, 4)
     one = spark.createDataFrame([(1.0,)], "x double").agg(metrics.sample_deviation(F.col("x")).alias("a"), metrics.sample_deviation(F.col("x"), 0.0).alias("b")).first()
     assert one.a is None and one.b == 0.0
 

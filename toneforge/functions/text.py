@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StringType, _parse_datatype_string  # noqa: PLC2701
@@ -83,6 +83,16 @@ def decompose(text: Column, clean: bool = False, placement: str = "MODERN") -> C
     return _udf(f"decompose-{clean}-{placement}", lambda t: K.decompose(t, clean, placement), DECOMPOSED)(text)
 
 
+def unit_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """A row for each unit of each text: key, and the unit's fields."""
+    return docs.select(F.col(key), F.explode(decompose(F.col(text))["units"]).alias("u")).select(key, "u.*")
+
+
+def syllable_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", clean: bool = False) -> DataFrame:
+    """A row for each syllable of each text: key, and the syllable's fields."""
+    return docs.select(F.col(key), F.explode(decompose(F.col(text), clean)["syllables"]).alias("s")).select(key, "s.*")
+
+
 def syllable_tones(text: Column) -> Column:
     """Array of the syllables' observed tones."""
     return _udf("tones", K.tones_of, "array<string>")(text)

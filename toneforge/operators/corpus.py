@@ -189,6 +189,33 @@ def membership_digest(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> D
     return dealt.sortWithinPartitions(*names, "member").mapInArrow(run, schema).toDF(*by, "n", "digest")
 
 
+def keep_first(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """Of rows with equal by the first one in order, whole; one aggregation with a map-side combine, no window."""
+    first = F.min_by(F.struct(*df.columns), F.struct(*order))
+    return df.groupBy(*(F.col(c).alias(f"by_{c}") for c in by)).agg(first.alias("row")).select("row.*")
+
+
+#: What a prepared corpus must say of itself, by dotted key; what depends on pinned revisions and sizes is given besides.
+GATES = {
+    "official_test_used": False, "chunking.split_before_chunk": True, "chunking.chunks_inherit_parent_partition": True, "chunking.truncation": False,
+    "counts.parents_spanning_both_partitions": 0, "counts.overflow_count": 0, "contamination.official_test_screened": False,
+}
+PINNED = ("schema_version", "protocol_version", "source.revision", "chunking.max_length", "chunking.tokenizer_revision", "partition.seed", "partition.dev_documents", "contamination.method")
+
+
+def gate_manifest(found: dict, pins: dict[str, object]) -> dict:
+    """The manifest, if it passes every gate: GATES, and pins, which must name all of PINNED. A missing key fails its gate; types must agree too."""
+    if missing := sorted(set(PINNED) - set(pins)):
+        raise CorpusViolation(f"no pin for {missing}")
+    for key, wanted in (GATES | pins).items():
+        value = found
+        for part in key.split("."):
+            value = value.get(part) if isinstance(value, dict) else None
+        if value != wanted or type(value) is not type(wanted):
+            raise CorpusViolation(f"manifest {key}: {json.dumps(value)} is not {json.dumps(wanted)}")
+    return found
+
+
 def manifest(chunks: DataFrame) -> DataFrame:
     """Chunks, parents and length extremes by partition."""
     return chunks.groupBy("partition").agg(F.count("*").alias("chunks"), F.count_distinct("document_id").alias("parents"), F.max("reference_length").alias("max_reference"), F.max("base_length").alias("max_base"), F.sum(F.length("text")).alias("characters"))

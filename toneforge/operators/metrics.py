@@ -82,9 +82,25 @@ def worst_case(scores: DataFrame, by: str, value: str = "score") -> DataFrame:
     return scores.groupBy(by).agg(F.max(value).alias("worst"))
 
 
-def evaluation_updates(total: int, every: int) -> list[int]:
-    """Every so many updates, and the last."""
-    return sorted({*range(every, total + 1, every), total}) if total > 0 else []
+# Updates of a run, of a run that is carried on, and between evaluations.
+INITIAL_UPDATES, EXTENDED_UPDATES, EVALUATE_EVERY = 20_000, 40_000, 500
+
+
+def evaluation_updates(total: int, every: int = EVALUATE_EVERY) -> list[int]:
+    """Update 0, then every so many, with the last; total must be a multiple."""
+    if total % every:
+        raise ValueError(f"{total} is no multiple of {every}")
+    return list(range(0, total + 1, every))
+
+
+def budget_decision(selected: int, cap: int) -> dict:
+    """What follows a run to cap whose best checkpoint is selected: only a best one at the very end of the first budget is carried on to the second; there it is marked as limited by the budget."""
+    if cap not in (INITIAL_UPDATES, EXTENDED_UPDATES):
+        raise ValueError(f"cap {cap} is no budget")
+    if selected > cap:
+        raise ValueError(f"update {selected} is beyond the cap {cap}")
+    at_end, extended = selected == cap, cap == EXTENDED_UPDATES
+    return {"cap": EXTENDED_UPDATES if at_end else cap, "continue_run": at_end and not extended, "budget_limited": at_end and extended}
 
 
 def cosine_distance(a: Column, b: Column, eps: float = 1e-8) -> Column:

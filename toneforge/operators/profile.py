@@ -77,6 +77,27 @@ def length_coverage(df: DataFrame, vanilla: Column, base: Column, thresholds: tu
     return out.withColumn("joint", F.least("vanilla", "base")).withColumn("overflow", 1 - F.least("vanilla", "base"))
 
 
+def token_lengths(df: DataFrame, tokenizer: Callable[[str], list[int]], text: str = "text", specials: int = 2, unknown_id: int | None = None) -> DataFrame:
+    """df with vanilla and base: lengths in tokens, specials counted, of the canonical and of the base text; and vanilla_unknown and base_unknown, kept apart. tokenizer: a Python callable of a text."""
+
+    def measure(t: str) -> dict:
+        ids = tokenizer(t)
+        return {"n": len(ids) + specials, "u": 0 if unknown_id is None else sum(i == unknown_id for i in ids)}
+
+    run = T.mapped(measure, "n int, u int")
+    own = df.withColumn("v", run(T.canon(F.col(text)))).withColumn("b", run(T.strip_to_base(F.col(text))))
+    return own.select(*df.columns, F.col("v.n").alias("vanilla"), F.col("b.n").alias("base"), F.col("v.u").alias("vanilla_unknown"), F.col("b.u").alias("base_unknown"))
+
+
+def token_profile(lengths: DataFrame) -> DataFrame:
+    """One row of token_lengths: the distributions of both lengths and of their difference, how many rows it changes, unknown tokens by pathway."""
+    parts = {"vanilla": F.col("vanilla"), "base": F.col("base"), "delta": F.col("base") - F.col("vanilla")}
+    out = lengths.agg(F.sum("vanilla_unknown").alias("vanilla_unknown"), F.sum("base_unknown").alias("base_unknown"), F.count_if(F.col("base") != F.col("vanilla")).alias("changed"), F.avg((F.col("base") != F.col("vanilla")).cast("double")).alias("changed_share"))
+    for name, value in parts.items():
+        out = out.crossJoin(distribution(lengths, value).select(F.struct("*").alias(name)))  # one row each
+    return out
+
+
 def length_delta(df: DataFrame, vanilla: Column, base: Column) -> DataFrame:
     """Distribution of base less vanilla lengths, and how many rows change."""
     own = df.select((base - vanilla).alias("d"))

@@ -58,6 +58,27 @@ def validate(df: DataFrame, digest: Column, sample_id: str = "sample_id") -> Non
         raise SplitViolation("a group in two parts")
 
 
+def coverage(pool: DataFrame, parts: DataFrame, sample_id: str = "sample_id", part: str = "part") -> DataFrame:
+    """One row: how the ids of parts (sample_id, part) cover those of pool. inputs and emitted rows, ids emitted repeatedly, ids in several parts, ids missing from parts, and extra ones. One full join of the ids."""
+    there = pool.select(F.col(sample_id).alias("i")).groupBy("i").agg(F.count("*").alias("n"))
+    given = parts.groupBy(F.col(sample_id).alias("j")).agg(F.count("*").alias("m"), F.count_distinct(part).alias("sides"))
+    both = there.join(given, F.col("i").eqNullSafe(F.col("j")), "full_outer")
+    return both.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("inputs"), F.coalesce(F.sum("m"), F.lit(0)).alias("emitted"), F.count_if(F.col("m") > 1).alias("repeated"),
+        F.count_if(F.col("sides") > 1).alias("shared"), F.count_if(F.col("m").isNull()).alias("missing"), F.count_if(F.col("n").isNull()).alias("extra"),
+    )
+
+
+def validate_assignment(pool: DataFrame, parts: DataFrame, digest: Column, sample_id: str = "sample_id", part: str = "part") -> None:
+    """Raises unless parts give every id of pool once, and no group of equal digest stands in two parts. digest is of pool's columns."""
+    found = coverage(pool, parts, sample_id, part).first().asDict()
+    if any(found[k] for k in ("repeated", "shared", "missing", "extra")) or found["inputs"] != found["emitted"]:
+        raise SplitViolation(f"parts do not cover the pool once: {found}")
+    own = pool.select(F.col(sample_id).alias("i"), digest.alias("d")).join(parts.select(F.col(sample_id).alias("j"), F.col(part).alias("part")), F.col("i") == F.col("j"))
+    if not own.groupBy("d").agg(F.count_distinct("part").alias("n")).where("n > 1").isEmpty():
+        raise SplitViolation("a group in two parts")
+
+
 def expected_counts(df: DataFrame, fractions: dict[str, float], label: str = "label") -> dict:
     """label -> part -> rows, from the labels' counts alone (rows as groups)."""
     return {r[label]: allocation(r["count"], fractions) for r in df.groupBy(label).count().collect()}
