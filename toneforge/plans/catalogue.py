@@ -12,6 +12,7 @@ from ..functions import hashing as H
 from ..functions import text as T
 from ..functions.marks import LETTERS, MARKS, TONES, composed, plain, several
 from ..operators import align, corpus, corruption, inventory, metrics, profile, smoke, split
+from ..sources import files, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -130,7 +131,64 @@ def syllable_tone_counts(spark, sf_dir):
     return each.groupBy("lang", "tone").agg(F.count("*").alias("syllables"))
 
 
-@query()
+def _marked(good) -> str:
+    """Composed letters and symbols whose marks satisfy good."""
+    return "".join(ch for ch in map(chr, range(0xC0, 0x2000)) if unicodedata.normalize("NFC", ch) == ch and (d := unicodedata.normalize("NFD", ch)) != ch and good([m for m in d if unicodedata.combining(m)]))
+
+
+_COMPOSED = _marked(lambda m: True)
+#: Letters with a mark that is neither a tone's nor a letter's, or with several letter marks.
+_ODD = _marked(lambda m: any(x not in MARKS for x in m) or sum(x in LETTERS for x in m) > 1)
+
+
+@query(f"SELECT lang, CASE WHEN regexp_matches(text, '[{_COMPOSED}]') THEN 'NFC' ELSE 'NFC=NFD' END AS form, count(*) AS texts FROM documents GROUP BY ALL")
+def unicode_forms(spark, sf_dir):
+    return _docs(spark, sf_dir).select("lang", T.unicode_form(F.col("text")).alias("form")).groupBy("lang", "form").agg(F.count("*").alias("texts"))
+
+
+@query(f"SELECT lang, sum(length(text))::BIGINT AS units, sum(len(regexp_extract_all(text, '\\p{{L}}+')))::BIGINT AS syllables FROM documents GROUP BY lang")
+def units_by_lang(spark, sf_dir):
+    seen = _docs(spark, sf_dir).select("lang", T.observe_orthography(F.col("text")).alias("o"))
+    return seen.groupBy("lang").agg(F.sum(F.col("o.total_units").cast("long")).alias("units"), F.sum(F.col("o.syllables").cast("long")).alias("syllables"))
+
+
+@query(
+    "WITH u AS (SELECT lang, unnest(string_split(text, '')) AS c FROM documents) SELECT lang, CASE " + " ".join(f"WHEN contains('{_with_marks(m)}', c) THEN '{t}'" for m, t in TONES.items()) + " ELSE 'UNMARKED' END AS tone, count(*) AS units FROM u WHERE c <> '' GROUP BY ALL"
+)
+def unit_rows_by_tone(spark, sf_dir):
+    rows = T.unit_rows(_docs(spark, sf_dir), key="lang")
+    return rows.groupBy("lang", F.col("observed_tone").alias("tone")).agg(F.count("*").alias("units"))
+
+
+@query("SELECT lang, count(*) AS syllables, sum(length(run))::BIGINT AS letters FROM (SELECT lang, unnest(regexp_extract_all(text, '\\p{L}+')) AS run FROM documents) GROUP BY lang")
+def syllable_rows_by_lang(spark, sf_dir):
+    rows = T.syllable_rows(_docs(spark, sf_dir), key="lang")
+    return rows.groupBy("lang").agg(F.count("*").alias("syllables"), F.sum((F.col("base_end") - F.col("base_start")).cast("long")).alias("letters"))
+
+
+@query(f"SELECT doc_id, sha256({_base_sql()}) AS digest FROM documents")
+def base_pathway(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.text_digest(T.pathway_text(F.col("text"), "BASE_ONLY")).alias("digest"))
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(replace(lower(trim(regexp_replace({_base_sql()}, '[{_WS}]+', ' ', 'g'))), 'ß', 'ss'), '[.!?… \t\r\n]+$', '')) AS digest FROM documents")
+def rewrite_signatures(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.text_digest(T.rewrite_signature(F.col("text"))).alias("digest"))
+
+
+@query(f"SELECT doc_id, CASE WHEN text = {_base_sql()} THEN NULL ELSE length(regexp_extract(text, '^[^{''.join(composed())}đĐ]*'))::INT END AS place FROM documents")
+def divergence_from_base(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.first_divergence(F.col("text"), T.strip_base(F.col("text"))).alias("place"))
+
+
+@query(f"SELECT doc_id, len([p for p in list_zip(string_split_regex(text, '[{_WS}]+'), string_split_regex({_base_sql()}, '[{_WS}]+')) if p[1] <> p[2]])::INT AS words FROM documents")
+def words_changed_by_stripping(spark, sf_dir):
+    """Words replaced one by one, so the changes' words are those that differ at their place."""
+    changes = T.word_diff(F.col("text"), T.strip_base(F.col("text")))
+    return _docs(spark, sf_dir).select("doc_id", F.aggregate(changes, F.lit(0), lambda n, c: n + F.size(c["before"])).alias("words"))
+
+
+@query(f"SELECT CASE WHEN regexp_matches(text, '[{_COMPOSED}]') THEN 'NFC' ELSE 'NFC=NFD' END AS input_form, count(*) AS texts, 0::BIGINT AS failed, count(*) FILTER (regexp_matches(text, '[{_ODD}]')) AS anomalous FROM documents GROUP BY ALL")
 def round_trip_summary(spark, sf_dir):
     return smoke.round_trip_summary(smoke.round_trip(_docs(spark, sf_dir).select("doc_id", "text")))
 
@@ -303,16 +361,39 @@ def _chunked(spark, sf_dir):
     return corpus.chunk(own, lambda t: len(t.split()) + 2, lambda t: len(t.split()) + 4, 256)
 
 
-@query()
+#: At most 252 words, and white space beside them, fit: two and four more tokens are counted to a chunk.
+_CHUNKS = (
+    "WITH p AS (SELECT doc_id, text, source, CASE WHEN row_number() OVER (ORDER BY sha256('stage1-split|51733|' || doc_id), doc_id) <= 200 THEN 'dev' ELSE 'train' END AS partition FROM documents), "
+    f"l AS (SELECT *, CASE WHEN regexp_matches(text, '[^{_WS}]') THEN regexp_extract_all(text, '[{_WS}]*(?:[^{_WS}]+[{_WS}]*){{1,252}}') ELSE [text] END AS parts FROM p WHERE text <> ''), "
+    "c AS (SELECT doc_id, source, partition, k, parts[k + 1] AS text, coalesce(list_sum([length(x) for x in parts[1:k]]), 0) AS source_start FROM (SELECT *, unnest(range(len(parts))) AS k FROM l)), "
+    f"n AS (SELECT *, len(regexp_extract_all(text, '[^{_WS}]+')) AS words FROM c) "
+)
+
+
+@query(
+    _CHUNKS + "SELECT doc_id || '#' || k AS chunk_id, doc_id::VARCHAR AS document_id, partition, k::INT AS chunk_index, text, source_start::INT AS source_start, (source_start + length(text))::INT AS source_end, (words + 2)::INT AS reference_length, (words + 4)::INT AS base_length, source AS source_shard FROM n"
+)
 def chunk_documents(spark, sf_dir):
     return _chunked(spark, sf_dir)
 
 
-@query()
+@query(_CHUNKS + "SELECT partition, count(*) AS chunks, count(DISTINCT doc_id) AS parents, max(words + 2)::INT AS max_reference, max(words + 4)::INT AS max_base, sum(length(text))::BIGINT AS characters FROM n GROUP BY partition")
 def chunk_manifest(spark, sf_dir):
     return corpus.manifest(_chunked(spark, sf_dir))
 
 
+@query("SELECT sum(length(text))::BIGINT AS characters, count(*) AS documents FROM documents WHERE text <> ''")
+def verified_chunks(spark, sf_dir):
+    """All verifiers over all chunks, which raise where one fails; then what the chunks hold."""
+    path = runs.scratch(spark, "chunks")
+    _chunked(spark, sf_dir).write.parquet(path)
+    chunks = spark.read.parquet(path)
+    docs = _docs(spark, sf_dir).where("text <> ''").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("content"))
+    corpus.verify_tiling(chunks, docs)
+    corpus.verify_partitions(chunks)
+    return chunks.agg(F.sum(F.length("text").cast("long")).alias("characters"), F.count_distinct("document_id").alias("documents"))
+
+
 @query("SELECT source, count(*) AS n, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS digest FROM documents GROUP BY source")
 def membership_digest(spark, sf_dir):
     return corpus.membership_digest(_docs(spark, sf_dir), "doc_id", ("source",))
@@ -363,10 +444,17 @@ def inventory_eligibility(spark, sf_dir):
     return inventory.resolve(_spans(spark, sf_dir), forms).groupBy("lang", "eligibility").agg(F.count("*").alias("spans"))
 
 
-@query("SELECT 5 AS raw, 4 AS unique_canonical, 3 AS unique_stripped, 1 AS collisions")
+_ENTRIES = ("hòa", "hoà", "hoa", "toán", "đi", " ", "Thuỷ", "thủy", "QUÝ", "quí", "giữ", "gìn", "khoẻ", "khỏe", "loà", "lòa", "xoè", "xòe")
+# Entries with the tone on the other vowel of their glide, and the canonical spelling.
+_MOVED = (("hoà", "hòa"), ("thủy", "thủy"), ("Thuỷ", "Thủy"), ("khoẻ", "khỏe"), ("loà", "lòa"), ("xoè", "xòe"))
+
+
+@query(
+    f"WITH e(form) AS (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in _ENTRIES)}), m(a, b) AS (VALUES {', '.join(f'({chr(39)}{x}{chr(39)}, {chr(39)}{y}{chr(39)})' for x, y in _MOVED)}), c AS (SELECT coalesce(b, form) AS c FROM e LEFT JOIN m ON form = a WHERE trim(form) <> ''), s AS (SELECT c, lower({_base_sql('c')}) AS s FROM c) "
+    "SELECT count(*)::INT AS raw, count(DISTINCT c)::INT AS unique_canonical, count(DISTINCT s)::INT AS unique_stripped, (count(DISTINCT c) - count(DISTINCT s))::INT AS collisions FROM s"
+)
 def inventory_statistics(spark, sf_dir):
-    rows = spark.createDataFrame([("hòa",), ("hoà",), ("hoa",), ("toán",), ("đi",), (" ",)], "form string")
-    t = inventory.statistics(rows)
+    t = inventory.statistics(spark.createDataFrame([(x,) for x in _ENTRIES], "form string"))
     return t.select(*(F.col(c).cast("int").alias(c) for c in t.columns))
 
 
@@ -384,7 +472,62 @@ def region_overlay(spark, sf_dir):
     return align.overlay(p, r).select("doc_id", "piece_index", "contributions", "ownership", F.coalesce("tone_region_index", F.lit(-1)).alias("tone_region_index"))
 
 
-@query()
+def _thirds(t: str) -> tuple[list[str], list[int]]:
+    """A stand-in for a tokenizer: pieces of three characters, all but the last with the mark of continuation."""
+    parts = [t[k : k + 3] for k in range(0, len(t), 3)]
+    return [p + align.CONTINUED for p in parts[:-1]] + parts[-1:], [len(p) for p in parts]
+
+
+def _aligned(spark, sf_dir):
+    based = _docs(spark, sf_dir).select("doc_id", "lang", T.strip_base(F.col("text")).alias("text"))
+    return align.align(align.tokenized(align.chunks(based), _thirds), unknown_id=1)
+
+
+_CHUNK_SQL = f"SELECT doc_id, unnest(regexp_extract_all({_base_sql()}, '[^{_WS}]+')) AS w FROM documents"
+
+
+@query(f"SELECT 'ALIGNED' AS status, count(*) AS chunks, round(avg(ceil(length(w) / 3)), 9) AS mean_subwords, max(ceil(length(w) / 3))::INT AS max_subwords, count(*) FILTER (length(w) % 3 = 1) AS unknown_pieces FROM ({_CHUNK_SQL})")
+def alignment_summary(spark, sf_dir):
+    """Every chunk of every document aligned with its pieces; those of one character are the unknown ones here."""
+    t = align.summarize_alignments(_aligned(spark, sf_dir))
+    return t.select(F.coalesce("failure_reason", F.lit("ALIGNED")).alias("status"), "chunks", F.round("mean_subwords", 9).alias("mean_subwords"), "max_subwords", "unknown_pieces")
+
+
+@query(f"SELECT doc_id, sum(length(w))::BIGINT AS characters, sum(ceil(length(w) / 3))::BIGINT AS pieces FROM ({_CHUNK_SQL}) GROUP BY doc_id")
+def document_pieces(spark, sf_dir):
+    p = align.pieces(_aligned(spark, sf_dir))
+    return p.groupBy("doc_id").agg(F.sum((F.col("global_end") - F.col("global_start")).cast("long")).alias("characters"), (F.max("piece_index") + 1).cast("long").alias("pieces"))
+
+
+@query(
+    f"WITH t AS (SELECT doc_id, lang, {_base_sql()} AS b FROM documents), "
+    f"w AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS k FROM (SELECT doc_id, regexp_extract_all(b, '[{_WS}]+|[^{_WS}]+') AS l FROM t)), "
+    "ws AS (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM w), "
+    f"pc AS (SELECT doc_id, s + o AS pos, s * 2 + o // 3 AS piece, s + 3 * (o // 3) AS piece_start FROM (SELECT doc_id, s, unnest(range(length(x))) AS o FROM ws WHERE regexp_matches(x, '[^{_WS}]'))), "
+    "r AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS k FROM (SELECT doc_id, regexp_extract_all(b, '\\p{L}+|[^\\p{L}]+') AS l FROM t)), "
+    "rs AS (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM r), "
+    f"rc AS (SELECT doc_id, s + o AS pos, k, own FROM (SELECT doc_id, s, k, lower(x) IN ({', '.join(repr(f) for f in FORMS)}) AS own, unnest(range(length(x))) AS o FROM rs)), "
+    "m AS (SELECT pc.doc_id, piece_start, count(DISTINCT k) AS contributions, count(DISTINCT k) FILTER (own) AS n FROM pc JOIN rc ON pc.doc_id = rc.doc_id AND pc.pos = rc.pos GROUP BY ALL) "
+    "SELECT lang, CASE WHEN n = 0 THEN 'NOT_APPLICABLE' WHEN n = 1 THEN 'SINGLE_CANDIDATE' ELSE 'MULTI_CANDIDATE_AMBIGUOUS' END AS ownership, count(*) AS pieces, sum(contributions)::BIGINT AS contributions FROM m JOIN documents d ON m.doc_id = d.doc_id GROUP BY ALL"
+)
+def document_overlay(spark, sf_dir):
+    """Every piece of every document against the document's regions."""
+    docs = _docs(spark, sf_dir)
+    o = align.overlay(align.pieces(_aligned(spark, sf_dir)), align.regions(docs, inventory=frozenset(FORMS)))
+    langs = docs.select(F.col("doc_id").alias("d"), "lang")
+    return o.join(langs, F.col("doc_id") == F.col("d")).groupBy("lang", "ownership").agg(F.count("*").alias("pieces"), F.sum("contributions").alias("contributions"))
+
+
+@query(f"SELECT p AS path, count(*) AS cases, count(*) FILTER (p = 'BASE' OR text = {_base_sql()}) AS invariant_cases FROM documents, (VALUES ('RAW'), ('BASE')) v(p) WHERE text IS NOT NULL GROUP BY p")
+def grid_invariance_by_path(spark, sf_dir):
+    """The words of each text whole and stripped, taken as they are or stripped first."""
+    base, text = T.strip_base(F.col("text")), F.col("text")
+    rows = [(p, c, base if p == "BASE" or c == "STRIP_ALL" else text) for p in ("RAW", "BASE") for c in ("FULL", "STRIP_ALL")]
+    seen = _docs(spark, sf_dir).where("text is not null").select(F.col("doc_id").alias("case_id"), F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(c).alias("condition"), F.split(t, " ").alias("tokens")) for p, c, t in rows))).alias("o"))
+    return align.path_summary(seen.select("case_id", "o.*")).drop("mean_tokens")
+
+
+@query("SELECT doc_id, (len(regexp_extract_all(text, '\\p{L}+')) + len(regexp_extract_all(text, '[^\\p{L}]+')))::BIGINT AS regions, len(regexp_extract_all(text, '\\p{L}+'))::BIGINT AS syllables, length(text)::INT AS characters FROM documents WHERE text <> ''")
 def document_regions(spark, sf_dir):
     return align.regions(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("regions"), F.count_if("is_syllable").alias("syllables"), F.max("end").alias("characters"))
 
@@ -399,6 +542,133 @@ def offset_validation(spark, sf_dir):
     return align.validate_offsets(t).join(c, F.col("case_id") == F.col("c")).select("case_id", "availability", "covered_characters")
 
 
+# --- sources --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang FROM documents")
+def parquet_projection(spark, sf_dir):
+    return files.parquet_columns(spark, f"{sf_dir}/documents.parquet", ("doc_id", "lang"))
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE doc_id IS NOT NULL AND trim(text) <> '' GROUP BY source")
+def checked_rows(spark, sf_dir):
+    own = _docs(spark, sf_dir).where("doc_id is not null and trim(text) <> ''")
+    return corpus.check_rows(own, "doc_id", "text").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source_shard, count(*) AS n FROM (SELECT lang AS source_shard FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')) GROUP BY source_shard")
+def shards_united(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    whole = corpus.union_shards({lang: docs.where(F.col("lang") == lang) for lang in ("en", "de", "fr", "es")}, "doc_id")
+    return whole.groupBy("source_shard").agg(F.count("*").alias("n"))
+
+
+_AGAIN = "SELECT doc_id::VARCHAR AS sample_id, lang AS label, sha256(text) AS digest FROM documents WHERE text <> ''"
+
+
+def _again(df: DataFrame) -> DataFrame:
+    return df.select("sample_id", "label", T.text_digest(F.col("text")).alias("digest"))
+
+
+def _samples(spark, sf_dir):
+    return _docs(spark, sf_dir).where("text <> ''").select(F.col("doc_id").cast("string").alias("sample_id"), "text", F.col("lang").alias("label"))
+
+
+@query(_AGAIN)
+def jsonl_again(spark, sf_dir):
+    path = runs.scratch(spark, "jsonl")
+    files.write_jsonl(_samples(spark, sf_dir), path)
+    return _again(files.jsonl(spark, path, "sample_id string, text string, label string"))
+
+
+@query(_AGAIN)
+def csv_again(spark, sf_dir):
+    path = runs.scratch(spark, "csv") + ".csv"
+    _samples(spark, sf_dir).write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return _again(files.delimited(spark, path, "text", "label", "sample_id"))
+
+
+@query(_AGAIN)
+def written_once(spark, sf_dir):
+    path = runs.scratch(spark, "once")
+    files.write_once(_samples(spark, sf_dir), path, lambda df: corpus.check_rows(df, "sample_id", "text"))
+    return _again(spark.read.parquet(path))
+
+
+@query("SELECT doc_id::VARCHAR AS id FROM documents WHERE text <> ''")
+def ids_again(spark, sf_dir):
+    own, path = _samples(spark, sf_dir), runs.scratch(spark, "ids")
+    files.write_ids(own, path, "sample_id")
+    return files.read_ids(spark, path, corpus.membership_digest(own, "sample_id").first()["digest"])
+
+
+@query("WITH l AS (SELECT unnest(string_split(text, chr(10))) AS t FROM documents) SELECT count(*) AS lines, sum(length(t))::BIGINT AS characters FROM l WHERE t <> ''")
+def text_lines(spark, sf_dir):
+    path = runs.scratch(spark, "lines")
+    _docs(spark, sf_dir).where("text is not null").select("text").write.text(path)
+    return files.lines(spark, path).agg(F.count("*").alias("lines"), F.sum(F.length("text").cast("long")).alias("characters"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE text <> ''")
+def first_text_column(spark, sf_dir):
+    when = lambda *langs: F.when(F.col("lang").isin(*langs), F.col("text"))
+    own = _docs(spark, sf_dir).where("text <> ''").select("doc_id", when("en").alias("a"), F.when(F.col("lang") == "de", F.col("text")).otherwise("").alias("sentence"), F.col("text").alias("content"))
+    return files.first_present(own.withColumnRenamed("a", "text")).select("doc_id", T.text_digest(F.col("text")).alias("digest"))
+
+
+# --- sets, draws ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT source, sha256(text) AS digest, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2")
+def first_of_each_text(spark, sf_dir):
+    own = _docs(spark, sf_dir).select("source", T.text_digest(F.col("text")).alias("digest"), "doc_id")
+    return corpus.keep_first(own, ("source", "digest"), ("doc_id",))
+
+
+@query("WITH p AS (SELECT doc_id FROM labels WHERE quality = 1 UNION ALL SELECT doc_id FROM labels WHERE toxic = 1), d AS (SELECT doc_id, count(*) AS m FROM p GROUP BY 1), b AS (SELECT documents.doc_id AS i, d.doc_id AS j, m FROM documents FULL JOIN d ON documents.doc_id = d.doc_id) SELECT count(i) AS inputs, sum(m)::BIGINT AS emitted, count(*) FILTER (m > 1) AS repeated, count(*) FILTER (m > 1) AS shared, count(*) FILTER (j IS NULL) AS missing, count(*) FILTER (i IS NULL) AS extra FROM b")
+def label_coverage(spark, sf_dir):
+    """How the labelled documents, good ones and toxic ones, cover all documents."""
+    labels = _table(spark, sf_dir, "labels")
+    parts = labels.where("quality = 1").select("doc_id", F.lit("good").alias("part")).union(labels.where("toxic = 1").select("doc_id", F.lit("toxic").alias("part")))
+    return split.coverage(_docs(spark, sf_dir), parts, "doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE ('0x' || substr(sha256('b2|7|' || doc_id), 1, 8))::BIGINT / 4294967296 < 0.25")
+def selected_documents(spark, sf_dir):
+    draw = F.conv(F.substring(H.rank_key_sha2("b2", 7, F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") / F.lit(2**32)
+    return _docs(spark, sf_dir).where(H.is_selected(draw, 0.25)).select("doc_id")
+
+
+@query("SELECT i::INT AS place, ('0x' || substr(sha256('seeds'), 4 * i + 1, 4))::INT AS seed FROM range(5) r(i)")
+def derived_seeds(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(H.derive_seeds("seeds", 5))), "place int, seed int")
+
+
+@query("SELECT count(*) AS n, round(avg(quality - toxic), 9) AS mean, round(stddev_samp(quality - toxic), 9) AS deviation FROM labels")
+def paired_labels(spark, sf_dir):
+    own = _table(spark, sf_dir, "labels")
+    both = metrics.paired_difference(own.select("doc_id", F.col("quality").alias("v")), own.select("doc_id", F.col("toxic").alias("v")), "doc_id", "v")
+    return both.select("n", F.round("mean", 9).alias("mean"), F.round("deviation", 9).alias("deviation"))
+
+
+@query("SELECT lang, max(length(text)) AS worst FROM documents GROUP BY lang")
+def longest_by_lang(spark, sf_dir):
+    return metrics.worst_case(_docs(spark, sf_dir).select("lang", F.length("text").cast("long").alias("score")), "lang")
+
+
+@query("SELECT lang, count(*) AS n FROM documents WHERE length(text) <= 2000 GROUP BY lang")
+def untruncated_documents(spark, sf_dir):
+    return smoke.truncation(_docs(spark, sf_dir), F.length("text"), 2000, "SKIP").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT lang AS category, count(*) AS cases, count(text) AS succeeded, round(avg((text = {_base_sql()})::INT), 9) AS clean_exact_rate, 1.0::DOUBLE AS base_preserved_rate, 1.0::DOUBLE AS deterministic_rate FROM documents GROUP BY lang")
+def restoration_summary(spark, sf_dir):
+    """Stripping taken for a restorer: the base stays, the text stays where it has no marks."""
+    cases = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), "text", T.strip_base(F.col("text")).alias("output"), T.strip_base(F.col("text")).alias("repeat"), F.lit(1.0).alias("seconds"), F.lit(None).cast("string").alias("error"))
+    t = smoke.summarize(smoke.records(cases)).where("category is not null")
+    return t.select("category", "cases", "succeeded", F.round("clean_exact_rate", 9).alias("clean_exact_rate"), "base_preserved_rate", "deterministic_rate")
+
+
 # --- metrics, selection ---------------------------------------------------------------------------------------
 
 
