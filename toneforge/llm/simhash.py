@@ -289,13 +289,14 @@ def _gathered(parts: DataFrame, add: Callable, finish: Callable, size: int) -> n
     return out
 
 
-def _ranks(docs: DataFrame, width: int) -> np.ndarray:
+def _ranks(texts: DataFrame, pick: Callable, width: int) -> np.ndarray:
     """For each bucket of shingle hashes eight times the binary logarithm of its count (of a task at most 255): common passages come last in a prefix. It decides on the number of candidates, not on what is found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.int32)
-        for _, texts in _texts(batches):
-            np.add.at(counts, np.concatenate([shingles(t, width) for t in texts]) >> np.uint64(64 - COUNT_BITS), 1)
+        for raw in pick(batches):
+            for t in raw:
+                np.add.at(counts, (shingles(t, width) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), np.int32(1))
         small = np.minimum(counts, 255).astype(np.uint8).reshape(-1, CELLS)
         for at in np.flatnonzero(small.any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([small[at].tobytes()], pa.binary())], ["at", "cells"])
@@ -303,7 +304,7 @@ def _ranks(docs: DataFrame, width: int) -> np.ndarray:
     def add(total: np.ndarray, own: pa.Buffer) -> None:
         total += np.frombuffer(own, np.uint8)
 
-    return _gathered(docs.mapInArrow(run, "at int, cells binary"), add, lambda c: np.minimum(255, 8 * np.log2(1 + c)).astype(np.uint8), 1 << COUNT_BITS)
+    return _gathered(texts.mapInArrow(run, "at int, cells binary"), add, lambda c: np.minimum(255, 8 * np.log2(1 + c)).astype(np.uint8), 1 << COUNT_BITS)
 
 
 class Marks:
@@ -339,34 +340,55 @@ def _fitting(n: int) -> int:
     return int(np.clip(math.ceil(math.log2(n + 1)) + 5, 20, 28))
 
 
-def _lists(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(h, sid, n, pos): for each shingle set its prefix, but for shingles that no other text's prefix has (up to chance in a map of bits); n is the set's size, pos the shingle's place in the set's order."""
-    spark = docs.sparkSession
-    rank = spark.sparkContext.broadcast(_ranks(docs, width))
+def _chosen(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, Callable]:
+    """(texts, pick) for texts (key, text) and the keys wanted: pick yields, of a task's batches, the wanted texts in blocks with their shingles' maker left to the caller. A map of the keys goes to the texts, so these are not shuffled; by chance it lets some others pass."""
+    marks = texts.sparkSession.sparkContext.broadcast(Marks.of(keys, _fitting(keys.count())))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+        for b in blocks(batches):
+            some = b.filter(pa.array(marks.value.has(col(b, "key").to_numpy().view(np.uint64))))
+            for _, raw in _texts(iter([some])):
+                yield raw
+
+    return texts, pick
+
+
+def _set_id(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), 77)
+
+
+def _lists(texts: DataFrame, keys: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(h, sid, n, pos): for each shingle set its prefix, but for shingles that no other text's prefix has (up to chance in a map of bits); n is the set's size, pos the shingle's place in the set's order. texts: (key, text); keys: one for each set. A set that stands there more than once, by chance, does no harm."""
+    spark = texts.sparkSession
+    texts, pick = _chosen(texts, keys)
+    rank = spark.sparkContext.broadcast(_ranks(texts, pick, width))
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _texts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([prefix(shingles(t, width), rank.value, similarity) for t in texts]).view(np.int64))], ["h"])
+        for raw in pick(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *(prefix(shingles(t, width), rank.value, similarity) for t in raw)]).view(np.int64))], ["h"])
 
-    shared = docs.mapInArrow(alone, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    shared = texts.mapInArrow(alone, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
 
     held = spark.sparkContext.broadcast(Marks.of(shared, MAP_BITS))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _texts(batches):
-            hs, ids, sizes, places = [], [], [], []
-            for t in texts:
+        done: set[int] = set()
+        for raw in pick(batches):
+            hs, ids, sizes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            for t in raw:
                 found = shingles(t, width)
+                if (sid := _set_id(found)) in done:
+                    continue
+                done.add(sid)
                 own = prefix(found, rank.value, similarity)
                 at = np.flatnonzero(held.value.has(own))
-                own = own[at]
                 places.append(at.astype(np.int32))
-                hs.append(own)
-                ids.append(np.full(len(own), xxhash.xxh64_intdigest(found.tobytes(), 77), np.uint64))
-                sizes.append(np.full(len(own), len(found), np.int32))
+                hs.append(own[at])
+                ids.append(np.full(len(at), sid, np.uint64))
+                sizes.append(np.full(len(at), len(found), np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["h", "sid", "n", "pos"])
 
-    return spool(docs.mapInArrow(named, "h long, sid long, n int, pos int").distinct(), "dedup-lists")
+    return spool(texts.mapInArrow(named, "h long, sid long, n int, pos int"), "dedup-lists")
 
 
 def _labelled(lists: DataFrame, group: DataFrame) -> DataFrame:
@@ -382,20 +404,38 @@ def signature(found: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((found & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1).view(np.int64)
 
 
-def _of_sets(texts: DataFrame, wanted: DataFrame, width: int, make: Callable, tag: str) -> DataFrame:
-    """(sid, v) for rows (key, sid) of wanted, and some others: make turns a set into longs. texts are (key, text); a map of the wanted keys goes to the texts, so that these are not shuffled."""
-    spark = texts.sparkSession
-    marks = spark.sparkContext.broadcast(Marks.of(wanted.select("key"), _fitting(wanted.count())))
+#: Bytes of a shingle's hash in a set that is sent to be compared: two shingles of a pair of sets are taken for one with a chance of 2^-40.
+PACKED = 5
+
+
+def packed(found: np.ndarray) -> bytes:
+    return found.astype("<u8").view(np.uint8).reshape(-1, 8)[:, -PACKED:].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // PACKED, 8), np.uint8)
+    wide[:, -PACKED:] = np.frombuffer(raw, np.uint8).reshape(-1, PACKED)
+    return np.unique(wide.reshape(-1).view("<u8"))
+
+
+def _of_sets(texts: DataFrame, wanted: DataFrame, width: int, make: Callable, kind: str, tag: str) -> DataFrame:
+    """(sid, v) for rows (key, sid) of wanted, and by chance some others; a task gives each set once. make turns a set into a value. texts are (key, text)."""
+    texts, pick = _chosen(texts, wanted.select("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            some = b.filter(pa.array(marks.value.has(col(b, "key").to_numpy().view(np.uint64))))
-            for part, raw in _texts(iter([some])):
-                found = [shingles(t, width) for t in raw]
-                sids = np.array([xxhash.xxh64_intdigest(x.tobytes(), 77) for x in found], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array([make(x) for x in found], pa.list_(pa.int64()))], ["sid", "v"])
+        done: set[int] = set()
+        for raw in pick(batches):
+            sids, values = [], []
+            for t in raw:
+                found = shingles(t, width)
+                if (sid := _set_id(found)) not in done:
+                    done.add(sid)
+                    sids.append(sid)
+                    values.append(make(found))
+            arrow = pa.list_(pa.int64()) if kind == "array<long>" else pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(values, arrow)], ["sid", "v"])
 
-    return spool(texts.mapInArrow(run, "sid long, v array<long>").dropDuplicates(["sid"]), tag)
+    return spool(texts.mapInArrow(run, f"sid long, v {kind}"), tag)
 
 
 def _similar(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, sids: DataFrame, width: int, similarity: float, tag: str) -> DataFrame:
@@ -408,13 +448,25 @@ def _similar(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, sids: Da
     n = [sids.select(F.col("sid").alias(end), F.col("n").alias(size)) for end, size in (("src", "n"), ("dst", "m"))]
     differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, p: t + p)
     close = pairs.join(a, "src").join(b, "dst").join(n[0], "src").join(n[1], "dst")
-    near = spool(close.where((F.col("n") + F.col("m") - differ) / 2 + 1e-9 >= similarity / (1 + similarity) * (F.col("n") + F.col("m"))).select("src", "dst"), f"{tag}-near")
+    near = spool(close.where((F.col("n") + F.col("m") - differ) / 2 + 1e-9 >= similarity / (1 + similarity) * (F.col("n") + F.col("m"))).select("src", "dst").distinct(), f"{tag}-near")
     ids = near.select(F.explode(F.array("src", "dst")).alias("own")).distinct()
-    sets = _of_sets(texts, spool(sids.join(ids, F.col("sid") == F.col("own")).select("sid", "key"), f"{tag}-ids"), width, lambda x: x.view(np.int64), f"{tag}-sets")
+    sets = _of_sets(texts, spool(sids.join(ids, F.col("sid") == F.col("own")).select("sid", "key"), f"{tag}-ids"), width, packed, "binary", f"{tag}-sets")
     a, b = ends(sets)
-    both = F.size(F.array_intersect("x", "y"))
     # neither side has a bound: no broadcast at any size
-    return spool(near.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(both + 1e-9 >= similarity * (F.size("x") + F.size("y") - both)).select("src", "dst"), tag)
+    met = near.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").select("src", "dst", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                good = []
+                for x, y in zip(col(part, "x").to_pylist(), col(part, "y").to_pylist(), strict=True):
+                    one, two = unpacked(x), unpacked(y)
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    good.append(both + 1e-9 >= similarity * (len(one) + len(two) - both))
+                yield part.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
+    return spool(met.mapInArrow(run, "src long, dst long").distinct(), tag)
 
 
 def _ordered(src: str, dst: str) -> list:
@@ -440,7 +492,8 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
     hub = of.groupBy("group").agg(F.min("sid").alias("src"))
     edges = spool(of.join(hub, "group").select("src", F.col("sid").alias("dst")).where("src <> dst"), "dedup-hubs")
 
-    lists = _labelled(_lists(docs.select("text"), width, similarity), components(edges, "dedup-cc1"))
+    texts = docs.select(key.alias("key"), "text")
+    lists = _labelled(_lists(texts, sids.select("best.key"), width, similarity), components(edges, "dedup-cc1"))
     mixed = lists.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("h").alias("at"))
     opened = spool(lists.join(mixed, F.col("h") == F.col("at"), "left_semi"), "dedup-open")
 
@@ -452,8 +505,7 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
     ended = opened.join(ends, F.col("h") == F.col("at"))
     met = [ended.where((F.col("label") != F.col(f"{e}.label")) & fit("n", "pos", f"{e}.n", f"{e}.pos")).select(*_ordered("sid", f"{e}.sid")) for e in "pq"]
     wanted = spool(opened.groupBy(F.col("sid").alias("own")).agg(F.first("n").alias("n")).join(sids, F.col("own") == F.col("sid")).select("sid", "n", F.col("best.key").alias("key")), "dedup-wanted")
-    texts = docs.select(key.alias("key"), "text")
-    signatures = _of_sets(texts, wanted, width, signature, "dedup-signatures")
+    signatures = _of_sets(texts, wanted, width, signature, "array<long>", "dedup-signatures")
     edges = edges.union(_similar(met[0].union(met[1]).distinct(), signatures, texts, wanted, width, similarity, "dedup-true"))
 
     left = spool(_labelled(opened.drop("label"), components(edges, "dedup-cc2")), "dedup-left")
