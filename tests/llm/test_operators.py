@@ -183,6 +183,60 @@ def test_quality_of_odd_texts(spark):
     assert quality.accepted(docs.limit(0), quality.fit(docs, labels.limit(0))).count() == 0
 
 
+def plain_features(text):
+    """The statistics, one character, word and line at a time."""
+    data = text.encode()
+    out = [0.0] * quality.FEATURES
+    if not data:
+        out[-1] = 1.0
+        return out
+    for k in range(quality._CLASSES):
+        out[k] = math.sqrt(sum(int(quality._CLASS[b]) == k for b in data) / len(data))
+    words = re.findall(rb"[^ \t\n\v\f\r]+", data)
+    n, size = max(len(words), 1), [len(w) for w in words]
+    mean = sum(size) / n
+    kind = lambda b: int(quality._CLASS[b])
+    lines = re.findall(rb"[^\n]*\n|[^\n]+$", data)
+    out[quality._CLASSES :] = [
+        math.log1p(len(data)) / 10, mean / 10, math.sqrt(max(sum(x * x for x in size) / n - mean**2, 0)) / 10, sum(x <= 3 for x in size) / n, sum(x >= 12 for x in size) / n, len(set(words)) / n,
+        sum(kind(w[0]) == 2 for w in words) / n, sum(kind(w[-1]) in (7, 16) for w in words) / n, sum(kind(w[-1]) > 8 for w in words) / n, 1 - len(set(lines)) / len(lines), 0.0,
+    ]
+    return out
+
+
+def test_quality_features_agree_with_plain_counts():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab cDE12é.,|#!?\n\t  ", k=rng.randint(0, 80))) for _ in range(300)] + [t or "" for t in ODD]
+    got = quality.features(*text_bytes(pa.array(texts)))
+    assert np.allclose(got, [plain_features(t) for t in texts], atol=1e-12)
+
+
+def test_pairwise_loss_is_near_its_least():
+    """Against plain gradient descent over all pairs."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 5))
+    y = (x @ [2, -1, 0.5, 0, 0] + rng.normal(size=120) > 0.3).astype(int)
+    model = quality.bradley_terry(x, y, pairs_per_row=60)
+    diff = ((x[y == 1][:, None] - x[y == 0][None]) / model.scale).reshape(-1, 5)
+    loss = lambda w: np.log1p(np.exp(-(diff @ w))).mean()
+    best = np.zeros(5)
+    for _ in range(3000):
+        best += 0.5 * (diff / (1 + np.exp(diff @ best))[:, None]).mean(axis=0)
+    assert loss(model.weights) < 1.02 * loss(best)
+    z = ((x - model.mean) / model.scale) @ model.weights
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-model.slope * (z - model.threshold))))
+    assert ((model.score(x) >= 0.5) == (z >= model.threshold)).all()
+
+
+def test_quality_of_repeated_rows_and_clashing_names(spark):
+    docs = frame(spark, ["good text. it is.", "|||| ####", None, ""], ", score string").union(frame(spark, ["good text. it is."] * 30, ", score string").select(F.lit(0).cast("long"), "text", "score"))
+    labels = spark.createDataFrame([(0, 1, "a"), (1, 0, "b"), (0, 1, "c")], "doc_id long, quality int, text string")
+    model = quality.fit(docs, labels, sample_rows=4)
+    kept = quality.accepted(docs, model)
+    assert kept.columns == docs.columns and sum(r.doc_id == 0 for r in kept.collect()) == 34 - 3
+    assert [f.name for f in quality.score(docs, model).schema] == ["doc_id", "score"]
+
+
 # 5: see test_simhash
 
 def test_deduplicated_keeps_one_of_each_group(spark):
@@ -715,6 +769,62 @@ def test_cosines_of_plain_vectors_are_exact(spark):
 
 # the pipeline
 
+def jaccard(a, b, width=5):
+    def sets(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))}
+
+    x, y = sets(a), sets(b)
+    return len(x & y) / len(x | y)
+
+
+def test_near_dedup_stage_agrees_with_all_pairs(spark):
+    """One of each group that links of Jaccard 0.8, or of 4 fingerprint bits, join; the groups by comparing all pairs."""
+    import corpus_pipeline as P
+
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(500)]
+    rows = []
+    for g in range(25):
+        own = rng.choices(words, k=rng.randint(3, 90))
+        rows.append(" ".join(own))
+        for _ in range(rng.randint(0, 5)):
+            own = own[:]
+            own[rng.randrange(len(own))] = rng.choice(words)
+            rows.append(" ".join(own))
+    rows += ["", None, "  ", rows[0], rows[0]]
+    docs = frame(spark, rows)
+    text = [t or "" for t in rows]
+    fp = simhash.fingerprints([t.encode() for t in text], 5).astype(np.uint64).tolist()
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fp[i] ^ fp[j]).bit_count() <= 4 or jaccard(text[i], text[j]) >= 0.8 - 1e-9:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, SF).collect()) == sorted(set(label))
+
+
+def test_other_stages_agree_with_one_text_at_a_time(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    own = docs.collect()
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    good = model.score(np.array([plain_features(r.text or "") for r in own])) >= 0.5
+    assert sorted(r.doc_id for r in P.good_quality(spark, docs, SF).collect()) == sorted(r.doc_id for r, g in zip(own, good, strict=True) if g)
+    trees = pii.train()
+    want = {r.doc_id: (None if r.text is None else pii.redact(r.text, pii.spans_of([r.text], trees)[0][1])) for r in own}
+    got = P.redacted(spark, docs, SF).collect()
+    assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text or "") for r in got)
+    items = [re.findall("[a-z0-9]+", (r.text or "").lower().encode().decode("ascii", "ignore")) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    kept = {r.doc_id for r in P.decontaminated(spark, docs, SF).collect()}
+    for r in own:  # an item that stands there whole has leaked
+        text = " " + " ".join(re.findall("[a-z0-9]+", (r.text or "").lower())) + " "
+        if any(i and f" {' '.join(i)} " in text for i in items):
+            assert r.doc_id not in kept
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

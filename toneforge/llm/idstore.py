@@ -166,7 +166,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = END) -> str:
-    """Encodes docs (doc_id, text), each followed by end_id, and writes the store. Returns its path. A null text counts as empty; rows of one doc_id stay apart, null ids come first."""
+    """Encodes docs (doc_id, text), each followed by end_id, and writes the store. Returns its path. Ids must be whole numbers. A null text counts as empty and has its end alone; rows of one doc_id stay apart, null ids come first; long texts are kept whole; an empty table makes a store without documents; other columns are not read, whatever their names."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "idstore")
     small_batches(spark)
@@ -236,7 +236,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], checksum_only: bool) -> Iterato
 
 
 def read(spark: SparkSession, path: str, checksum_only: bool = False) -> DataFrame:
-    """(doc_id, rid, pack, at_id, root, n_tokens, and ids with their width in bytes or ids_crc32) of each document, put together and verified."""
+    """(doc_id, rid, pack, at_id, root, n_tokens, and ids with their width in bytes or ids_crc32) of each document, put together and verified; repeated rows are documents of their own, a store without documents gives none."""
     small_batches(spark)
     docs = spark.read.schema(_DOC).parquet(path).where("kind = 'doc'").drop("kind", "n_docs")
     shared = docs.where("has_shared").select("rid", "wide", "sizes", "digests", "flags", "ids").mapInArrow(_shared, "name binary, chunk binary")
@@ -270,7 +270,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, read from the store; raises if a chunk, a recipe, a pack or the manifest is not what its digest says."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, read from the store; raises if a chunk, a recipe, a pack or the manifest is not what its digest says. Rows of one doc_id follow on each other; a store without documents gives no rows."""
     got = spool(read(spark, path, checksum_only=True), "idstore-read")
     manifest = spark.read.parquet(f"{path}-manifest")
     rows = manifest.orderBy("pack").collect()  # one row a file

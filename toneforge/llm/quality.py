@@ -22,6 +22,8 @@ from .common import blocks, col, coded, small_batches, strings_of, text_bytes, w
 #: Bound of the labelled rows that a model is fitted on: those with the smallest xxhash64 of their id.
 SAMPLE_ROWS = 20_000
 PAIRS_PER_ROW = 8
+#: Steps of descent, at least.
+STEPS = 600
 SEED = 7
 
 _MARKS = [ord(c) for c in ".,|#$%&*!?"]
@@ -74,7 +76,7 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         count = np.diff(line_at)
         line_of = np.repeat(np.arange(rows, dtype=np.int64), count)
         own = np.unique(line_of * len(line_set) + line_codes) // max(len(line_set), 1)
-        out[:, k + 9] = 1 - np.bincount(own.astype(np.int64), minlength=rows) / np.maximum(count, 1)
+        out[:, k + 9] = np.where(count > 0, 1 - np.bincount(own.astype(np.int64), minlength=rows) / np.maximum(count, 1), 0)
     out[:, FEATURES - 1] = size == 0
     return out
 
@@ -111,9 +113,9 @@ def bradley_terry(x: np.ndarray, y: np.ndarray, pairs_per_row: int = PAIRS_PER_R
     n = pairs_per_row * max(len(pos), len(neg))
     diff = (pos[rng.integers(0, len(pos), n)] - neg[rng.integers(0, len(neg), n)]) / scale
     w, m, v, penalty = np.zeros(width), np.zeros(width), np.zeros(width), 1e-4
-    step = 0
-    for _ in range(6):
-        for part in np.array_split(rng.permutation(n), max(1, n // 1024)):
+    step, batches = 0, max(1, n // 1024)
+    for _ in range(max(6, -(-STEPS // batches))):
+        for part in np.array_split(rng.permutation(n), batches):
             step += 1
             d = diff[part]
             lost = 1 / (1 + np.exp(np.clip(d @ w, -35, 35)))
@@ -147,24 +149,25 @@ def _quantile_threshold(z: np.ndarray, y: np.ndarray, share: float, slack: float
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """labels: (doc_id, label). Rows with a null id or a label other than 0 and 1 are left out; a document with several labels counts once for each. Fitted on at most sample_rows of the labelled documents, those with the smallest hash of their id; ties by id and label."""
+    """labels: (doc_id, label). Rows with a null id or a label other than 0 and 1 are left out; a document with several labels counts once for each, one with several texts once for each text, and equal rows count once. Fitted on at most sample_rows of the labelled documents, those with the smallest hash of their id; ties by id, label and text. Null and empty texts are learned from like others; without labelled documents every text scores 0.5."""
     small_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     chosen = usable.orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows)
     joined = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")  # at most sample_rows rows of two numbers
+    joined = joined.withColumn("t", F.xxhash64("text")).dropDuplicates(["id", "y", "t"]).orderBy(F.xxhash64("id"), "id", "y", "t").limit(sample_rows)  # ids may be repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             x = features(*text_bytes(col(b, "text")))
-            yield pa.RecordBatch.from_arrays([col(b, "id"), col(b, "y"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([col(b, "id"), col(b, "y"), col(b, "t"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "t", "x"])
 
-    got = joined.mapInArrow(run, joined.select("id", "y").schema.add("x", ArrayType(DoubleType()))).toPandas().sort_values(["id", "y"], kind="stable")
+    got = joined.mapInArrow(run, joined.select("id", "y", "t").schema.add("x", ArrayType(DoubleType()))).toPandas().sort_values(["id", "y", "t"], kind="stable")
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), FEATURES)
     return bradley_terry(x, got["y"].to_numpy(np.int64))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """keep's columns and the score (0 to 1) of each whole text; a null text counts as empty."""
+    """keep's columns and the score (0 to 1) of each whole text, however long; a null text counts as empty; equal texts score alike; repeated rows, nulls in other columns and empty tables pass through; other columns are not read, whatever their names."""
     small_batches(docs.sparkSession)
     schema = docs.select(*keep).schema.add(name, "double")
 
@@ -177,7 +180,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), na
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs that score at least least, with all their columns."""
+    """The rows of docs that score at least least, with all their columns, also of clashing names; a null text counts as empty, repeated rows stay or go together, a score of just least stays, an empty table gives an empty one."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

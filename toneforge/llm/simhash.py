@@ -203,7 +203,7 @@ def _keyed(fps: DataFrame, probe: bool, key: str, name: str) -> DataFrame:
 
 def links(fps: DataFrame, name: str = "fp") -> DataFrame:
     """fps: a column of distinct longs, nulls ignored. Returns (src, dst): all pairs with at most 4 differing bits, src < dst, each once."""
-    own = fps.select(F.col(name).cast("long").alias("fp")).where("fp is not null")
+    own = fps.select(F.col(name).cast("long").alias("fp")).where("fp is not null").repartition("fp")  # a print makes up to a hundred keys: as many tasks as take part
     stored, looked = _keyed(own, False, "key", "src"), _keyed(own, True, "probe", "dst")
     x = F.col("src").bitwiseXOR(F.col("dst"))
     a, b, c = (F.bit_count(x.bitwiseAND(F.lit(m))) for m in (MASK_A, MASK_B, MASK_C - (1 << 64)))
