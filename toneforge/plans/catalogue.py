@@ -67,6 +67,42 @@ def _toneless_sql(text: str = "text") -> str:
     return f"translate({text}, '{''.join(pairs)}', '{''.join(pairs.values())}')"
 
 
+def _marked(good) -> str:
+    """Composed letters and symbols whose marks satisfy good."""
+    return "".join(ch for ch in map(chr, range(0xC0, 0x2000)) if unicodedata.normalize("NFC", ch) == ch and (d := unicodedata.normalize("NFD", ch)) != ch and good([m for m in d if unicodedata.combining(m)]))
+
+
+_COMPOSED = _marked(lambda m: True)
+#: Letters with a mark that is neither a tone's nor a letter's, or with several letter marks.
+_ODD = _marked(lambda m: any(x not in MARKS for x in m) or sum(x in LETTERS for x in m) > 1)
+
+
+def _canonical_sql(rows: str) -> str:
+    """CTEs that end in canon (all columns of rows and canonical), for rows with doc_id and composed text. Every run of letters with one tone mark carries it on its nucleus: of the vowels around the mark, without the u of qu, the i of gi and a gliding o or u before them, the last with a letter mark, else the last before a consonant, else the first."""
+    toned, shaped = _with_marks("".join(TONES)), _with_marks("".join(LETTERS))
+    bare = {ch: unicodedata.normalize("NFC", "".join(m for m in unicodedata.normalize("NFD", ch) if m not in TONES)) for ch in toned}
+    bare = {ch: x for ch, x in bare.items() if len(x) == 1}
+    letters = [chr(p) for p in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x2000)) if chr(p).isalpha() and unicodedata.normalize("NFC", chr(p)) == chr(p)]
+    put = []
+    for mark in TONES:
+        pairs = {c: x for c in letters if len(x := unicodedata.normalize("NFC", c + mark)) == 1}
+        a, b = "".join(pairs), "".join(pairs.values())
+        put.append(f"WHEN contains('{_with_marks(mark)}', old) THEN CASE WHEN contains('{a}', new) THEN translate(new, '{a}', '{b}') ELSE new || '{mark}' END")
+    return (
+        f"src AS (SELECT * FROM {rows}), parts AS (SELECT doc_id, unnest(l) AS r, unnest(range(len(l))) AS k FROM (SELECT doc_id, regexp_extract_all(text, '\\p{{L}}+|[^\\p{{L}}]+') AS l FROM src)), "
+        f"one AS (SELECT DISTINCT r, length(regexp_extract(r, '^[^{toned}]*')) AS t, lower(strip_accents(translate(r, 'đĐ', 'dD'))) AS s, regexp_replace(regexp_replace(r, '[^{shaped}]', '0', 'g'), '[^0]', '1', 'g') AS h FROM parts WHERE len(regexp_extract_all(r, '[{toned}]')) = 1), "
+        "v0 AS (SELECT *, t - length(regexp_extract(left(s, t), '[aeiouy]*$')) AS a0, t + length(regexp_extract(substr(s, t + 1), '^[aeiouy]*')) AS e FROM one), "
+        "v1 AS (SELECT *, a0 + (e - a0 > 1 AND a0 > 0 AND substr(s, a0, 2) IN ('qu', 'gi') AND substr(h, a0 + 1, 1) = '0')::INT AS a1 FROM v0 WHERE e > t), "
+        "v2 AS (SELECT *, a1 + (e - a1 > 1 AND substr(h, a1 + 1, 1) = '0' AND substr(s, a1 + 1, 2) IN ('oa', 'oe', 'uy'))::INT AS a FROM v1), "
+        "v3 AS (SELECT *, length(regexp_extract(substr(h, a + 1, e - a), '^.*1')) AS d FROM v2), "
+        "v4 AS (SELECT *, CASE WHEN d > 0 THEN a + d - 1 WHEN e < length(s) THEN e - 1 ELSE a END AS n, substr(r, t + 1, 1) AS old FROM v3), "
+        f"v5 AS (SELECT *, substr(r, n + 1, 1) AS new, translate(old, '{''.join(bare)}', '{''.join(bare.values())}') AS less FROM v4 WHERE n <> t), "
+        f"v6 AS (SELECT r AS was, n, t, less, CASE {' '.join(put)} END AS more FROM v5), "
+        "v7 AS (SELECT was, array_to_string([CASE WHEN i = t THEN less WHEN i = n THEN more ELSE substr(was, i + 1, 1) END FOR i IN range(length(was))], '') AS now FROM v6), "
+        "canon AS (SELECT src.*, coalesce(c, text) AS canonical FROM src LEFT JOIN (SELECT doc_id AS i, string_agg(coalesce(now, r), '' ORDER BY k) AS c FROM parts LEFT JOIN v7 ON r = was GROUP BY doc_id) ON doc_id = i) "
+    )
+
+
 _WS = r"\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _W = r"\p{L}\p{N}_"
 
@@ -100,17 +136,65 @@ def strip_to_base_documents(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.text_digest(T.strip_to_base(F.col("text"))).alias("digest"))
 
 
-@query()
+@query("WITH " + _canonical_sql("documents") + "SELECT doc_id, canonical FROM canon")
 def canonical_documents(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.canon(F.col("text")).alias("canonical"))
 
 
-@query()
+# Words with the mark on either vowel, with letter marks, onsets, glides, capitals, and none or several marks.
+VIETNAMESE = (
+    "hoà bình và thuỷ chung", "Hòa bình, thủy chung", "khoẻ mạnh; khỏe", "QUÝ giá, quí, quýt, quỳnh", "giếng gìn giữ già gió gịa", "tiếng Việt, nghiêng ngả, nguyễn", "đường phố Đà Nẵng", "loà xoà, lòe xòe, oằn oèo, toán hoán",
+    "của cua múa mùa, mía mìa", "ủy ban uỷ ban huỷ hủy tuỳ tùy", "yêu yếu ý kiến", "thuở, huơ, khuỷu khuya", "ngoằn ngoèo ngoáy khoái", "rượu bưởi người", "café résumé élève Müller naïve", "xyz đ Đ 123 ... ", "Ôi! Ấy ơi ừ", "queo quẹo quèo quyển", "giết giặc giỏi gì", "bóoc xoong",
+)
+_VIETNAMESE_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(VIETNAMESE)) + ") v(doc_id, text))"
+
+
+def _vietnamese(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(VIETNAMESE)), "doc_id int, text string")
+
+
+@query("WITH " + _canonical_sql(_VIETNAMESE_SQL) + "SELECT doc_id, canonical FROM canon")
+def canonical_vietnamese(spark, sf_dir):
+    return _vietnamese(spark).select("doc_id", T.canon(F.col("text")).alias("canonical"))
+
+
+@query("WITH " + _canonical_sql(_VIETNAMESE_SQL) + f"SELECT doc_id, {_base_sql('canonical')} AS base FROM canon")
+def base_vietnamese(spark, sf_dir):
+    return _vietnamese(spark).select("doc_id", T.strip_to_base(F.col("text")).alias("base"))
+
+
+@query(
+    "WITH " + _canonical_sql(_VIETNAMESE_SQL) + "SELECT doc_id, canonical <> text AS canon_changed, " + f"length(canonical)::INT AS total_units, len(regexp_extract_all(canonical, '\\p{{L}}+'))::INT AS syllables, "
+    f"len(regexp_extract_all(canonical, '[{_with_marks(''.join(TONES))}]'))::INT AS with_tone, len(regexp_extract_all(canonical, '[{_with_marks(''.join(LETTERS))}đĐ]'))::INT AS with_letter FROM canon"
+)
+def orthography_vietnamese(spark, sf_dir):
+    o = _vietnamese(spark).select("doc_id", T.observe_orthography(F.col("text")).alias("o"))
+    return o.select("doc_id", "o.canon_changed", "o.total_units", "o.syllables", F.col("o.units_with_observed_tone").alias("with_tone"), F.col("o.units_with_observed_letter").alias("with_letter"))
+
+
+@query("WITH " + _canonical_sql(_VIETNAMESE_SQL) + f"SELECT doc_id, {_toneless_sql('canonical')} AS p100, {_base_sql('canonical')} AS strip_all, canonical AS p0 FROM canon")
+def corruption_vietnamese(spark, sf_dir):
+    """The conditions that leave nothing to chance."""
+    own = _vietnamese(spark).withColumn("sample_id", F.col("doc_id").cast("string"))
+    out = own.select("doc_id", "sample_id", "text")
+    for name, column in (("P100", "p100"), ("STRIP_ALL", "strip_all"), ("FULL", "p0")):
+        out = corruption.corrupt(out, name, 42).withColumn(column, F.col("corruption.corrupted_text")).drop("corruption")
+    return out.select("doc_id", "p100", "strip_all", "p0")
+
+
+@query("WITH " + _canonical_sql("documents") + f"SELECT doc_id, canonical = text AS already_canonical, false AS nfc_changed, canonical <> text AS tone_placement_changed, length(text)::INT AS input_length, length(canonical)::INT AS canonical_length, CASE WHEN regexp_matches(text, '[{_COMPOSED}]') THEN 'NFC' ELSE 'NFC=NFD' END AS input_form, 'MODERN' AS placement FROM canon WHERE text IS NOT NULL")
 def canonical_differences(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.canonical_differences(F.col("text")).alias("d")).select("doc_id", "d.*")
+    return _docs(spark, sf_dir).where("text is not null").select("doc_id", T.canonical_differences(F.col("text")).alias("d")).select("doc_id", "d.*")
 
 
-@query()
+_ANY_MARK = _with_marks("".join(MARKS)) + "đĐ"
+
+
+@query(
+    "WITH " + _canonical_sql("documents") + f"SELECT lang, count(*) FILTER (canonical <> text) AS canon_changed, count(*) FILTER (canonical = {_base_sql('canonical')}) AS base_equivalent, sum(len(regexp_extract_all(canonical, '[{_ANY_MARK}]')))::BIGINT AS changed_characters, "
+    f"sum(len(regexp_extract_all(canonical, '[{_ANY_MARK}]')))::BIGINT AS changed_units, sum(length(canonical))::BIGINT AS total_units, sum(len(regexp_extract_all(canonical, '\\p{{L}}+')))::BIGINT AS syllables, sum(len(regexp_extract_all(canonical, '\\p{{L}}')))::BIGINT AS letter_eligible_units, "
+    f"sum(len(regexp_extract_all(canonical, '[{_with_marks(''.join(LETTERS))}đĐ]')))::BIGINT AS letter_observed_units FROM canon GROUP BY lang"
+)
 def orthography_by_lang(spark, sf_dir):
     seen = _docs(spark, sf_dir).select("lang", T.observe_orthography(F.col("text")).alias("o"))
     return seen.groupBy("lang").agg(F.count_if("o.canon_changed").alias("canon_changed"), F.count_if("o.base_equivalent").alias("base_equivalent"), *(F.sum(f"o.{c}").alias(c) for c in ("changed_characters", "changed_units", "total_units", "syllables", "letter_eligible_units", "letter_observed_units")))
@@ -131,16 +215,6 @@ def syllable_tone_counts(spark, sf_dir):
     return each.groupBy("lang", "tone").agg(F.count("*").alias("syllables"))
 
 
-def _marked(good) -> str:
-    """Composed letters and symbols whose marks satisfy good."""
-    return "".join(ch for ch in map(chr, range(0xC0, 0x2000)) if unicodedata.normalize("NFC", ch) == ch and (d := unicodedata.normalize("NFD", ch)) != ch and good([m for m in d if unicodedata.combining(m)]))
-
-
-_COMPOSED = _marked(lambda m: True)
-#: Letters with a mark that is neither a tone's nor a letter's, or with several letter marks.
-_ODD = _marked(lambda m: any(x not in MARKS for x in m) or sum(x in LETTERS for x in m) > 1)
-
-
 @query(f"SELECT lang, CASE WHEN regexp_matches(text, '[{_COMPOSED}]') THEN 'NFC' ELSE 'NFC=NFD' END AS form, count(*) AS texts FROM documents GROUP BY ALL")
 def unicode_forms(spark, sf_dir):
     return _docs(spark, sf_dir).select("lang", T.unicode_form(F.col("text")).alias("form")).groupBy("lang", "form").agg(F.count("*").alias("texts"))
@@ -212,7 +286,7 @@ def exact_duplicates(spark, sf_dir):
     return _flat(_grouped(spark, sf_dir, "lang", "source"))
 
 
-@query()
+@query("WITH " + _canonical_sql("documents") + "SELECT sha256(canonical) AS digest, count(*) AS size, string_agg(DISTINCT source, ',' ORDER BY source) AS splits, string_agg(DISTINCT lang, ',' ORDER BY lang) AS labels, min(doc_id) AS first_id FROM canon GROUP BY 1 HAVING count(*) > 1")
 def canonical_duplicates(spark, sf_dir):
     return _flat(_grouped(spark, sf_dir, "lang", "source", T.canonical_digest))
 
@@ -340,7 +414,7 @@ def contamination_excluded(spark, sf_dir):
     return _screened(spark, sf_dir)[1].select("doc_id", "source")
 
 
-@query()
+@query("WITH " + _canonical_sql("documents") + "SELECT doc_id, source FROM canon WHERE source = 'src0' AND sha256(canonical) IN (SELECT sha256(canonical) FROM canon WHERE source <> 'src0')")
 def contamination_excluded_canonical(spark, sf_dir):
     return _screened(spark, sf_dir, T.canonical_digest)[1].select("doc_id", "source")
 
@@ -445,12 +519,11 @@ def inventory_eligibility(spark, sf_dir):
 
 
 _ENTRIES = ("hòa", "hoà", "hoa", "toán", "đi", " ", "Thuỷ", "thủy", "QUÝ", "quí", "giữ", "gìn", "khoẻ", "khỏe", "loà", "lòa", "xoè", "xòe")
-# Entries with the tone on the other vowel of their glide, and the canonical spelling.
-_MOVED = (("hoà", "hòa"), ("thủy", "thủy"), ("Thuỷ", "Thủy"), ("khoẻ", "khỏe"), ("loà", "lòa"), ("xoè", "xòe"))
+_ENTRIES_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, '{x}')" for k, x in enumerate(_ENTRIES)) + ") v(doc_id, text) WHERE trim(text) <> '')"
 
 
 @query(
-    f"WITH e(form) AS (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in _ENTRIES)}), m(a, b) AS (VALUES {', '.join(f'({chr(39)}{x}{chr(39)}, {chr(39)}{y}{chr(39)})' for x, y in _MOVED)}), c AS (SELECT coalesce(b, form) AS c FROM e LEFT JOIN m ON form = a WHERE trim(form) <> ''), s AS (SELECT c, lower({_base_sql('c')}) AS s FROM c) "
+    "WITH " + _canonical_sql(_ENTRIES_SQL) + f", s AS (SELECT canonical AS c, lower({_base_sql('canonical')}) AS s FROM canon) "
     "SELECT count(*)::INT AS raw, count(DISTINCT c)::INT AS unique_canonical, count(DISTINCT s)::INT AS unique_stripped, (count(DISTINCT c) - count(DISTINCT s))::INT AS collisions FROM s"
 )
 def inventory_statistics(spark, sf_dir):
