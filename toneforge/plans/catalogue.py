@@ -311,19 +311,32 @@ def duplicate_excess(spark, sf_dir):
     return profile.excess(_docs(spark, sf_dir), T.text_digest(F.col("text")), ("source",))
 
 
-@query()
-def split_profile(spark, sf_dir):
-    return profile.profile(_docs(spark, sf_dir), "source", "text", "lang").withColumn("labels", F.to_json("labels"))
-
-
 _COUNT = "sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS {n}"
 _DIGIT = f"[{_W}]*\\p{{Nd}}[{_W}]*"
+_NOISE_SQL = (("urls", f"(?i)https?://[^{_WS}]+|www\\.[^{_WS}]+"), ("mentions", f"@[{_W}]+"), ("hashtags", f"#[{_W}]+"), ("emoji_or_symbols", r"[\x{10000}-\x{10FFFF}]|\p{So}|\p{Sk}"), ("digit_bearing_tokens", _DIGIT))
+
+
+@query(
+    "WITH " + _canonical_sql("documents") + ", own AS (SELECT * FROM canon WHERE trim(text) <> ''), "
+    "l AS (SELECT split, sum(n)::BIGINT AS rows, '{' || string_agg('\"' || label || '\":' || n, ',' ORDER BY label) || '}' AS labels FROM (SELECT source AS split, lang AS label, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY split), "
+    "runs AS (SELECT source, count(*) AS n FROM (SELECT source, doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS island FROM (SELECT source, doc_id, unnest(string_split(text, '')) AS c, unnest(range(len(text))) AS i FROM own) WHERE c <> chr(10)) GROUP BY source, doc_id, c, island HAVING count(*) >= 3), "
+    "r AS (SELECT source, count(*) AS repeated_char_runs FROM runs GROUP BY source), "
+    f"t AS (SELECT source, count(*) AS texts, count(*) FILTER (canonical <> text) AS canon_changed, count(*) FILTER (canonical = {_base_sql('canonical')}) AS base_equivalent, count(*) FILTER (regexp_matches(canonical, '[{_with_marks(''.join(TONES))}]')) AS with_tone, "
+    f"count(*) FILTER (regexp_matches(canonical, '[{_with_marks(''.join(LETTERS))}đĐ]')) AS with_letter, sum(len(regexp_extract_all(canonical, '\\p{{L}}')))::BIGINT AS letter_eligible_units, sum(len(regexp_extract_all(canonical, '[{_with_marks(''.join(LETTERS))}đĐ]')))::BIGINT AS letter_observed_units, "
+    + ", ".join(_COUNT.format(p=p, n=n) for n, p in _NOISE_SQL) + " FROM own GROUP BY source), "
+    + ", ".join(f"{k} AS (SELECT source, coalesce(sum(CASE WHEN n > 1 THEN n - 1 END), 0)::BIGINT AS {k}_duplicate_excess FROM (SELECT source, sha256({c}) AS d, count(*) AS n FROM own GROUP BY 1, 2) GROUP BY source)" for k, c in (("exact", "text"), ("canonical", "canonical"))).replace("canonical AS (", "canonical_ AS (")
+    + ", g AS (SELECT source, count(*) FILTER (n > 1) AS conflicting_groups FROM (SELECT source, sha256(canonical) AS d, count(DISTINCT lang) AS n FROM own GROUP BY 1, 2) GROUP BY source) "
+    "SELECT split, rows, labels, texts, canon_changed, base_equivalent, with_tone, with_letter, 0::BIGINT AS tone_eligible_syllables, 0::BIGINT AS tone_observed_syllables, letter_eligible_units, letter_observed_units, urls, mentions, hashtags, emoji_or_symbols, coalesce(repeated_char_runs, 0) AS repeated_char_runs, digit_bearing_tokens, "
+    "exact_duplicate_excess, canonical_duplicate_excess, conflicting_groups, NULL::DOUBLE AS tone_density, letter_observed_units / nullif(letter_eligible_units, 0) AS letter_density FROM l LEFT JOIN t ON split = t.source LEFT JOIN r ON split = r.source LEFT JOIN exact ON split = exact.source LEFT JOIN canonical_ ON split = canonical_.source LEFT JOIN g ON split = g.source"
+)
+def split_profile(spark, sf_dir):
+    return profile.profile(_docs(spark, sf_dir), "source", "text", "lang").withColumn("labels", F.to_json("labels"))
 
 
 @query(
     "WITH runs AS (SELECT source, count(*) AS n FROM (SELECT source, doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS island FROM (SELECT source, doc_id, unnest(string_split(text, '')) AS c, unnest(range(len(text))) AS i FROM documents) WHERE c <> chr(10)) "
     "GROUP BY source, doc_id, c, island HAVING count(*) >= 3) , r AS (SELECT source, count(*) AS repeated_char_runs FROM (SELECT source FROM runs) GROUP BY source) "
-    "SELECT d.source, " + ", ".join(_COUNT.format(p=p, n=n) for n, p in (("urls", f"(?i)https?://[^{_WS}]+|www\\.[^{_WS}]+"), ("mentions", f"@[{_W}]+"), ("hashtags", f"#[{_W}]+"), ("emoji_or_symbols", r"[\x{10000}-\x{10FFFF}]|\p{So}|\p{Sk}"), ("digit_bearing_tokens", _DIGIT)))
+    "SELECT d.source, " + ", ".join(_COUNT.format(p=p, n=n) for n, p in _NOISE_SQL)
     + ", coalesce(any_value(r.repeated_char_runs), 0) AS repeated_char_runs FROM documents d LEFT JOIN r ON d.source = r.source GROUP BY d.source"
 )
 def noise_by_source(spark, sf_dir):
