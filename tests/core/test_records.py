@@ -107,3 +107,33 @@ def test_manifest_gates():
                 corpus.gate_manifest(bad, pins)
     with pytest.raises(corpus.CorpusViolation):
         corpus.gate_manifest(good, {})
+
+
+def test_pools_lists_and_files_by_digest(spark, tmp_path):
+    import hashlib
+
+    from toneforge.sources import files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    for folder, text in (("a", "x\ny\n"), ("b", "z\n")):
+        (tmp_path / folder / "list.txt").write_text(text)
+    sha = {k: hashlib.sha256((tmp_path / k / "list.txt").read_bytes()).hexdigest() for k in "ab"}
+    found = {r.name: (r.bytes, r.sha256) for r in files.integrity(spark, str(tmp_path)).collect()}
+    assert found == {"a/list.txt": (4, sha["a"]), "b/list.txt": (2, sha["b"])}
+    files.verify(spark, str(tmp_path), [("a/list.txt", 4, sha["a"])])
+    assert [r.form for r in files.word_list(spark, str(tmp_path / "a" / "list.txt"), 2, sha["a"]).collect()] == ["x", "y"]
+    for bad in (str(tmp_path), str(tmp_path / "b")):
+        with pytest.raises(corpus.CorpusViolation):
+            files.word_list(spark, bad, sha256=sha["a"])
+    (tmp_path / "pool.csv").write_text('sample_id,text,label\n1,"a, b",x\n2,c,y\n')
+    own = hashlib.sha256((tmp_path / "pool.csv").read_bytes()).hexdigest()
+    assert files.pinned_pool(spark, str(tmp_path / "pool.csv"), own, 2, {"x": 1, "y": 1}).count() == 2
+    with pytest.raises(corpus.CorpusViolation):
+        files.pinned_pool(spark, str(tmp_path / "pool.csv"), sha["a"], 2, {"x": 1, "y": 1})
+
+
+def test_duplicates_list_as_many_ids_as_asked(spark):
+    df = spark.createDataFrame([(i, "t", "s", "l") for i in (5, 3, 9, 1)] + [(7, "u", "s", "l")], "sample_id int, text string, split string, label string")
+    ids = lambda most: [(r["size"], r.sample_ids) for r in profile.duplicates(df, F.sha2("text", 256), most=most).collect()]
+    assert ids(None) == [(4, [1, 3, 5, 9])] and ids(1) == [(4, [1])] and ids(2) == [(4, [1, 3])]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,11 +20,15 @@ def distribution(df: DataFrame, value: Column, by: tuple[str, ...] = ()) -> Data
     return own.groupBy(*by).agg(F.count("v").alias("count"), F.min("v").alias("min"), *cut, F.max("v").alias("max"), F.avg("v").alias("mean"))
 
 
-def duplicates(df: DataFrame, digest: Column, split: str = "split", label: str = "label", sample_id: str = "sample_id") -> DataFrame:
-    """(digest, size, splits, labels, sample_ids) of groups of two or more."""
+def duplicates(df: DataFrame, digest: Column, split: str = "split", label: str = "label", sample_id: str = "sample_id", most: int | None = None) -> DataFrame:
+    """(digest, size, splits, labels, sample_ids) of groups of two or more. most: list so many ids of a group alone, the least; size counts all. Without it a group's ids are all put into one row, so give it where a group (of empty texts, say) may be large."""
     own = df.select(digest.alias("digest"), F.col(split).alias("s"), F.col(label).alias("l"), F.col(sample_id).alias("i")).where("digest is not null")
-    listed = own.groupBy("digest").agg(F.count("*").alias("size"), F.sort_array(F.collect_set("s")).alias("splits"), F.sort_array(F.collect_set("l")).alias("labels"), F.sort_array(F.collect_list("i")).alias("sample_ids"))
-    return listed.where("size > 1")
+    listed = own.groupBy("digest").agg(F.count("*").alias("size"), F.sort_array(F.collect_set("s")).alias("splits"), F.sort_array(F.collect_set("l")).alias("labels"), *([F.sort_array(F.collect_list("i")).alias("sample_ids")] if most is None else [F.array_compact(F.array(F.min("i"))).alias("sample_ids")] if most == 1 else []))
+    if most is None or most == 1:
+        return listed.where("size > 1")
+    least = own.withColumn("k", F.row_number().over(Window.partitionBy("digest").orderBy("i"))).where(F.col("k") <= most)  # limited before the shuffle
+    ids = least.groupBy(F.col("digest").alias("d")).agg(F.sort_array(F.collect_list("i")).alias("sample_ids"))
+    return listed.where("size > 1").join(ids, F.col("digest") == F.col("d")).drop("d")
 
 
 def conflicting(groups: DataFrame) -> DataFrame:

@@ -271,7 +271,7 @@ def round_trip_summary(spark, sf_dir):
 
 
 def _grouped(spark, sf_dir, label, part, digest=T.text_digest):
-    return profile.duplicates(_docs(spark, sf_dir), digest(F.col("text")), part, label, "doc_id")
+    return profile.duplicates(_docs(spark, sf_dir), digest(F.col("text")), part, label, "doc_id", most=1)
 
 
 _DUP = "SELECT sha256(text) AS digest, count(*) AS size, string_agg(DISTINCT {s}, ',' ORDER BY {s}) AS splits, string_agg(DISTINCT {l}, ',' ORDER BY {l}) AS labels, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1{more}"

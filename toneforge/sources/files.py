@@ -30,6 +30,13 @@ def delimited(spark: SparkSession, path: str, text: str, label: str, sample_id:
     return spark.createDataFrame(counted, "sample_id string, text string, label string")
 
 
+def pinned_pool(spark: SparkSession, path: str, sha256: str, rows: int, labels: dict[str, int], text: str = "text", label: str = "label", sample_id: str = "sample_id") -> DataFrame:
+    """delimited and verified_pool of the one file that has the digest; that is looked at before a row is read."""
+    if [r["sha256"] for r in integrity(spark, path).limit(2).collect()] != [sha256]:
+        raise CorpusViolation(f"{path} is not the one file of the pinned digest")
+    return verified_pool(delimited(spark, path, text, label, sample_id), rows, labels)
+
+
 def verified_pool(df: DataFrame, rows: int, labels: dict[str, int]) -> DataFrame:
     """Raises unless df has so many rows and labels, unique ids and no blank text."""
     found = {str(r["label"]): r["count"] for r in df.groupBy("label").count().collect()}
@@ -76,9 +83,10 @@ def artifact(rows: object) -> str:
 
 
 def integrity(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of the files under a path, read by the executors."""
-    df = spark.read.format("binaryFile").load(path)
-    return df.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(name, bytes, sha256) of the files under a path, with all its folders, read by the executors; a file is one value, so of up to 2 GB. name is the path below the given one, or a lone file's own name."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    below = F.regexp_extract("path", "\\Q" + path.split("://")[-1].rstrip("/") + "\\E/(.+)$", 1)
+    return df.select(F.coalesce(F.nullif(below, F.lit("")), F.regexp_extract("path", "[^/]+$", 0)).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify(spark: SparkSession, path: str, pins: Iterable[tuple[str, int, str]]) -> None:
@@ -91,8 +99,8 @@ def verify(spark: SparkSession, path: str, pins: Iterable[tuple[str, int, str]])
 
 def word_list(spark: SparkSession, path: str, entries: int | None = None, sha256: str | None = None) -> DataFrame:
     """(form): lines of a pinned list."""
-    if sha256 is not None and integrity(spark, path).where(F.col("sha256") == sha256).isEmpty():
-        raise CorpusViolation("the word list has another digest")
+    if sha256 is not None and [r["sha256"] for r in integrity(spark, path).limit(2).collect()] != [sha256]:
+        raise CorpusViolation("the word list is not the one file of that digest")
     df = spark.read.text(path).select(F.trim("value").alias("form")).where("form <> ''")
     if entries is not None and (n := df.count()) != entries:
         raise CorpusViolation(f"{n} entries, not {entries}")
