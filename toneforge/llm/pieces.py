@@ -57,8 +57,8 @@ class Pieces:
         for value, i in self.byte_id.items():
             self.bytes_of[i] = bytes([value])
         points = [np.frombuffer(p.encode("utf-32-le"), np.uint32) for p in self.piece.values()]
-        self.ids = np.array(plain, np.int64)
-        self.lengths = np.array([len(p) for p in points], np.int64)
+        self.ids = np.array(plain, np.int32)
+        self.lengths = np.array([len(p) for p in points], np.int32)
         self.points = np.zeros((len(points), 16), np.uint32)
         for k, p in enumerate(points):
             self.points[k, : len(p)] = p
@@ -113,7 +113,7 @@ class Pieces:
         bits = np.uint64(16)
         four = x[: n + 13] << (bits * np.uint64(3)) | x[1 : n + 14] << (bits * np.uint64(2)) | x[2 : n + 15] << bits | x[3 : n + 16]
         keys = [four[k : k + n] for k in (0, 4, 8, 12)]
-        order = np.lexsort(keys[::-1])
+        order = np.lexsort(keys[::-1]).astype(np.int32)
         # pieces whose characters all occur
         use = np.flatnonzero(occurs[self.codes.astype(np.int64)].all(axis=1))
         chars, inside = self.codes[use], np.arange(16) < self.lengths[use, None]
@@ -145,7 +145,7 @@ class Pieces:
         return low
 
     def _staying(self, before: np.ndarray, token: np.ndarray, new: dict[int, bool]) -> np.ndarray:
-        key = before << 21 | token
+        key = before.astype(np.int64) << 21 | token
         at = np.searchsorted(self.known_keys, key)
         at_ = np.minimum(at, max(len(self.known_keys) - 1, 0))
         seen = self.known_keys[at_] == key if len(self.known_keys) else np.zeros(len(key), bool)
@@ -167,21 +167,22 @@ class Pieces:
         if text is None:  # U+0000 can't part words that hold it; it stands for itself by a character that no text has
             text = "\0".join(w.replace("\0", "\udfff") for w in words) + "\0"
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        length = np.array([len(w) for w in words], np.int64)
-        begin = np.cumsum(length + 1) - (length + 1)
+        length = np.array([len(w) for w in words], np.int32)
+        begin = np.cumsum(length + 1, dtype=np.int32) - (length + 1)
         base = np.repeat(begin, length + 1)
         start, size, token = self._edges(points)
-        alone = np.flatnonzero(points != 0)
+        alone = np.flatnonzero(points != 0).astype(np.int32)
         single = np.zeros(len(points), bool)
         single[start[size == 1]] = True
         alone = alone[~single[alone]]
-        start, size = np.concatenate([start, alone]), np.concatenate([size, np.ones(len(alone), np.int64)])
-        token = np.concatenate([token, np.where(points[alone] == 0xDFFF, 0, points[alone]).astype(np.int64) + _LONE])
+        start, size = np.concatenate([start, alone]), np.concatenate([size, np.ones(len(alone), np.int32)])
+        token = np.concatenate([token, np.where(points[alone] == 0xDFFF, 0, points[alone]).astype(np.int32) + _LONE])
         place = start + size - base[start]
         order = np.argsort(place, kind="stable")
         start, size, token, place = start[order], size[order], token[order], place[order]
-        last = np.full(len(points) + 1, -1, np.int64)
-        came = np.zeros(len(points) + 1, np.int64)
+        del order, alone, single
+        last = np.full(len(points) + 1, -1, np.int32)
+        came = np.zeros(len(points) + 1, np.int32)
         steps = np.searchsorted(place, np.arange(1, int(length.max(initial=0)) + 2))
         new: dict[int, bool] = {}
         for k in range(len(steps) - 1):

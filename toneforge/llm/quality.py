@@ -154,14 +154,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     usable = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     chosen = usable.orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows)
     joined = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")  # at most sample_rows rows of two numbers
-    joined = joined.withColumn("t", F.xxhash64("text")).dropDuplicates(["id", "y", "t"]).orderBy(F.xxhash64("id"), "id", "y", "t").limit(sample_rows)  # ids may be repeated
+    joined = joined.withColumn("t", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             x = features(*text_bytes(col(b, "text")))
             yield pa.RecordBatch.from_arrays([col(b, "id"), col(b, "y"), col(b, "t"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "t", "x"])
 
-    got = joined.mapInArrow(run, joined.select("id", "y", "t").schema.add("x", ArrayType(DoubleType()))).toPandas().sort_values(["id", "y", "t"], kind="stable")
+    rows = joined.mapInArrow(run, joined.select("id", "y", "t").schema.add("x", ArrayType(DoubleType()))).dropDuplicates(["id", "y", "t"])
+    got = rows.orderBy(F.xxhash64("id"), "id", "y", "t").limit(sample_rows).toPandas().sort_values(["id", "y", "t"], kind="stable")
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), FEATURES)
     return bradley_terry(x, got["y"].to_numpy(np.int64))
 
