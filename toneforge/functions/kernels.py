@@ -285,9 +285,16 @@ def observe(text: str, classify=None) -> dict:
     }
 
 
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
 def _observed_by_character(text: str, whole: str) -> dict:
     """observe without an inventory, of a text in which every character is a unit: from how often each stands there."""
-    n = {units(ch)[0]: k for ch, k in Counter(whole).items()}
+    seen = Counter(whole)
+    n = {units(ch)[0]: k for ch, k in seen.items()}
+    # word characters as re has them are faster than a class of all letters, and the same but for number letters
+    plain = all((ch.isalnum() and not ch.isdecimal()) == (units(ch)[0].state != "NA") for ch in seen)
+    words = _WORDS if plain else syllable_pattern()
 
     def count(good) -> int:
         return sum(k for u, k in n.items() if good(u))
@@ -301,7 +308,7 @@ def _observed_by_character(text: str, whole: str) -> dict:
         changed = sum(x != y for x, y in zip(whole, base, strict=False)) + abs(len(whole) - len(base))
     return {
         "canon_changed": whole != text, "base_equivalent": whole == base, "changed_characters": changed, "changed_units": count(lambda u: u.text != u.base), "units_with_observed_tone": count(lambda u: u.tone != "UNMARKED"),
-        "units_with_observed_letter": shaped, "total_units": len(whole), "syllables": sum(1 for _ in syllable_pattern().finditer(whole)), "tone_eligible_syllables": 0, "tone_observed_syllables": 0,
+        "units_with_observed_letter": shaped, "total_units": len(whole), "syllables": len(words.findall(whole)), "tone_eligible_syllables": 0, "tone_observed_syllables": 0,
         "letter_eligible_units": letters, "letter_observed_units": shaped, "eligibility_resolved": False,
     }
 

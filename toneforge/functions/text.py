@@ -203,6 +203,12 @@ def whitespace_chunks(text: Column) -> Column:
     return _udf("chunks", K.chunks, "array<struct<index:int,text:string,start:int,end:int>>")(text)
 
 
+def whitespace_chunk_counts(text: Column) -> Column:
+    """Struct of what whitespace_chunks comes to: chunks, their characters, and where the first one starts (null without one). Built-in functions alone."""
+    chunks = F.regexp_count(text, F.lit(f"[^{SPACES}]+")).cast("long")
+    return F.struct(chunks.alias("chunks"), F.length(F.regexp_replace(text, f"[{SPACES}]+", "")).cast("long").alias("characters"), F.when(chunks > 0, F.length(F.regexp_extract(text, f"^[{SPACES}]*", 0)).cast("long")).alias("first_start"))
+
+
 _WORD = r"[\p{L}\p{N}_]"
 NOISE = {
     "urls": r"(?i)https?://[^S]+|www\.[^S]+".replace("[^S]", f"[^{SPACES}]"),

@@ -360,9 +360,7 @@ def length_coverage(spark, sf_dir):
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[^" + _WS + "]+'))::BIGINT AS chunks, coalesce(list_sum([length(x) for x in regexp_extract_all(text, '[^" + _WS + "]+')]), 0)::BIGINT AS characters, length(regexp_extract(text, '^[" + _WS + "]*'))::BIGINT AS first_start FROM documents WHERE regexp_matches(text, '[^" + _WS + "]')")
 def whitespace_chunks(spark, sf_dir):
-    c = _docs(spark, sf_dir).select("doc_id", T.whitespace_chunks(F.col("text")).alias("c")).where(F.size("c") > 0)
-    characters = F.aggregate("c", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return c.select("doc_id", F.size("c").cast("long").alias("chunks"), characters.alias("characters"), F.col("c")[0]["start"].cast("long").alias("first_start"))
+    return _docs(spark, sf_dir).select("doc_id", T.whitespace_chunk_counts(F.col("text")).alias("c")).where("c.chunks > 0").select("doc_id", "c.*")
 
 
 # --- corruption -----------------------------------------------------------------------------------------------
