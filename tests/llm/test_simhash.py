@@ -134,3 +134,24 @@ def test_all_similar_sets_are_one_group(spark):
     kept = sorted(r.doc_id for r in simhash.deduplicated(docs).collect())
     assert kept == brute_kept(texts)
     assert simhash.deduplicated(docs.limit(0)).count() == 0
+
+
+def _plans(monkeypatch, *modules):
+    """The plans of all tables that the modules spool."""
+    plans = []
+    for m in modules:
+
+        def kept(df, *args, own=m.spool):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return own(df, *args)
+
+        monkeypatch.setattr(m, "spool", kept)
+    return plans
+
+
+def test_links_and_components_send_no_table_to_the_driver(spark, monkeypatch):
+    plans = _plans(monkeypatch, simhash, graph)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(near_texts(60, 4))], "doc_id long, text string")
+    out = simhash.near_duplicates(docs)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "BroadcastExchange" in p]

@@ -14,7 +14,8 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     A round points every node to its least neighbour, if smaller, follows the pointers to their ends by doubling,
     and replaces each edge's ends by these; what is left are the edges between different ends, fewer than half as
     many nodes. So every edge is joined twice, and the rest of the work is on shrinking graphs. What a round
-    yields is written to the shared folder, which cuts lineage.
+    yields is written to the shared folder, which cuts lineage. No side of a join has a bound, and files of equal
+    labels are far smaller than their rows: hints keep all of them from the driver, at any size.
     """
     left = spool(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), f"{tag}-edges")
     found: DataFrame | None = None
@@ -24,9 +25,9 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         if found is None:
             found = ends.select("node", F.col("to").alias("label"))
         else:
-            found = spool(found.join(ends, F.col("label") == ends["node"], "left").select(found["node"], F.coalesce("to", "label").alias("label")), f"{tag}-{k}-found")
-        one = left.join(ends.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
-        both = one.join(ends.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+            found = spool(found.join(ends.hint("merge"), F.col("label") == ends["node"], "left").select(found["node"], F.coalesce("to", "label").alias("label")), f"{tag}-{k}-found")
+        one = left.join(ends.select(F.col("node").alias("a"), F.col("to").alias("x")).hint("merge"), "a")
+        both = one.join(ends.select(F.col("node").alias("b"), F.col("to").alias("y")).hint("merge"), "b")
         left = spool(both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{tag}-{k}-edges")
         if left.isEmpty():
             return found
@@ -37,7 +38,7 @@ def _followed(to: DataFrame, tag: str) -> DataFrame:
     """to: (node, to) with to <= node, every to a node too. Each node's last pointer."""
     for k in range(200):
         step = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        after = spool(to.join(step, "to").select("node", "to", "next"), f"{tag}-jump{k}")
+        after = spool(to.join(step.hint("merge"), "to").select("node", "to", "next"), f"{tag}-jump{k}")
         to = after.select("node", F.col("next").alias("to"))
         if after.where("to <> next").isEmpty():
             return to

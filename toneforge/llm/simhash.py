@@ -212,7 +212,7 @@ def links(fps: DataFrame, name: str = "fp") -> DataFrame:
     by = F.lit(False)
     for family, good in passes.items():
         by = by | ((F.shiftright("key", 48) == family) & good)
-    met = stored.join(looked, (F.col("key") == F.col("probe")) & (F.col("src") < F.col("dst")) & (F.bit_count(x) <= MAX_BITS) & by)
+    met = stored.join(looked.hint("merge"), (F.col("key") == F.col("probe")) & (F.col("src") < F.col("dst")) & (F.bit_count(x) <= MAX_BITS) & by)
     return met.select("src", "dst").distinct()
 
 
@@ -229,10 +229,10 @@ def linked(prints: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) from a spooled table (doc_id, fp)."""
     distinct = spool(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     group = components(links(distinct), "simhash-cc")
-    labelled = distinct.join(group, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    labelled = distinct.join(group.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     small = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = spool(labelled.join(small, "label").select(F.col("fp").alias("print"), "component_id"), "simhash-classes")
-    return prints.join(classes, F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")
+    classes = spool(labelled.join(small.hint("merge"), "label").select(F.col("fp").alias("print"), "component_id"), "simhash-classes")
+    return prints.join(classes.hint("merge"), F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")
 
 
 # --- one document of each group -------------------------------------------------------------------------------
@@ -392,7 +392,7 @@ def _lists(texts: DataFrame, keys: DataFrame, width: int, similarity: float) ->
 
 
 def _labelled(lists: DataFrame, group: DataFrame) -> DataFrame:
-    return lists.join(group, F.col("sid") == F.col("node"), "left").select("h", "sid", "n", "pos", F.coalesce("label", "sid").alias("label"))
+    return lists.join(group.hint("merge"), F.col("sid") == F.col("node"), "left").select("h", "sid", "n", "pos", F.coalesce("label", "sid").alias("label"))
 
 
 #: Bits of a set's signature.
@@ -447,12 +447,11 @@ def _similar(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, sids: Da
     a, b = ends(signatures)
     n = [sids.select(F.col("sid").alias(end), F.col("n").alias(size)) for end, size in (("src", "n"), ("dst", "m"))]
     differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, p: t + p)
-    close = pairs.join(a, "src").join(b, "dst").join(n[0], "src").join(n[1], "dst")
+    close = pairs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").join(n[0].hint("merge"), "src").join(n[1].hint("merge"), "dst")
     near = spool(close.where((F.col("n") + F.col("m") - differ) / 2 + 1e-9 >= similarity / (1 + similarity) * (F.col("n") + F.col("m"))).select("src", "dst").distinct(), f"{tag}-near")
     ids = near.select(F.explode(F.array("src", "dst")).alias("own")).distinct()
-    sets = _of_sets(texts, spool(sids.join(ids, F.col("sid") == F.col("own")).select("sid", "key"), f"{tag}-ids"), width, packed, "binary", f"{tag}-sets")
+    sets = _of_sets(texts, spool(sids.join(ids.hint("merge"), F.col("sid") == F.col("own")).select("sid", "key"), f"{tag}-ids"), width, packed, "binary", f"{tag}-sets")
     a, b = ends(sets)
-    # neither side has a bound: no broadcast at any size
     met = near.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").select("src", "dst", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,30 +487,30 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
 
     # sets of linked fingerprints hang on the least of them
     group = components(links(spool(nodes.select("fp").distinct(), "dedup-distinct")), "dedup-cc")
-    of = spool(nodes.join(group, F.col("fp") == F.col("node"), "left").select("sid", F.coalesce("label", "fp").alias("group")), "dedup-groups")
+    of = spool(nodes.join(group.hint("merge"), F.col("fp") == F.col("node"), "left").select("sid", F.coalesce("label", "fp").alias("group")), "dedup-groups")
     hub = of.groupBy("group").agg(F.min("sid").alias("src"))
-    edges = spool(of.join(hub, "group").select("src", F.col("sid").alias("dst")).where("src <> dst"), "dedup-hubs")
+    edges = spool(of.join(hub.hint("merge"), "group").select("src", F.col("sid").alias("dst")).where("src <> dst"), "dedup-hubs")
 
     texts = docs.select(key.alias("key"), "text")
     lists = _labelled(_lists(texts, sids.select("best.key"), width, similarity), components(edges, "dedup-cc1"))
     mixed = lists.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("h").alias("at"))
-    opened = spool(lists.join(mixed, F.col("h") == F.col("at"), "left_semi"), "dedup-open")
+    opened = spool(lists.join(mixed.hint("merge"), F.col("h") == F.col("at"), "left_semi"), "dedup-open")
 
     def fit(n: str, pos: str, m: str, place: str) -> Column:
         """At the first shingle in common, what is left of both sets must do; this bounds the sizes too."""
         return F.least(F.col(n) - F.col(pos), F.col(m) - F.col(place)) + 1e-9 >= similarity / (1 + similarity) * (F.col(n) + F.col(m))
 
     ends = opened.groupBy(F.col("h").alias("at")).agg(F.min(F.struct("pos", "sid", "n", "label")).alias("p"), F.min(F.struct("sid", "pos", "n", "label")).alias("q"))
-    ended = opened.join(ends, F.col("h") == F.col("at"))
+    ended = opened.join(ends.hint("merge"), F.col("h") == F.col("at"))
     met = [ended.where((F.col("label") != F.col(f"{e}.label")) & fit("n", "pos", f"{e}.n", f"{e}.pos")).select(*_ordered("sid", f"{e}.sid")) for e in "pq"]
-    wanted = spool(opened.groupBy(F.col("sid").alias("own")).agg(F.first("n").alias("n")).join(sids, F.col("own") == F.col("sid")).select("sid", "n", F.col("best.key").alias("key")), "dedup-wanted")
+    wanted = spool(opened.groupBy(F.col("sid").alias("own")).agg(F.first("n").alias("n")).join(sids.hint("merge"), F.col("own") == F.col("sid")).select("sid", "n", F.col("best.key").alias("key")), "dedup-wanted")
     signatures = _of_sets(texts, wanted, width, signature, "array<long>", "dedup-signatures")
     edges = edges.union(_similar(met[0].union(met[1]).distinct(), signatures, texts, wanted, width, similarity, "dedup-true"))
 
     left = spool(_labelled(opened.drop("label"), components(edges, "dedup-cc2")), "dedup-left")
     main = left.groupBy("h", "label").agg(F.count("*").alias("many")).groupBy(F.col("h").alias("at")).agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("at", "main")
-    minor = left.join(main, F.col("h") == F.col("at")).where("label <> main").select(F.col("h").alias("at"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("place"), F.col("label").alias("tag"))
-    rest = spool(left.join(minor, (F.col("h") == F.col("at")) & (F.col("label") != F.col("tag")) & fit("n", "pos", "m", "place")).select(*_ordered("sid", "other")).distinct(), "dedup-pairs")
+    minor = left.join(main.hint("merge"), F.col("h") == F.col("at")).where("label <> main").select(F.col("h").alias("at"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("place"), F.col("label").alias("tag"))
+    rest = spool(left.join(minor.hint("merge"), (F.col("h") == F.col("at")) & (F.col("label") != F.col("tag")) & fit("n", "pos", "m", "place")).select(*_ordered("sid", "other")).distinct(), "dedup-pairs")
     edges = edges.union(_similar(rest, signatures, texts, wanted, width, similarity, "dedup-true2"))
 
     heads = _heads(sids, components(edges, "dedup-cc3"), "sid", "dedup-heads")
@@ -520,7 +519,7 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
     # rows that are equal in id and text are told apart by nothing: one of them stays
     counted = prints.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
     of = chosen["chosen_id"].eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("chosen"))
-    odd = spool(counted.join(chosen, of, "left").where("chosen is null or n > 1").select("doc_id", "key", F.col("chosen").isNotNull().alias("stays")), "dedup-odd")
+    odd = spool(counted.join(chosen.hint("merge"), of, "left").where("chosen is null or n > 1").select("doc_id", "key", F.col("chosen").isNotNull().alias("stays")), "dedup-odd")
     names = docs.columns
     numbered = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.col("doc_id").alias("row_id"), key.alias("row_key"))
     # rows whose key is marked by none of these stay as they are, without a shuffle
@@ -535,6 +534,6 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
 
 def _heads(rows: DataFrame, group: DataFrame, node: str, tag: str) -> DataFrame:
     """Of rows (node, best, ...) those that are the best of their component; a row without a link is its own."""
-    labelled = rows.join(group, rows[node] == group["node"], "left").withColumn("label", F.coalesce("label", node)).drop("node")
+    labelled = rows.join(group.hint("merge"), rows[node] == group["node"], "left").withColumn("label", F.coalesce("label", node)).drop("node")
     least = labelled.groupBy("label").agg(F.min("best").alias("least"))
-    return spool(labelled.join(least, "label").where("best = least").drop("least", "label"), tag)
+    return spool(labelled.join(least.hint("merge"), "label").where("best = least").drop("least", "label"), tag)
