@@ -169,3 +169,14 @@ def test_streaming_is_stateless(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.sample_id: r.canonical for r in spark.table("normalized").collect()} == {i: K.canon(t) for i, t in SAMPLES}
+
+
+def test_a_text_of_several_labels_is_dealt_with_each(spark, tmp_path):
+    from toneforge.plans import catalogue
+
+    rows = [(k, f"text {k // 2}", "a" if k % 2 else "b", "s", 6) for k in range(40)] + [(99, "text 1", None, "s", 6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("stratified_split", "stratified_split_sha2"):
+        got = catalogue.queries()[name](spark, str(tmp_path)).collect()
+        assert sorted(r.doc_id for r in got) == list(range(40))
+        assert [sum(r.part == "train" and r.lang == lang for r in got) for lang in "ab"] == [16, 16]

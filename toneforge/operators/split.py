@@ -30,12 +30,11 @@ def allocation(total: int, fractions: dict[str, float]) -> dict[str, int]:
     return out
 
 
-def stratified(df: DataFrame, fractions: dict[str, float], seed: int, digest: Column, label: str = "label", native: bool = False) -> DataFrame:
-    """df with part: within each label whole groups of equal digest are dealt, in a keyed order of the digests, part by part; rows of one group stay together. A group of several labels raises."""
+def stratified(df: DataFrame, fractions: dict[str, float], seed: int, digest: Column, label: str = "label", native: bool = False, mixed_groups: bool = False) -> DataFrame:
+    """df with part: within each label whole groups of equal digest are dealt, in a keyed order of the digests, part by part; rows of one group stay together. A group of several labels raises, or with mixed_groups is one group in each of them, dealt with that label's. Rows without a label or digest fall away."""
     parts = ordered_parts(fractions)
     own = df.withColumn("group_digest", digest)
-    mixed = own.groupBy("group_digest").agg(F.count_distinct(label).alias("n")).where("n > 1")
-    if not mixed.isEmpty():
+    if not mixed_groups and not own.groupBy("group_digest").agg(F.count_distinct(label).alias("n")).where("n > 1").isEmpty():
         raise SplitViolation("groups with several labels")
     groups = own.groupBy(F.col(label).alias("l"), F.col("group_digest").alias("g")).agg(F.count("*").alias("size"))
     key = rank_key_sha2("", seed, F.col("g")) if native else rank_key("", seed, F.col("g"))
