@@ -14,7 +14,7 @@ its own weights and its own refinement of each kind of bit by what these tokens
 stands before alone. The bits after these are predicted from the counts of all seen words, and of those seen in the
 state, that begin with the same bits; they do not depend on the place, so each word has one cost a state. What a new
 word looks like is learned from words seen once. First weights and refinements are learned with a bit's own count taken
-off: those of words over all words, the others over whole documents, a SHARE of all blocks.
+off: those of words over all words, those of spelling over all words seen once, the others over all training documents.
 
 The state stands for language and style. The most frequent words are grouped by the documents that they share; the
 state is the group that a text's words so far speak for most.
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, coded, col, expand, small_batches, spool, strings_of, text_bytes, word_spans
 
-#: Text of a block; names that a bucket gets (about); one block of so many teaches the first weights.
-BLOCK, NAMES, SHARE = 16 << 20, 1 << 18, 32
+#: Text of a block; names that a bucket gets (about).
+BLOCK, NAMES = 16 << 20, 1 << 18
 #: Frequent words that tell states, states (0: none of them seen yet), first bits of a word, tokens between corrections.
 TOPS, STATES, BITS, CHUNK = 256, 8, 4, 32
 #: Rates of a document's own weights and of its own refinement.
@@ -786,7 +786,7 @@ def score(docs: DataFrame, held: Column, names: int = NAMES) -> DataFrame:
     small_batches(spark)
     rows = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"))
     staged = spool(rows.mapInArrow(_blocks, _BLOCK), "lm-blocks")
-    size = staged.agg(F.sum("n_words").alias("words"), F.sum("n_train").alias("n"), F.sum("trained").alias("docs"), F.min("block").alias("least")).first()
+    size = staged.agg(F.sum("n_words").alias("words"), F.sum("n_train").alias("n"), F.sum("trained").alias("docs")).first()
     trained = size["docs"] or 0
     body = staged.select(*_COLUMNS)
 
@@ -821,7 +821,6 @@ def score(docs: DataFrame, held: Column, names: int = NAMES) -> DataFrame:
 
     listed = answers.where("block >= 0").select(F.col("block").alias("b"), F.struct("bucket", "c", "cost").alias("a")).groupBy("b").agg(F.collect_list("a").alias("answers"))  # a block's words
     both = body.join(listed, F.col("block") == F.col("b"), "left").drop("b")
-    teaching = (F.pmod(F.xxhash64("block"), F.lit(SHARE)) == 0) | (F.col("block") == F.lit(size["least"]))
     even = np.tile(_MIDDLES, (KINDS, 1))
     start = spark.sparkContext.broadcast(FirstBits(tables, even_weights(_GATES, CONTEXTS + 1), even))  # tables of bounded size
 
@@ -837,7 +836,7 @@ def score(docs: DataFrame, held: Column, names: int = NAMES) -> DataFrame:
                     learner.see(*start.value.inputs(t, token, kind, bit), kind, bit)
                 yield learner.rows()
 
-    first = FirstBits(tables, *_averaged(both.where(teaching).mapInArrow(teach, "at int, v double"), _GATES, CONTEXTS + 1, KINDS))
+    first = FirstBits(tables, *_averaged(both.mapInArrow(teach, "at int, v double"), _GATES, CONTEXTS + 1, KINDS))
 
     once = answers.where(F.col("block") == _ONCE).select("c", "cost")
     spell_cut = np.cumsum([0, *(2 * s for s in _SPELL_SIZES)])
@@ -866,8 +865,6 @@ def score(docs: DataFrame, held: Column, names: int = NAMES) -> DataFrame:
         for b in batches:
             for words, of in singles(b):
                 learner, at = _Learner(SPELL_GATES, SPELL_TABLES + 1, SPELL_GATES), 0
-                some = np.flatnonzero(np.arange(len(words)) % SHARE == 0)  # in order of block and hash
-                words, of = [words[k] for k in some.tolist()], of[some]
                 for part in _some(words):
                     slots, bit, _ = spell_bits(part, of[at : at + len(part)])
                     at += len(part)
