@@ -1,7 +1,9 @@
+import glob
 import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from functools import reduce
@@ -660,6 +662,42 @@ def test_spelling_is_a_distribution():
     assert abs(head(b"th")[1] / head(b"th ")[0] - 1) < 1e-9
 
 
+def test_lm_learns_from_counts_without_the_bit_itself():
+    """The tables made beforehand say what a bit's own counts do when it is taken off."""
+    block, states, _ = small_model(5)
+    sizes = mixlm.table_sizes(3000)
+    tables = [np.zeros(2 * s, np.int64) for s in sizes]
+    mixlm.count_contexts(block, states, sizes, tables)
+    tables = [t.reshape(-1, 2) for t in tables]
+    lesson = mixlm.FirstBits.teaching(tables)
+    t = mixlm.Tokens(block, np.flatnonzero(~block.held), states)
+    token, kind, bit = t.bits(np.ones(len(t.code), bool))
+    x, gate = lesson.inputs(t, token, kind, bit)
+    want = kind.copy()
+    for k, slot in enumerate(t.slots(token, kind, sizes)):
+        n = tables[k][slot].astype(float)
+        n -= (np.arange(2) == bit[:, None]) & (kind != mixlm.SEEN)[:, None] & (n > 0)
+        assert np.abs(x[:, k] - np.log((n[:, 1] + 0.2) / (n[:, 0] + 0.2))).max() < 1e-2
+        if k in (2, 3):
+            want += mixlm.KINDS * (3 if k == 3 else 1) * np.searchsorted([1, 8], n.sum(axis=1), side="right")
+    assert (gate == want).all()
+
+
+def test_lm_leaves_no_shuffle_files(spark):
+    """Each of its jobs' files go when it ends, not at some collection of the driver's garbage."""
+    dirs = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*")}
+    before = files()
+    got = mixlm.score(spark.read.parquet(f"{SF}/documents.parquet"), F.col("doc_id") % 10 == 0)
+    for _ in range(100):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert got.count() == got.count() > 0  # the query's own jobs are not swept
+
+
 def test_states_and_repeats_do_not_look_ahead():
     block, states, first = small_model(3)
     docs = np.flatnonzero(block.counts > 20)[:10]

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, coded, col, expand, small_batches, spool, strings_of, text_bytes, word_spans
+from .common import LOWER, coded, col, expand, small_batches, spool, strings_of, swept, text_bytes, word_spans
 
 #: Text of a block; names that a bucket gets (about).
 BLOCK, NAMES = 16 << 20, 1 << 18
@@ -295,10 +295,13 @@ def learn_weights(x: np.ndarray, gate: np.ndarray, bit: np.ndarray, gates: int,
     """Gated weights by online descent, a chunk of bits at a time, from w on. x: (bits, inputs), the last one a bias."""
     if w is None:
         w = even_weights(gates, x.shape[1])
+    k = x.shape[1]
+    inputs = np.arange(k)
     for at in range(0, len(x), chunk):
-        part, g = x[at : at + chunk].astype(np.float64), gate[at : at + chunk]
-        lost = bit[at : at + chunk] - squash(np.einsum("bi,bi->b", w[g], part))
-        step = np.stack([np.bincount(g, lost * part[:, k], gates) for k in range(part.shape[1])], axis=1)
+        part, g = x[at : at + chunk], gate[at : at + chunk]
+        p = squash(np.einsum("bi,bi->b", w.astype(np.float32).take(g, axis=0), part))
+        lost = (bit[at : at + chunk] - p).astype(np.float32)
+        step = np.bincount((g[:, None] * k + inputs).ravel(), (part * lost[:, None]).ravel(), gates * k).reshape(gates, k)
         w = np.clip(w + 0.02 * step / np.sqrt(1 + np.bincount(g, minlength=gates))[:, None], -3, 3)
     return w
 
@@ -585,35 +588,57 @@ def count_contexts(own: Block, states: States, sizes: list[int], tables: list[np
 _GATES = KINDS * 9
 
 
+def _without(counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Counts (slots, 2) less one nought, and less one one; none is taken from none."""
+    for bit in (0, 1):
+        yield np.maximum(counts[:, 0] - (bit == 0), 0), np.maximum(counts[:, 1] - (bit == 1), 0)
+
+
 class FirstBits:
-    """The mixer of flags and first bits. counts: the contexts' tables (slots, 2)."""
+    """The mixer of flags and first bits. counts: the contexts' tables (slots, 2). packed: of each slot the prediction and how often it was met; without: the same less a bit of 0, and of 1, for learning only (see teaching)."""
 
     def __init__(self, counts: list[np.ndarray], weights: np.ndarray, refine: np.ndarray) -> None:
         self.sizes = [len(c) for c in counts]
-        self.counts, self.weights, self.refine = counts, weights.astype(np.float32), refine
-        self.packed = []
-        for c in counts:
-            value = np.rint(np.clip(predicted(c[:, 0].astype(np.float32), c[:, 1].astype(np.float32)) * 512, -8191, 8191)).astype(np.int64) + 8192
-            self.packed.append((value << 2 | np.searchsorted([1, 8], c.sum(axis=1), side="right")).astype(np.uint16))
+        self.weights, self.refine = weights.astype(np.float32), refine
+        self.packed = [self._pack(c[:, 0], c[:, 1]) for c in counts]
+        self.without: list[np.ndarray] = []
+
+    @staticmethod
+    def _pack(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+        n0, n1 = n0.astype(np.float32), n1.astype(np.float32)
+        value = np.rint(np.clip(predicted(n0, n1) * 512, -8191, 8191)).astype(np.int32) + 8192
+        met = n0 + n1
+        return (value << 2 | (met >= 1).astype(np.int32) + (met >= 8)).astype(np.uint16)
+
+    @classmethod
+    def teaching(cls, counts: list[np.ndarray]) -> FirstBits:
+        """One that weights are learned with."""
+        own = cls(counts, even_weights(_GATES, CONTEXTS + 1), np.tile(_MIDDLES, (KINDS, 1)))
+        own.without = [np.stack([cls._pack(*n) for n in _without(c)], axis=1).ravel() for c in counts]
+        return own
+
+    def taught(self, weights: np.ndarray, refine: np.ndarray) -> FirstBits:
+        """The same tables with what was learned."""
+        own = FirstBits([], weights, refine)
+        own.sizes, own.packed = self.sizes, self.packed
+        return own
 
     def inputs(self, t: Tokens, token: np.ndarray, kind: np.ndarray, less: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(inputs, gates) of bits. less: bits whose own count is taken off."""
         x = np.empty((len(token), CONTEXTS + 1), np.float32)
         x[:, -1] = 0.3
         gate = kind
+        told = np.flatnonzero(kind == SEEN) if less is not None else kind[:0]  # these bits are told by what is left of a word's count
         for k, slot in enumerate(t.slots(token, kind, self.sizes)):
             if less is None:
-                v = self.packed[k][slot]
-                x[:, k] = (v >> 2).astype(np.float32) / 512 - 16
-                sure = (v & 3).astype(np.int64) if k in (2, 3) else None
+                v = self.packed[k].take(slot)
             else:
-                off = kind != SEEN  # that bit is told by what is left of a word's count
-                n = self.counts[k][slot].astype(np.float32)
-                n0, n1 = np.maximum(n[:, 0] - (off & (less == 0)), 0), np.maximum(n[:, 1] - (off & (less == 1)), 0)
-                x[:, k] = predicted(n0, n1)
-                sure = np.searchsorted([1, 8], n0 + n1, side="right") if k in (2, 3) else None
-            if sure is not None:
-                gate = gate + KINDS * (3 if k == 3 else 1) * sure
+                v = self.without[k].take(2 * slot + less)
+                v[told] = self.packed[k].take(slot[told])
+            np.multiply(v >> 2, np.float32(1 / 512), out=x[:, k], dtype=np.float32)
+            x[:, k] -= 16
+            if k in (2, 3):
+                gate = gate + (v & 3).astype(np.int64) * (KINDS * (3 if k == 3 else 1))
         return x, gate
 
     def log(self, t: Tokens, known: np.ndarray) -> np.ndarray:
@@ -666,33 +691,45 @@ def spell_bits(words: list[bytes], states: np.ndarray) -> tuple[np.ndarray, np.n
     one = before[0]
     two, three = one << 8 | before[1], (one << 8 | before[1]) << 8 | before[2]
     four = three << 8 | before[3]
-    out = np.empty((SPELL_TABLES, len(data), 8), np.int64)
+    out = np.empty((SPELL_TABLES, len(data), 8), np.int32)
     out[0] = (place << 5 | state)[:, None] << 8 | node
     out[1] = one[:, None] << 8 | node
     for k, key in ((2, two), (3, two << 5 | state), (4, three), (5, three << 5 | state), (6, four << 8 | before[4])):
-        out[k] = (_mix((key[:, None] << 8 | node).astype(np.uint64) * np.uint64(2 * k + 1) + np.uint64(k)) >> np.uint64(46)).astype(np.int64)
+        out[k] = (_mix((key[:, None] << 8 | node).astype(np.uint64) * np.uint64(2 * k + 1) + np.uint64(k)) >> np.uint64(46)).astype(np.int32)
     return out.reshape(SPELL_TABLES, -1), (data[:, None] >> (7 - depth) & 1).ravel(), np.repeat(np.repeat(np.arange(len(words)), sizes), 8)
 
 
 class Speller:
-    """The mixer of the bits of unseen words. counts: the contexts' tables (slots, 2)."""
+    """The mixer of the bits of unseen words. counts: the contexts' tables (slots, 2). tables: of each slot the prediction and how often it was met; without: the same less a bit of 0, and of 1."""
 
     def __init__(self, counts: list[np.ndarray], weights: np.ndarray, refine: np.ndarray) -> None:
-        self.counts, self.weights, self.refine = counts, weights, refine
+        self.weights, self.refine = weights, refine
+        counts = [c.astype(np.float32) for c in counts]
+        self.tables = [self._told(c[:, 0], c[:, 1]) for c in counts]
+        self.without = [tuple(np.stack(v, axis=1).ravel() for v in zip(*(self._told(*n) for n in _without(c)), strict=True)) for c in counts]
+
+    def taught(self, weights: np.ndarray, refine: np.ndarray) -> Speller:
+        """The same tables with what was learned."""
+        own = Speller([], weights, refine)
+        own.tables = self.tables
+        return own
+
+    @staticmethod
+    def _told(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return predicted(n0, n1), (n0 + n1 >= 2).astype(np.int8) + (n0 + n1 >= 16)
 
     def inputs(self, slots: np.ndarray, less: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(inputs, gates). less: bits whose own count is taken off."""
-        x = np.ones((slots.shape[1], SPELL_TABLES + 1), np.float32)
+        x = np.empty((slots.shape[1], SPELL_TABLES + 1), np.float32)
         x[:, -1] = 0.3
         sure = 0
         for k in range(SPELL_TABLES):
-            n = self.counts[k][slots[k]].astype(np.float32)
-            if less is not None:
-                n = np.maximum(n - np.stack([less == 0, less == 1], axis=-1), 0)
-            x[:, k] = predicted(n[:, 0], n[:, 1])
+            at = slots[k] if less is None else 2 * slots[k] + less
+            value, met = (self.tables if less is None else self.without)[k]
+            x[:, k] = value.take(at)
             if k >= 5:
-                sure = sure * 3 + np.searchsorted([2, 16], n[:, 0] + n[:, 1], side="right")
-        return x, sure
+                sure = sure * 3 + met.take(at)
+        return x, sure.astype(np.int64)
 
     def log2(self, words: list[bytes], states: np.ndarray) -> np.ndarray:
         out = np.zeros(len(words))
@@ -732,9 +769,13 @@ class _Learner:
     def see(self, x: np.ndarray, gate: np.ndarray, context: np.ndarray, bit: np.ndarray) -> None:
         self.w = learn_weights(x, gate, bit, len(self.n), w=self.w)
         self.n += np.bincount(gate, minlength=len(self.n))
-        key = context * 33 + _bucket(np.einsum("bi,bi->b", self.w[gate], x))
-        self.ones += np.bincount(key, bit, len(self.ones))
-        self.all += np.bincount(key, minlength=len(self.all))
+        w = self.w.astype(np.float32)
+        for at in range(0, len(x), 1 << 14):  # in parts that a cache holds
+            part = slice(at, at + (1 << 14))
+            key = context[part] * 33 + _bucket(np.einsum("bi,bi->b", w.take(gate[part], axis=0), x[part]))
+            n = np.bincount(2 * key + bit[part], minlength=2 * len(self.all)).reshape(-1, 2)
+            self.ones += n[:, 1]
+            self.all += n.sum(axis=1)
 
     def rows(self) -> pa.RecordBatch:
         v = np.concatenate([self.n, (self.w * self.n[:, None]).ravel(), self.ones, self.all])
@@ -782,6 +823,11 @@ _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 
 def score(docs: DataFrame, held: Column, names: int = NAMES) -> DataFrame:
     """docs: (doc_id, text); held: which rows are not learned from. For each row doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-0.1 unigrams), score (log10 of the model's probability) and bits_per_byte. names: the words that a bucket gets, about. A null text counts as empty: its one token is the end. Ids must be whole numbers; null ids and repeated rows are rows like others; a long text is a block of its own; without training rows the model is its priors; an empty table gives an empty one; other columns, also of clashing names, are not read."""
+    with swept(docs.sparkSession):
+        return _scores(docs, held, names)
+
+
+def _scores(docs: DataFrame, held: Column, names: int) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"))
@@ -821,8 +867,8 @@ def score(docs: DataFrame, held: Column, names: int = NAMES) -> DataFrame:
 
     listed = answers.where("block >= 0").select(F.col("block").alias("b"), F.struct("bucket", "c", "cost").alias("a")).groupBy("b").agg(F.collect_list("a").alias("answers"))  # a block's words
     both = body.join(listed, F.col("block") == F.col("b"), "left").drop("b")
-    even = np.tile(_MIDDLES, (KINDS, 1))
-    start = spark.sparkContext.broadcast(FirstBits(tables, even_weights(_GATES, CONTEXTS + 1), even))  # tables of bounded size
+    lesson = FirstBits.teaching(tables)
+    start = spark.sparkContext.broadcast(lesson)  # tables of bounded size; each is in a file of every executor, until it is destroyed
 
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -836,7 +882,10 @@ def score(docs: DataFrame, held: Column, names: int = NAMES) -> DataFrame:
                     learner.see(*start.value.inputs(t, token, kind, bit), kind, bit)
                 yield learner.rows()
 
-    first = FirstBits(tables, *_averaged(both.mapInArrow(teach, "at int, v double"), _GATES, CONTEXTS + 1, KINDS))
+    first = lesson.taught(*_averaged(both.mapInArrow(teach, "at int, v double"), _GATES, CONTEXTS + 1, KINDS))
+
+    start.destroy()
+    del lesson, start, tables, flat
 
     once = answers.where(F.col("block") == _ONCE).select("c", "cost")
     spell_cut = np.cumsum([0, *(2 * s for s in _SPELL_SIZES)])
@@ -859,7 +908,8 @@ def score(docs: DataFrame, held: Column, names: int = NAMES) -> DataFrame:
 
     flat = _summed(once.mapInArrow(spell, _CELLS), int(spell_cut[-1]))
     spelled = [flat[x:y].reshape(-1, 2).astype(np.float32) for x, y in pairwise(spell_cut.tolist())]
-    plain = spark.sparkContext.broadcast(Speller(spelled, even_weights(SPELL_GATES, SPELL_TABLES + 1), np.tile(_MIDDLES, (SPELL_GATES, 1))))
+    primer = Speller(spelled, even_weights(SPELL_GATES, SPELL_TABLES + 1), np.tile(_MIDDLES, (SPELL_GATES, 1)))
+    plain = spark.sparkContext.broadcast(primer)
 
     def teach_spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -872,8 +922,8 @@ def score(docs: DataFrame, held: Column, names: int = NAMES) -> DataFrame:
                     learner.see(x, gate, gate, bit)
                 yield learner.rows()
 
-    speller = Speller(spelled, *_averaged(once.mapInArrow(teach_spelling, "at int, v double"), SPELL_GATES, SPELL_TABLES + 1, SPELL_GATES))
-    first.counts = []
+    speller = primer.taught(*_averaged(once.mapInArrow(teach_spelling, "at int, v double"), SPELL_GATES, SPELL_TABLES + 1, SPELL_GATES))
+    plain.destroy()
     model = spark.sparkContext.broadcast((first, speller))  # tables of bounded size
     base = n_total + 0.1 * (v_total + 1)
 
