@@ -698,6 +698,14 @@ def test_lm_leaves_no_shuffle_files(spark):
     assert got.count() == got.count() > 0  # the query's own jobs are not swept
 
 
+def test_lm_blocks_come_one_by_one(spark):
+    """A batch of blocks is bounded by bytes, so what JVM and Python hold does not follow the blocks of a task."""
+    mixlm.score(frame(spark, ["a b"]), F.lit(False))
+    rows = spark.range(0, 6, 1, 1).select(F.repeat(F.lit("x"), 10_000_000).cast("binary").alias("words"))
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+    assert [r.n for r in sizes] == [1] * 6
+
+
 def test_states_and_repeats_do_not_look_ahead():
     block, states, first = small_model(3)
     docs = np.flatnonzero(block.counts > 20)[:10]

@@ -55,10 +55,12 @@ def swept(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if old is None else spark.conf.set(name, old)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches, for tables with long texts. The setting is of the session; all operators set the same one."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: str | None = None) -> None:
+    """Bounds the Arrow batches, for tables with long texts. The setting is of the session; all operators set the same one. size: bytes after which a batch ends too, for tables whose rows are blocks: the JVM and Python hold a batch each."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,12 +128,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def through(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[data] for bytes and a table of bytes or booleans, without the indices of 64 bits that numpy makes for it."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words in the bytes, and for each row the number of words before it (rows + 1 entries)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    solid = ~SPACE[data]
+    solid = ~through(data, SPACE)
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = solid[:-1]

@@ -37,10 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, coded, col, expand, small_batches, spool, strings_of, swept, text_bytes, word_spans
+from .common import LOWER, coded, col, expand, small_batches, spool, strings_of, swept, text_bytes, through, word_spans
 
 #: Text of a block; names that a bucket gets (about).
 BLOCK, NAMES = 16 << 20, 1 << 18
+#: An Arrow batch of blocks ends after so many bytes. Tokens of documents that are learned from at once.
+BATCH, LEARNED = "8m", 50_000
 #: Frequent words that tell states, states (0: none of them seen yet), first bits of a word, tokens between corrections.
 TOPS, STATES, BITS, CHUNK = 256, 8, 4, 32
 #: Rates of a document's own weights and of its own refinement.
@@ -68,7 +70,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def put() -> pa.RecordBatch:
-        data = LOWER[np.concatenate([p[0] for p in parts])]
+        data = through(np.concatenate([p[0] for p in parts]), LOWER)
         base = np.cumsum([0, *(len(p[0]) for p in parts[:-1])])
         off = np.concatenate([*(p[1][:-1] + b for p, b in zip(parts, base, strict=True)), [len(data)]])
         out = np.concatenate([p[3] for p in parts])
@@ -578,7 +580,7 @@ class Tokens:
 
 def count_contexts(own: Block, states: States, sizes: list[int], tables: list[np.ndarray]) -> None:
     """Adds the bits of a block's training documents to the tables, flat (slot, bit)."""
-    for docs in own.groups(np.flatnonzero(~own.held)):
+    for docs in own.groups(np.flatnonzero(~own.held), LEARNED):
         t = Tokens(own, docs, states)
         token, kind, bit = t.bits(None)
         for table, slot in zip(tables, t.slots(token, kind, sizes), strict=True):
@@ -829,7 +831,7 @@ def score(docs: DataFrame, held: Column, names: int = NAMES) -> DataFrame:
 
 def _scores(docs: DataFrame, held: Column, names: int) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, size=BATCH)
     rows = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"))
     staged = spool(rows.mapInArrow(_blocks, _BLOCK), "lm-blocks")
     size = staged.agg(F.sum("n_words").alias("words"), F.sum("n_train").alias("n"), F.sum("trained").alias("docs")).first()
@@ -876,7 +878,7 @@ def _scores(docs: DataFrame, held: Column, names: int) -> DataFrame:
                 own = Block(r)
                 got, learner = _Words(own, r, above, bits), _Learner(_GATES, CONTEXTS + 1, KINDS)
                 again = np.append(got.count > 1, False)  # words seen once stand for new ones
-                for part in own.groups(np.flatnonzero(~own.held)):
+                for part in own.groups(np.flatnonzero(~own.held), LEARNED):
                     t = Tokens(own, part, states)
                     token, kind, bit = t.bits(again[t.code])
                     learner.see(*start.value.inputs(t, token, kind, bit), kind, bit)
