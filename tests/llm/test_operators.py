@@ -884,3 +884,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert P.run(spark, empty).count() == 0
     for name, stage in P.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
+
+
+def test_lm_inputs_lie_side_by_side():
+    """Steps over inputs run along the bits, not over a few numbers a bit at a time; a bit's sum does not depend on the block that it is in."""
+    rng = np.random.default_rng(5)
+    block, states, mixer = small_model(5)
+    t = mixlm.Tokens(block, np.arange(len(block.held)), states)
+    token, kind, _ = t.bits(rng.random(len(t.code)) < 0.8)
+    x, gate = mixer.inputs(t, token, kind)
+    assert all(x[:, k].flags.c_contiguous for k in range(x.shape[1]))
+    own = mixlm.Speller([rng.integers(0, 9, (s, 2)) for s in mixlm._SPELL_SIZES], rng.normal(0.2, 0.1, (9, 8)), rng.normal(0, 1, (9, 33)))
+    slots, bit, _ = mixlm.spell_bits([bytes(rng.integers(97, 123, 9).tolist()) for _ in range(300)], rng.integers(0, 8, 300))
+    assert len(bit) == 24000 > mixlm._SOME
+    y, spell_gate = own.inputs(slots, bit)
+    assert all(y[:, k].flags.c_contiguous for k in range(y.shape[1]))
+    for inputs, of, w in ((x, gate, mixer.weights), (y, spell_gate, own.weights)):
+        assert np.allclose(mixlm.weighed(inputs, of, w), (inputs * w[of]).sum(axis=1), atol=1e-4)
+    for k in range(mixlm.SPELL_TABLES):  # a bit's slot does not depend on the words beside it
+        lone = mixlm.spell_bits([b"end"], np.array([3]))[0][k]
+        assert (mixlm.spell_bits([b"x" * 3000, b"end"], np.array([1, 3]))[0][k][-len(lone) :] == lone).all()

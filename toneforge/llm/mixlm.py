@@ -54,9 +54,12 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xB
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _C
-    x = (x ^ (x >> np.uint64(27))) * _B
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _C
+    x ^= x >> np.uint64(27)
+    x *= _B
+    x ^= x >> np.uint64(31)
+    return x
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------
@@ -293,17 +296,40 @@ def predicted(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.log((n1 + np.float32(0.2)) / (n0 + np.float32(0.2)))
 
 
+#: Bits whose inputs are made and weighed at once: what a cache holds.
+_SOME = 1 << 13
+
+
+def _inputs(bits: int, inputs: int) -> np.ndarray:
+    """Room for (bits, inputs), each input's numbers side by side: steps run along the bits."""
+    return np.empty((inputs, bits), np.float32).T
+
+
+def weighed(x: np.ndarray, gate: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The inputs' sums by the weights of each bit's gate, in the weights' precision."""
+    out, columns = np.empty(len(x), w.dtype), np.ascontiguousarray(w.T)
+    for at in range(0, len(x), _SOME):
+        part = slice(at, at + _SOME)
+        np.einsum("ib,ib->b", _picked(columns, gate[part]), x[part].T, out=out[part])
+    return out
+
+
+def _picked(columns: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """columns[:, of], by the faster way for indices that are known to be good."""
+    out = np.empty((len(columns), len(of)), columns.dtype)
+    return columns.take(of, axis=1, out=out, mode="clip")
+
+
 def learn_weights(x: np.ndarray, gate: np.ndarray, bit: np.ndarray, gates: int, chunk: int = 2048, w: np.ndarray | None = None) -> np.ndarray:
     """Gated weights by online descent, a chunk of bits at a time, from w on. x: (bits, inputs), the last one a bias."""
     if w is None:
         w = even_weights(gates, x.shape[1])
     k = x.shape[1]
-    inputs = np.arange(k)
+    first = gates * np.arange(k)[:, None]
     for at in range(0, len(x), chunk):
         part, g = x[at : at + chunk], gate[at : at + chunk]
-        p = squash(np.einsum("bi,bi->b", w.astype(np.float32).take(g, axis=0), part))
-        lost = (bit[at : at + chunk] - p).astype(np.float32)
-        step = np.bincount((g[:, None] * k + inputs).ravel(), (part * lost[:, None]).ravel(), gates * k).reshape(gates, k)
+        lost = bit[at : at + chunk].astype(np.float32) - squash(weighed(part, g, w.astype(np.float32)))
+        step = np.bincount((first + g).ravel(), (part.T * lost).ravel(), gates * k).reshape(k, gates).T
         w = np.clip(w + 0.02 * step / np.sqrt(1 + np.bincount(g, minlength=gates))[:, None], -3, 3)
     return w
 
@@ -349,7 +375,7 @@ def refinement(ones: np.ndarray, all_: np.ndarray) -> np.ndarray:
 
 def refined(z: np.ndarray, table: np.ndarray, context: np.ndarray) -> np.ndarray:
     """Half the mixed prediction, half its refinement, stretched. context: 33 times the row of table."""
-    return (z + table.reshape(-1)[context + _bucket(z)]) / 2
+    return (z + table.reshape(-1).take(context + _bucket(z))) / 2
 
 
 # --- words by their hashes ------------------------------------------------------------------------------------
@@ -366,6 +392,7 @@ def hash_costs(h: np.ndarray, counts: np.ndarray, start: int) -> np.ndarray:
         return cost
     c = counts.astype(np.float64)
     every = c.sum(axis=1)
+    before = np.concatenate([np.zeros((1, c.shape[1])), np.cumsum(c, axis=0)])  # whole numbers: differences are exact
     w, curve = even_weights(len(SURE) + 1, 3), np.tile(20 * np.eye(3), (len(SURE) + 1, 1, 1))
     nodes = []
     live = np.arange(len(h))
@@ -380,10 +407,11 @@ def hash_costs(h: np.ndarray, counts: np.ndarray, start: int) -> np.ndarray:
         size = size[size > 1]
         run = np.cumsum(size) - size
         bit = (h[live] >> np.uint64(63 - depth) & np.uint64(1)).astype(np.int64)
-        ones, all_ = np.add.reduceat(c[live] * bit[:, None], run), np.add.reduceat(c[live], run)
-        split = np.repeat((np.add.reduceat(bit, run) > 0) & (np.add.reduceat(bit, run) < size), size)
+        high = np.add.reduceat(bit, run)
+        split = np.repeat((high > 0) & (high < size), size)
         if split.any():
-            nodes.append((live[split], bit[split], np.repeat(np.arange(len(run)), size)[split], ones, all_))
+            last = before[live[run] + size]  # words of a node stand side by side, those of bit 1 after the others
+            nodes.append((live[split], bit[split], np.repeat(np.arange(len(run)), size)[split], last - before[live[run] + size - high], last - before[live[run]]))
 
     def inputs(one: np.ndarray, zero: np.ndarray, one_s: np.ndarray, zero_s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = np.ones((*one_s.shape, 3))
@@ -401,7 +429,7 @@ def hash_costs(h: np.ndarray, counts: np.ndarray, start: int) -> np.ndarray:
         one, every_ = ones.sum(axis=1)[:, None], all_.sum(axis=1)[:, None]
         x, gate = inputs(np.broadcast_to(one, ones.shape), np.broadcast_to(every_ - one, ones.shape), ones, all_ - ones)
         p = np.clip(squash((w[gate] * x).sum(axis=-1)), 1e-6, 1 - 1e-6)  # (nodes, states)
-        cost[words] -= np.log2(np.where(bit[:, None] == 1, p[node], 1 - p[node]))
+        cost[words] -= np.log2(np.concatenate([1 - p, p])).take(bit * len(p) + node, axis=0)
     return cost
 
 
@@ -489,7 +517,7 @@ END, SAME, SEEN, KINDS = 0, 1, 2, 3 + BITS
 _LINE = np.array([0, 1, 2, 3, 3, 3, 3])
 #: For each leading half byte of a hash its bits, and their places in a line of 16: a half byte is a tree of 15 nodes.
 _BIT = np.array([[0, 0, 0, *(k >> d & 1 for d in (3, 2, 1, 0))] for k in range(1 << BITS)], np.int8)
-_SUB = np.array([[1, 2, 3, *(1 << d | k >> (BITS - d) for d in range(BITS))] for k in range(1 << BITS)], np.int16)
+_SUB = np.array([[1, 2, 3, *(1 << d | k >> (BITS - d) for d in range(BITS))] for k in range(1 << BITS)], np.int64)
 CONTEXTS = 5
 _PLAIN = (2 * 16, 32 * 16)  # tables of the first two contexts, not hashed
 
@@ -506,6 +534,7 @@ class Tokens:
     def __init__(self, own: Block, docs: np.ndarray, states: States) -> None:
         m, sizes = len(own.hashes), own.counts[docs]
         words = expand(own.codes, own.first[docs], sizes) if len(own.codes) else own.codes
+        self.lines: tuple[np.ndarray, list[np.ndarray]] | None = None
         self.sizes = sizes + 1
         self.first = np.cumsum(self.sizes) - self.sizes
         n = int(self.sizes.sum())
@@ -552,30 +581,40 @@ class Tokens:
         there[:, END] = True
         there[:, SAME] = self.there
         spelt = ~self.end & ~self.hit
-        there[:, SEEN] = spelt & (known is not None)
-        there[:, 3:] = (spelt if known is None else spelt & known)[:, None]
-        bit = _BIT[self.half]
+        there[:, SEEN] = asked = spelt & (known is not None)
+        there[:, 3:] = (own := spelt if known is None else spelt & known)[:, None]
+        many = 1 + self.there.astype(np.int64) + asked + BITS * own.astype(np.int64)
+        bit = _BIT.take(self.half, axis=0)
         bit[:, END], bit[:, SAME] = self.end, self.hit
         if known is not None:
             bit[:, SEEN] = known
         if order is not None:
-            there, bit = there[order], bit[order]
+            there, bit, many = there.take(order, axis=0), bit.take(order, axis=0), many.take(order)
         flat = np.flatnonzero(there)
-        row = np.repeat(np.arange(len(there)), there.sum(axis=1))
-        return row if order is None else order[row], flat - row * KINDS, bit.reshape(-1)[flat]
+        row = np.repeat(np.arange(len(there)), many)
+        return row if order is None else order.take(row), flat - row * KINDS, bit.reshape(-1).take(flat)
+
+    def _lines(self, sizes: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Where the tokens' lines begin in the contexts' tables: of the second context for each of _LINE, of the hashed ones for flags and for words."""
+        if self.lines is None:
+            place, run = np.minimum(np.frexp(self.pos + 1.0)[1] - 1, 7), np.minimum(self.run, 7)
+            hashed = []
+            for key, size in zip((self.one, self.pair, _mix((self.letter << 3 | self.state).astype(np.uint64) * _A)), sizes[2:], strict=True):
+                mask = np.uint64(size - 16)
+                hashed.append(np.concatenate([key & mask, key >> np.uint64(20) & mask]).astype(np.int64))
+            self.lines = 16 * np.concatenate([place, 8 + run, 16 + self.state, 24 + self.state]), hashed
+        return self.lines
 
     def slots(self, token: np.ndarray, kind: np.ndarray, sizes: list[int]) -> Iterator[np.ndarray]:
         """For each context the slots of the bits in its table."""
-        n = len(self.code)
-        where = _LINE[kind] * n + token
-        sub = _SUB.reshape(-1)[(self.half * KINDS)[token] + kind]
-        yield np.where(kind >= 3, 16, 0) + sub
-        place, run = np.minimum(np.frexp(self.pos + 1.0)[1] - 1, 7), np.minimum(self.run, 7)
-        yield (16 * np.concatenate([place, 8 + run, 16 + self.state, 24 + self.state]))[where] + sub
-        for key, size in zip((self.one, self.pair, _mix((self.letter << 3 | self.state).astype(np.uint64) * _A)), sizes[2:], strict=True):
-            mask = np.uint64(size - 16)
-            flag, own = (key & mask).astype(np.int64), (key >> np.uint64(20) & mask).astype(np.int64)
-            yield np.concatenate([flag, flag, flag, own])[where] + sub
+        n, (plain, hashed) = len(self.code), self._lines(sizes)
+        sub = _SUB.reshape(-1).take(self.half.take(token) * KINDS + kind)
+        word = kind >= 3
+        yield word * 16 + sub
+        yield plain.take(_LINE.take(kind) * n + token) + sub
+        where = word * n + token
+        for line in hashed:
+            yield line.take(where) + sub
 
 
 def count_contexts(own: Block, states: States, sizes: list[int], tables: list[np.ndarray]) -> None:
@@ -627,21 +666,22 @@ class FirstBits:
 
     def inputs(self, t: Tokens, token: np.ndarray, kind: np.ndarray, less: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(inputs, gates) of bits. less: bits whose own count is taken off."""
-        x = np.empty((len(token), CONTEXTS + 1), np.float32)
+        x, gates = _inputs(len(token), CONTEXTS + 1), kind.copy()
         x[:, -1] = 0.3
-        gate = kind
-        told = np.flatnonzero(kind == SEEN) if less is not None else kind[:0]  # these bits are told by what is left of a word's count
-        for k, slot in enumerate(t.slots(token, kind, self.sizes)):
-            if less is None:
-                v = self.packed[k].take(slot)
-            else:
-                v = self.without[k].take(2 * slot + less)
-                v[told] = self.packed[k].take(slot[told])
-            np.multiply(v >> 2, np.float32(1 / 512), out=x[:, k], dtype=np.float32)
-            x[:, k] -= 16
-            if k in (2, 3):
-                gate = gate + (v & 3).astype(np.int64) * (KINDS * (3 if k == 3 else 1))
-        return x, gate
+        for at in range(0, len(token), _SOME):
+            part = slice(at, at + _SOME)
+            told = np.flatnonzero(kind[part] == SEEN) if less is not None else kind[:0]  # these bits are told by what is left of a word's count
+            for k, slot in enumerate(t.slots(token[part], kind[part], self.sizes)):
+                if less is None:
+                    v = self.packed[k].take(slot)
+                else:
+                    v = self.without[k].take(2 * slot + less[part])
+                    v[told] = self.packed[k].take(slot[told])
+                np.multiply(v >> 2, np.float32(1 / 512), out=x[part, k], dtype=np.float32)
+                x[part, k] -= 16
+                if k in (2, 3):
+                    gates[part] += (v & 3).astype(np.int64) * (KINDS * (3 if k == 3 else 1))
+        return x, gates
 
     def log(self, t: Tokens, known: np.ndarray) -> np.ndarray:
         """The natural logarithm of the probability of each document's coded bits. Documents go in step; each corrects its own weights and refinement after every CHUNK tokens by what these were."""
@@ -649,27 +689,28 @@ class FirstBits:
         order = np.argsort(step.astype(np.uint16) if step.max(initial=0) < 1 << 16 else step, kind="stable")
         token, kind, bit = t.bits(known, order)
         x, gate = self.inputs(t, token, kind)
-        z0 = np.einsum("bi,bi->b", self.weights[gate], x)
-        who, step = t.doc[token], step[token]
+        z0 = weighed(x, gate, self.weights)
+        who, step = t.doc.take(token), step.take(token)
         sign = (2 * bit - 1).astype(np.float32)
-        sort = np.minimum(kind, 3)
+        key = who * 4 + np.minimum(kind, 3)
         context = kind * 33
-        own, lean, total = np.zeros((n, CONTEXTS + 1), np.float32), np.zeros(4 * n, np.float32), np.zeros(n)
+        own, lean, total = np.zeros((CONTEXTS + 1, n), np.float32), np.zeros(4 * n, np.float32), np.zeros(n)
         first = np.flatnonzero((np.diff(step, prepend=-1) != 0) | (np.diff(who, prepend=-1) != 0))  # of each document in each step
         edges = np.flatnonzero(np.diff(step[first], prepend=-1))
         first = np.append(first, len(step))
         for u, v in pairwise([*edges.tolist(), len(first) - 1]):
             a, b = int(first[u]), int(first[v])
             lead, many = first[u:v] - a, np.diff(first[u : v + 1])
-            live, part = who[first[u:v]], x[a:b]
-            key = who[a:b] * 4 + sort[a:b]
-            z = z0[a:b] + np.einsum("bi,bi->b", np.repeat(own[live], many, axis=0), part)
-            z = refined(z, self.refine, context[a:b]) + lean[key]
+            live, part, kinds = who[first[u:v]], x[a:b].T, key[a:b]
+            moved = _picked(own, who[a:b])
+            z = z0[a:b] + np.einsum("ib,ib->b", moved, part)
+            z = refined(z, self.refine, context[a:b]) + lean.take(kinds)
             odds = np.exp(-sign[a:b] * np.clip(z, -LIMIT, LIMIT))
             total[live] -= np.add.reduceat(np.log1p(odds), lead)
             lost = sign[a:b] * (odds / (1 + odds))
-            own[live] += RATE * np.add.reduceat(lost[:, None] * part, lead, axis=0) / np.sqrt(many)[:, None].astype(np.float32)
-            lean += REFINE_RATE * (np.bincount(key, lost, 4 * n) / np.sqrt(np.maximum(np.bincount(key, minlength=4 * n), 1))).astype(np.float32)
+            np.multiply(lost, part, out=moved)
+            own[:, live] += RATE * np.add.reduceat(moved, lead, axis=1) / np.sqrt(many).astype(np.float32)
+            lean += REFINE_RATE * (np.bincount(kinds, lost, 4 * n) / np.sqrt(np.maximum(np.bincount(kinds, minlength=4 * n), 1))).astype(np.float32)
         return total
 
 
@@ -677,6 +718,9 @@ class FirstBits:
 
 SPELL_TABLES, SPELL_SLOTS, SPELL_GATES = 7, 1 << 18, 9
 _SPELL_SIZES = [16 << 13, 1 << 16, *[SPELL_SLOTS] * 5]
+#: A byte's bits, and the nodes of its tree that they are coded at.
+_BYTE_BITS = np.arange(256)[:, None] >> (7 - np.arange(8)) & 1
+_NODES = 1 << np.arange(8) | np.arange(256)[:, None] >> (8 - np.arange(8))
 
 
 def spell_bits(words: list[bytes], states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -687,18 +731,23 @@ def spell_bits(words: list[bytes], states: np.ndarray) -> tuple[np.ndarray, np.n
     state = np.repeat(states.astype(np.int64), sizes)
     at = np.arange(len(data))
     before = [np.where(at - k >= first, data[np.maximum(at - k, 0)], 0) for k in (1, 2, 3, 4, 5)]
-    depth = np.arange(8)
-    node = (1 << depth) | (data[:, None] >> (8 - depth))
+    node = _NODES.take(data, axis=0).ravel()
     place = np.minimum(at - first, 15)
     one = before[0]
     two, three = one << 8 | before[1], (one << 8 | before[1]) << 8 | before[2]
     four = three << 8 | before[3]
-    out = np.empty((SPELL_TABLES, len(data), 8), np.int32)
-    out[0] = (place << 5 | state)[:, None] << 8 | node
-    out[1] = one[:, None] << 8 | node
-    for k, key in ((2, two), (3, two << 5 | state), (4, three), (5, three << 5 | state), (6, four << 8 | before[4])):
-        out[k] = (_mix((key[:, None] << 8 | node).astype(np.uint64) * np.uint64(2 * k + 1) + np.uint64(k)) >> np.uint64(46)).astype(np.int32)
-    return out.reshape(SPELL_TABLES, -1), (data[:, None] >> (7 - depth) & 1).ravel(), np.repeat(np.repeat(np.arange(len(words)), sizes), 8)
+    out = np.empty((SPELL_TABLES, 8 * len(data)), np.int32)
+    out[0] = np.repeat((place << 5 | state) << 8, 8) | node
+    out[1] = np.repeat(one << 8, 8) | node
+    keys = (2, two), (3, two << 5 | state), (4, three), (5, three << 5 | state), (6, four << 8 | before[4])
+    for x in range(0, 8 * len(data), _SOME):
+        part, own = slice(x, x + _SOME), slice(x // 8, (x + _SOME) // 8)
+        for k, key in keys:
+            mixed = (np.repeat(key[own] << 8, 8) | node[part]).view(np.uint64)
+            mixed *= np.uint64(2 * k + 1)
+            mixed += np.uint64(k)
+            out[k, part] = _mix(mixed) >> np.uint64(46)
+    return out, _BYTE_BITS.take(data, axis=0).ravel(), np.repeat(np.arange(len(words)), 8 * sizes)
 
 
 class Speller:
@@ -722,16 +771,18 @@ class Speller:
 
     def inputs(self, slots: np.ndarray, less: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(inputs, gates). less: bits whose own count is taken off."""
-        x = np.empty((slots.shape[1], SPELL_TABLES + 1), np.float32)
+        n = slots.shape[1]
+        x, gates = _inputs(n, SPELL_TABLES + 1), np.zeros(n, np.int64)
         x[:, -1] = 0.3
-        sure = 0
-        for k in range(SPELL_TABLES):
-            at = slots[k] if less is None else 2 * slots[k] + less
-            value, met = (self.tables if less is None else self.without)[k]
-            x[:, k] = value.take(at)
-            if k >= 5:
-                sure = sure * 3 + met.take(at)
-        return x, sure.astype(np.int64)
+        for at in range(0, n, _SOME):
+            part = slice(at, at + _SOME)
+            for k in range(SPELL_TABLES):
+                own = slots[k, part].astype(np.int64) if less is None else 2 * slots[k, part].astype(np.int64) + less[part]
+                value, met = (self.tables if less is None else self.without)[k]
+                value.take(own, out=x[part, k], mode="clip")
+                if k >= 5:
+                    gates[part] = gates[part] * 3 + met.take(own)
+        return x, gates
 
     def log2(self, words: list[bytes], states: np.ndarray) -> np.ndarray:
         out = np.zeros(len(words))
@@ -740,7 +791,7 @@ class Speller:
             at += len(part)
             slots, bit, word = spell_bits(part, states[at - len(part) : at])
             x, gate = self.inputs(slots)
-            z = np.einsum("bi,bi->b", self.weights[gate], x)
+            z = weighed(x, gate, self.weights)
             p = squash(np.clip(refined(z, self.refine, gate * 33), -LIMIT, LIMIT))
             out[at - len(part) : at] = np.bincount(word, np.log2(np.where(bit == 1, p, 1 - p)), len(part))
         return out
@@ -772,9 +823,9 @@ class _Learner:
         self.w = learn_weights(x, gate, bit, len(self.n), w=self.w)
         self.n += np.bincount(gate, minlength=len(self.n))
         w = self.w.astype(np.float32)
-        for at in range(0, len(x), 1 << 14):  # in parts that a cache holds
-            part = slice(at, at + (1 << 14))
-            key = context[part] * 33 + _bucket(np.einsum("bi,bi->b", w.take(gate[part], axis=0), x[part]))
+        for at in range(0, len(x), _SOME):
+            part = slice(at, at + _SOME)
+            key = context[part] * 33 + _bucket(weighed(x[part], gate[part], w))
             n = np.bincount(2 * key + bit[part], minlength=2 * len(self.all)).reshape(-1, 2)
             self.ones += n[:, 1]
             self.all += n.sum(axis=1)
@@ -904,8 +955,9 @@ def _scores(docs: DataFrame, held: Column, names: int) -> DataFrame:
                 for part in _some(words):
                     slots, bit, _ = spell_bits(part, of[at : at + len(part)])
                     at += len(part)
-                    for k in range(SPELL_TABLES):
-                        np.add.at(flat[spell_cut[k] : spell_cut[k + 1]], 2 * slots[k] + bit, np.int32(1))
+                    for x in range(0, len(bit), _SOME):
+                        for k in range(SPELL_TABLES):
+                            np.add.at(flat[spell_cut[k] : spell_cut[k + 1]], 2 * slots[k, x : x + _SOME] + bit[x : x + _SOME], np.int32(1))
         yield from _cells(flat)
 
     flat = _summed(once.mapInArrow(spell, _CELLS), int(spell_cut[-1]))
