@@ -155,3 +155,11 @@ def test_links_and_components_send_no_table_to_the_driver(spark, monkeypatch):
     out = simhash.near_duplicates(docs)
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_near_dedup_sends_no_table_to_the_driver(spark, monkeypatch):
+    """Neither links nor sets, groups or the rows that go are broadcast, in no table that is written on the way and not at the end."""
+    plans = _plans(monkeypatch, simhash, graph)
+    out = simhash.deduplicated(spark.createDataFrame(list(enumerate(near_texts(60, 4))), "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 10 and not [p for p in plans if "BroadcastExchange" in p]
