@@ -163,3 +163,32 @@ def test_near_dedup_sends_no_table_to_the_driver(spark, monkeypatch):
     out = simhash.deduplicated(spark.createDataFrame(list(enumerate(near_texts(60, 4))), "doc_id long, text string"))
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert sum("SortMergeJoin" in p for p in plans) > 10 and not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_components_agree_by_rounds_and_in_one_task(spark, monkeypatch):
+    """A small graph takes two tables, whatever its depth; rounds, for larger ones, end in one task or go on to the end."""
+    rng = random.Random(6)
+    edges = [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(70)] + [(1000 - i, 999 - i) for i in range(60)] + [(5000, 4000 + i) for i in range(30)]
+    table = spark.createDataFrame(edges, "src long, dst long")
+    label = {n: n for e in edges for n in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    want = {n: x for n, x in label.items() if any(n in e and e[0] != e[1] for e in edges)}
+    for most in (1 << 20, 20, 0):
+        monkeypatch.setattr(graph, "AT_ONCE", most)
+        plans = _plans(monkeypatch, graph)
+        assert {r.node: r.label for r in graph.components(table).collect()} == want
+        assert most < 100 or len(plans) == 2
+        assert graph.components(table.where("src = dst")).count() == 0
+
+
+def test_near_dedup_leaves_no_broadcast_but_the_last(spark, monkeypatch):
+    """What is sent to the tasks of one table goes when it is written; only the marks that the result itself asks stay."""
+    sent, own = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(own(self, value)) or sent[-1])
+    docs = spark.createDataFrame(list(enumerate(near_texts(60, 4))), "doc_id long, text string")
+    kept = simhash.deduplicated(docs)
+    alive = [b for b in sent if b._jbroadcast is not None and b._jbroadcast.isValid()]
+    assert len(sent) > 3 and alive == sent[-1:]
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(near_texts(60, 4))

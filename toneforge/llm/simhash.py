@@ -24,12 +24,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import LongType, StructType
 
-from .common import blocks, col, small_batches, spool, text_bytes
+from .common import blocks, col, small_batches, spool, swept, text_bytes
 from .graph import components
 
 MAX_BITS = 4
@@ -340,8 +341,8 @@ def _fitting(n: int) -> int:
     return int(np.clip(math.ceil(math.log2(n + 1)) + 5, 20, 28))
 
 
-def _chosen(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, Callable]:
-    """(texts, pick) for texts (key, text) and the keys wanted: pick yields, of a task's batches, the wanted texts in blocks with their shingles' maker left to the caller. A map of the keys goes to the texts, so these are not shuffled; by chance it lets some others pass."""
+def _chosen(texts: DataFrame, keys: DataFrame) -> tuple[Broadcast, Callable]:
+    """(marks, pick) for texts (key, text) and the keys wanted: pick yields, of a task's batches, the wanted texts in blocks with their shingles' maker left to the caller. A map of the keys goes to the texts, so these are not shuffled; by chance it lets some others pass. marks is to be destroyed once pick has run."""
     marks = texts.sparkSession.sparkContext.broadcast(Marks.of(keys, _fitting(keys.count())))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -350,7 +351,7 @@ def _chosen(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, Callable]:
             for _, raw in _texts(iter([some])):
                 yield raw
 
-    return texts, pick
+    return marks, pick
 
 
 def _set_id(found: np.ndarray) -> int:
@@ -360,7 +361,7 @@ def _set_id(found: np.ndarray) -> int:
 def _lists(texts: DataFrame, keys: DataFrame, width: int, similarity: float) -> DataFrame:
     """(h, sid, n, pos): for each shingle set its prefix, but for shingles that no other text's prefix has (up to chance in a map of bits); n is the set's size, pos the shingle's place in the set's order. texts: (key, text); keys: one for each set. A set that stands there more than once, by chance, does no harm."""
     spark = texts.sparkSession
-    texts, pick = _chosen(texts, keys)
+    marks, pick = _chosen(texts, keys)
     rank = spark.sparkContext.broadcast(_ranks(texts, pick, width))
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +389,10 @@ def _lists(texts: DataFrame, keys: DataFrame, width: int, similarity: float) ->
                 sizes.append(np.full(len(at), len(found), np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["h", "sid", "n", "pos"])
 
-    return spool(texts.mapInArrow(named, "h long, sid long, n int, pos int"), "dedup-lists")
+    lists = spool(texts.mapInArrow(named, "h long, sid long, n int, pos int"), "dedup-lists")
+    for sent in (marks, rank, held):
+        sent.destroy()
+    return lists
 
 
 def _labelled(lists: DataFrame, group: DataFrame) -> DataFrame:
@@ -420,7 +424,7 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 def _of_sets(texts: DataFrame, wanted: DataFrame, width: int, make: Callable, kind: str, tag: str) -> DataFrame:
     """(sid, v) for rows (key, sid) of wanted, and by chance some others; a task gives each set once. make turns a set into a value. texts are (key, text)."""
-    texts, pick = _chosen(texts, wanted.select("key"))
+    marks, pick = _chosen(texts, wanted.select("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -435,7 +439,9 @@ def _of_sets(texts: DataFrame, wanted: DataFrame, width: int, make: Callable, ki
             arrow = pa.list_(pa.int64()) if kind == "array<long>" else pa.binary()
             yield pa.RecordBatch.from_arrays([pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(values, arrow)], ["sid", "v"])
 
-    return spool(texts.mapInArrow(run, f"sid long, v {kind}"), tag)
+    sets = spool(texts.mapInArrow(run, f"sid long, v {kind}"), tag)
+    marks.destroy()
+    return sets
 
 
 def _similar(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, sids: DataFrame, width: int, similarity: float, tag: str) -> DataFrame:
@@ -477,8 +483,13 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
 
     Two rows are linked if their fingerprints of width-word shingles differ in at most 4 bits, or if the sets of their width-word shingles have a Jaccard similarity of at least similarity; a group is what is linked directly or over others, and its row is chosen when all links are known. Sets are met by their prefixes, so every pair of that similarity is found. A pair that is in one group already is not compared: first each shingle's sets are compared with two of them, and then those outside the shingle's largest group with all others, so that a large group of near copies does not bring its pairs along. Null and empty texts are one group; rows that are equal in id and text count as copies; an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
+    with swept(docs.sparkSession):  # each table on the way is written by one job
+        return _deduplicated(docs, width, similarity)
+
+
+def _deduplicated(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     key = F.xxhash64("doc_id", "text", F.lit("near"))
     prints = spool(_printed(docs.select(F.col("doc_id"), key.alias("key"), "text"), {"fp": lambda texts: fingerprints(texts, width), "sid": lambda texts: set_ids(texts, width)}), "dedup-prints")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")
